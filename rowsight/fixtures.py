@@ -5,6 +5,8 @@ Each view covers its whole source tables; defects fall on key residues.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -98,7 +100,48 @@ SELECT c_custkey,
 FROM customer
 """
 
+RAW_CUSTOMERS = """
+WITH base AS (
+  SELECT c_custkey AS customer_id,
+         CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'c' || CAST(c_custkey AS STRING) || '@example.com' END AS email,
+         CASE WHEN c_custkey % 21 = 0 THEN 150 + c_custkey % 800 ELSE 18 + c_custkey % 68 END AS age,
+         CASE WHEN c_custkey % 26 = 0 THEN CAST(-1000 AS DOUBLE) ELSE c_acctbal * 10 + 20000 END AS income,
+         CASE WHEN c_custkey % 33 = 0 THEN CAST(999999999 AS DOUBLE) ELSE c_acctbal END AS account_balance,
+         c_mktsegment AS customer_segment
+  FROM customer)
+SELECT * FROM base UNION ALL SELECT * FROM base WHERE customer_id % 12 = 0
+"""
+
+RAW_PRODUCTS = """
+WITH base AS (
+  SELECT p_partkey AS product_id, 'SKU-' || CAST(p_partkey AS STRING) AS sku,
+         CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_name END AS product_name,
+         CASE WHEN p_partkey % 19 = 0 THEN -p_retailprice ELSE p_retailprice END AS price,
+         CASE WHEN p_partkey % 23 = 0 THEN -p_size ELSE p_size * 10 END AS stock_quantity,
+         CASE WHEN p_partkey % 29 = 0 THEN CAST(99 AS DOUBLE) ELSE CAST(p_partkey % 41 AS DOUBLE) / 10 + 1 END AS rating,
+         CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 31 = 0 THEN CAST(999999 AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS weight
+  FROM part)
+SELECT * FROM base UNION ALL SELECT * FROM base WHERE product_id % 12 = 0
+"""
+
+RAW_INVOICES = """
+WITH base AS (
+  SELECT l_orderkey * 10 + l_linenumber AS invoice_id, l_suppkey AS customer_id,
+         CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE l_partkey END AS product_id, l_shipdate AS invoice_date,
+         CASE WHEN (l_orderkey + l_partkey) % 31 = 0 THEN CAST(-10 AS DOUBLE)
+              WHEN (l_orderkey + l_partkey) % 37 = 0 THEN CAST(15000 AS DOUBLE) ELSE l_quantity END AS quantity,
+         CASE WHEN (l_orderkey + l_partkey) % 43 = 0 THEN CAST(-100 AS DOUBLE) ELSE l_extendedprice END AS unit_price,
+         CASE WHEN (l_orderkey + l_suppkey) % 47 = 0 THEN CAST(-2000 AS DOUBLE) ELSE l_extendedprice END AS total_amount,
+         CASE WHEN l_orderkey % 20 = 0 THEN NULL WHEN l_orderkey % 41 = 0 THEN CAST(75 AS DOUBLE) ELSE l_tax END AS tax_rate,
+         CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 59 = 0 THEN CAST(-500 AS DOUBLE) ELSE l_extendedprice * l_discount END AS discount_amount
+  FROM lineitem)
+SELECT * FROM base UNION ALL SELECT * FROM base WHERE invoice_id % 12 = 0
+"""
+
 VIEWS = {
+    "raw_customers": RAW_CUSTOMERS,
+    "raw_products": RAW_PRODUCTS,
+    "raw_invoices": RAW_INVOICES,
     "dirty_orders": DIRTY_ORDERS,
     "dirty_lineitem": DIRTY_LINEITEM,
     "doc_labels": DOC_LABELS,
@@ -116,9 +159,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str, sql: str | None = None) -> DataFrame:
     """A fixture (or any query over the tables and fixtures) as a DataFrame."""
+    sql = sql or VIEWS[name]
     for t in TABLES:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(sql or VIEWS[name])
+        if re.search(rf"\b{t}\b", sql):
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(sql)
 
 
 def with_view(name: str, body: str) -> str:

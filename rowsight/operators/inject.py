@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.scalars import col, digest, digest_number
+from ..functions.scalars import col, digest, digest_number, run
 from ..session import cut_lineage
 from .quantiles import select_ranks
 
@@ -32,13 +32,19 @@ def _cutoff(df: DataFrame, key: list[str], salt: str, rate: float) -> Column:
     marks = df.select(digest([col(k) for k in key], salt).alias("mark"))
     at = select_ranks(
         marks.select(F.lit(0).alias("ordinal"), digest_number(F.col("mark")).alias("v")),
-        lambda total: F.filter(F.array(share_of(total, rate)), lambda r: r > 0),
+        f"filter(array(CAST(floor(total * {float(rate)!r}D) AS BIGINT)), r -> r > 0)",
     )
     # rows that share 52 bits of the digest with the last pick: one, by all odds
-    last = marks.join(F.broadcast(at), digest_number(F.col("mark")).cast("double") == F.col("v"))
-    return last.agg(F.max_by(F.sort_array(F.collect_set("mark")), "rest").alias("marks"), F.max("rest").alias("rest")).select(
-        F.element_at("marks", F.least(F.col("rest"), F.size("marks")).cast("int"))
-    ).scalar()
+    last = run(
+        """
+        SELECT element_at(sort_array(marks), CAST(least(rest, size(marks)) AS INT)) AS mark FROM (
+          SELECT /*+ BROADCAST(at) */ collect_set(mark) AS marks, max(rest) AS rest
+          FROM @marks@ marks JOIN @at@ at ON CAST(CAST(conv(substring(mark, 1, 13), 16, 10) AS BIGINT) AS DOUBLE) = v)
+        WHERE size(marks) > 0
+        """,
+        marks=marks, at=at,
+    )
+    return last.scalar()
 
 
 def picked(df: DataFrame, key: list[str], salt: str, rate: float, exact: bool = True) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.scalars import col, percent
+from ..functions.scalars import col, percent, quoted, run, text
 
 # fixed values: whole-cell spellings that count as missing, case-sensitive
 PLACEHOLDERS = ("<NA>", "", "NULL", "null")
@@ -20,6 +20,17 @@ def is_missing(name: str, dtype: T.DataType, placeholders=PLACEHOLDERS) -> Colum
     return missing
 
 
+def missing_sql(field: T.StructField, placeholders=PLACEHOLDERS) -> str:
+    """``is_missing`` as SQL text."""
+    c = quoted(field.name)
+    test = f"{c} IS NULL"
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        test += f" OR isnan({c})"
+    elif isinstance(field.dataType, T.StringType) and placeholders:
+        test += f" OR {c} IN ({', '.join(text(p) for p in placeholders)})"
+    return f"({test})"
+
+
 def normalize_nulls(df: DataFrame, placeholders=PLACEHOLDERS) -> DataFrame:
     """Placeholders in string columns become null."""
     return df.select(
@@ -34,20 +45,10 @@ def normalize_nulls(df: DataFrame, placeholders=PLACEHOLDERS) -> DataFrame:
 
 def missing_counts(df: DataFrame, placeholders=PLACEHOLDERS) -> DataFrame:
     """One row per column (ordinal, column_name, null_count, total_rows), one scan."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        *[
-            F.count_if(is_missing(f.name, f.dataType, placeholders)).alias(f"n{i}")
-            for i, f in enumerate(df.schema.fields)
-        ],
-    )
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("column_name"), F.col(f"n{i}").alias("null_count"))
-            for i, name in enumerate(df.columns)
-        ]
-    )
-    return counts.select("total_rows", F.inline(entries))
+    fields = df.schema.fields
+    counts = "".join(f", count_if({missing_sql(f, placeholders)}) AS n{i}" for i, f in enumerate(fields))
+    rows = ", ".join(f"named_struct('ordinal', {i}, 'column_name', {text(f.name)}, 'null_count', n{i})" for i, f in enumerate(fields))
+    return run(f"SELECT total_rows, inline(array({rows})) FROM (SELECT count(1) AS total_rows{counts} FROM @df@)", df=df)
 
 
 def check_nulls(df: DataFrame, dataset_id: str, placeholders=PLACEHOLDERS) -> DataFrame:

@@ -4,33 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.scalars import col
+from ..functions.scalars import col, run, text
 from .statistics import NUMERIC, classes, numbers_long, profile
 
 
 def outlier_check(df: DataFrame, dataset_id: str, fence: float = 1.5, z: float = 3.0, **options) -> DataFrame:
     """Per numeric column: values beyond the quartile fences and beyond ``z`` deviations."""
-    stats = profile(df, only=(NUMERIC,), **options)
-    spread = F.col("p75") - F.col("p25")
-    limits = stats.select(
-        "ordinal", "column_name", "count", "mean", "std",
-        (F.col("p25") - fence * spread).alias("lower_fence"),
-        (F.col("p75") + fence * spread).alias("upper_fence"),
-    )
-    numbers = [i for i, k in enumerate(classes(df, **{k: v for k, v in options.items() if k != "quartiles"})) if k == NUMERIC]
-    v = F.col("v")
-    beyond = (
-        numbers_long(df, numbers)
-        .join(F.broadcast(limits), "ordinal")  # one row per column
-        .groupBy("ordinal", "column_name", "count", "lower_fence", "upper_fence")
-        .agg(
-            F.count_if((v < F.col("lower_fence")) | (v > F.col("upper_fence"))).alias("iqr_outliers"),
-            F.count_if(F.abs(v - F.col("mean")) > z * F.col("std")).alias("z_outliers"),
-        )
-    )
-    return beyond.select(
-        F.lit(dataset_id).alias("dataset_id"), "column_name", "ordinal", "count",
-        "lower_fence", "upper_fence", "iqr_outliers", "z_outliers",
+    chosen = {k: v for k, v in options.items() if k in ("decimal_as", "id_suffix")}
+    numbers = [i for i, k in enumerate(classes(df, **chosen)) if k == NUMERIC]
+    return run(
+        f"""
+        WITH limits AS (
+          SELECT ordinal, column_name, `count`, mean, std,
+                 p25 - {float(fence)!r}D * (p75 - p25) AS lower_fence, p75 + {float(fence)!r}D * (p75 - p25) AS upper_fence
+          FROM @stats@)
+        SELECT /*+ BROADCAST(limits) */ {text(dataset_id)} AS dataset_id, column_name, limits.ordinal, `count`, lower_fence, upper_fence,
+          count_if(v < lower_fence OR v > upper_fence) AS iqr_outliers, count_if(abs(v - mean) > {float(z)!r}D * std) AS z_outliers
+        FROM @cells@ cells JOIN limits ON cells.ordinal = limits.ordinal -- limits: one row per column
+        GROUP BY limits.ordinal, column_name, `count`, lower_fence, upper_fence
+        """,
+        stats=profile(df, only=(NUMERIC,), **options), cells=numbers_long(df, numbers),
     )
 
 

@@ -10,77 +10,67 @@ value repeated in a third of all rows folds to one count before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
-STEPS = 65536
+from ..functions.scalars import run
 
+# floor(log2) in sixteenths, 0 at 0, negative below
+MAGNITUDE = (
+    "CAST(CASE WHEN v = 0 THEN 0 ELSE sign(v) * (floor((least(log2(abs(v)), 1100.0D) + 1080.0D) * 16.0D) + 1) END AS INT)"
+)
+STEP = "CAST(CASE WHEN high > low THEN floor((v - low) / (high - low) * 65536.0D) ELSE 0 END AS INT)"
+TALLY = "count(1) AS n, min(v) AS low_, max(v) AS high_"
 
-def _magnitude(v: Column) -> Column:
-    size = F.floor((F.least(F.log2(F.abs(v)), F.lit(1100.0)) + 1080.0) * 16.0) + 1
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
 
-
-def _step(v: Column) -> Column:
-    low, high = F.col("low"), F.col("high")
-    return F.when(high > low, F.floor((v - low) / (high - low) * STEPS)).otherwise(F.lit(0)).cast("int")
-
-
-def _hits(counted: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _hits(counted: str, keys: str) -> str:
     """Buckets holding a wanted rank, with the rank counted from the bucket's start."""
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    before = F.col("upto") - F.col("n")
-    inside = F.filter("wanted", lambda w: (w["rest"] > before) & (w["rest"] <= F.col("upto")))
-    return (
-        counted.withColumn("upto", upto)
-        .withColumn("wanted", F.transform(inside, lambda w: F.struct(w["rank"].alias("rank"), (w["rest"] - before).alias("rest"))))
-        .where(F.size("wanted") > 0)
-        .select("ordinal", "total", "wanted", F.col("low_").alias("low"), F.col("high_").alias("high"))
-    )
-
-
-def select_ranks(values: DataFrame, ranks_of: Callable[[Column], Column]) -> DataFrame:
-    """(ordinal, v) -> (ordinal, total, rank, v, above) for the 1-based ranks
-    ``ranks_of(total)`` of each ordinal; ``rest`` is the rank among equal values.
+    return f"""
+      SELECT ordinal, total, wanted, low_ AS low, high_ AS high FROM (
+        SELECT ordinal, total, low_, high_,
+               transform(filter(wanted, w -> w.rest > upto - n AND w.rest <= upto),
+                         w -> named_struct('rank', w.rank, 'rest', w.rest - upto + n)) AS wanted
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto FROM {counted}))
+      WHERE size(wanted) > 0"""
+
+
+def select_ranks(values: DataFrame, ranks: str) -> DataFrame:
+    """(ordinal, v) -> (ordinal, total, v, rank, rest) for the 1-based ranks of
+    each ordinal; ``ranks`` is an array in SQL over ``total``, the number of
+    values, and ``rest`` the rank among equal values.
     """
-    values = values.select(F.col("ordinal").cast("int").alias("ordinal"), F.col("v").cast("double").alias("v")).where("v is not null")
-    tally = [F.count(F.lit(1)).alias("n"), F.min("v").alias("low_"), F.max("v").alias("high_")]
-    ranks = F.transform(ranks_of(F.col("total")), lambda r: F.struct(r.alias("rank"), r.alias("rest")))
-    first = (
-        values.groupBy("ordinal", _magnitude(F.col("v")).alias("bucket"))
-        .agg(*tally)
-        .withColumn("total", F.sum("n").over(Window.partitionBy("ordinal")))
-        .withColumn("wanted", ranks)
+    steps = []
+    for level, bucket in ((2, STEP), (3, STEP), (4, "v")):
+        # h holds one row per wanted rank and column at most: bounded by the schema
+        steps.append(f"""
+          c{level} AS (
+            SELECT /*+ BROADCAST(h) */ h.ordinal, total, wanted, low, high, {bucket} AS bucket, {TALLY}
+            FROM vals JOIN h{level - 1} h ON vals.ordinal = h.ordinal AND v BETWEEN low AND high
+            GROUP BY h.ordinal, total, wanted, low, high, {bucket}),
+          h{level} AS ({_hits(f'c{level}', 'ordinal, low')})""")
+    return run(
+        f"""
+        WITH vals AS (SELECT CAST(ordinal AS INT) AS ordinal, CAST(v AS DOUBLE) AS v FROM @values@ WHERE v IS NOT NULL),
+          c1 AS (SELECT ordinal, {MAGNITUDE} AS bucket, {TALLY} FROM vals GROUP BY ordinal, {MAGNITUDE}),
+          t1 AS (SELECT *, sum(n) OVER (PARTITION BY ordinal) AS total FROM c1),
+          w1 AS (SELECT *, transform({ranks}, r -> named_struct('rank', r, 'rest', r)) AS wanted FROM t1),
+          h1 AS ({_hits('w1', 'ordinal')}),
+          {','.join(steps)}
+        SELECT ordinal, total, low AS v, inline(wanted) FROM h4
+        """,
+        values=values,
     )
-    found = _hits(first, ["ordinal"], "bucket")
-    for level in ("step", "step", "value"):
-        # one row per wanted rank and column at most, so broadcasting is bounded by the schema
-        inside = values.join(F.broadcast(found), "ordinal").where("v between low and high")
-        bucket = F.col("v") if level == "value" else _step(F.col("v"))
-        keys = ["ordinal", "total", "wanted", "low", "high"]
-        counted = inside.withColumn("bucket", bucket).groupBy(*keys, "bucket").agg(*tally)
-        found = _hits(counted, ["ordinal", "low"], "bucket")
-    return found.select("ordinal", "total", F.col("low").alias("v"), F.inline("wanted"))
 
 
 def exact_quantiles(values: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Quantiles with linear interpolation: (ordinal, *names)."""
-
-    def position(total: Column, p: float) -> Column:
-        return (total - 1) * F.lit(float(p))
-
-    def ranks(total: Column) -> Column:
-        lows = [F.floor(position(total, p)) + 1 for p in probs]
-        return F.array_distinct(F.array(*lows, *[F.least(r + 1, total) for r in lows]))
-
-    at = select_ranks(values, ranks)
-    total = F.col("total")
+    spots = [f"((total - 1) * {float(p)!r}D)" for p in probs]
+    lows = [f"(CAST(floor({s}) AS BIGINT) + 1)" for s in spots]
+    ranks = f"array_distinct(array({', '.join(lows)}, {', '.join(f'least({r} + 1, total)' for r in lows)}))"
     out = []
-    for p, name in zip(probs, names):
-        low = F.floor(position(total, p)) + 1
-        a = F.max(F.when(F.col("rank") == low, F.col("v")))
-        b = F.max(F.when(F.col("rank") == F.least(low + 1, total), F.col("v")))
-        part = F.max(position(total, p) - F.floor(position(total, p)))
-        out.append(F.when(part == 0, a).otherwise(a + (b - a) * part).alias(name))
-    return at.groupBy("ordinal").agg(*out)
+    for spot, low, name in zip(spots, lows, names):
+        a, b = f"max(CASE WHEN rank = {low} THEN v END)", f"max(CASE WHEN rank = least({low} + 1, total) THEN v END)"
+        part = f"max({spot} - floor({spot}))"
+        out.append(f"CASE WHEN {part} = 0 THEN {a} ELSE {a} + ({b} - {a}) * {part} END AS {name}")
+    return run(f"SELECT ordinal, {', '.join(out)} FROM @found@ GROUP BY ordinal", found=select_ranks(values, ranks))

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.scalars import col, has_type, plain_float, union_all
+from ..functions.scalars import quoted, run, text
 from ..session import plan_bytes
-from .nulls import PLACEHOLDERS, is_missing
+from .nulls import PLACEHOLDERS, missing_sql
 from .quantiles import exact_quantiles
 
 ID_SUFFIX = "_id"
@@ -39,27 +39,31 @@ def classes(df: DataFrame, decimal_as: str = NUMERIC, id_suffix: str = ID_SUFFIX
     return [type_class(f, decimal_as, id_suffix) for f in df.schema.fields]
 
 
-def as_number(name: str, dtype: T.DataType) -> Column:
+def _filled(field: T.StructField) -> str:
+    """The column with NaN as null."""
+    c = quoted(field.name)
+    return f"nullif({c}, CAST('NaN' AS {field.dataType.simpleString()}))" if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else c
+
+
+def as_number(field: T.StructField) -> str:
     """Numeric and temporal columns as double; times as microseconds."""
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col(name).cast("timestamp")).cast("double")
-    return plain_float(col(name).cast("double"), T.DoubleType())
+    if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+        return f"CAST(unix_micros(CAST({quoted(field.name)} AS TIMESTAMP)) AS DOUBLE)"
+    return f"CAST({_filled(field)} AS DOUBLE)"
 
 
-def as_label(name: str, dtype: T.DataType) -> Column:
-    c = plain_float(col(name), dtype)
-    if isinstance(dtype, T.BinaryType):
-        return F.hex(c)
-    if isinstance(dtype, T.BooleanType):
-        return F.initcap(c.cast("string"))
-    return c.cast("string")
+def as_label(field: T.StructField) -> str:
+    if isinstance(field.dataType, T.BinaryType):
+        return f"hex({quoted(field.name)})"
+    if isinstance(field.dataType, T.BooleanType):
+        return f"initcap(CAST({quoted(field.name)} AS STRING))"
+    return f"CAST({_filled(field)} AS STRING)"
 
 
 def _long(df: DataFrame, wanted: list[int], make) -> DataFrame:
     """(ordinal, v) rows of the wanted columns; nulls dropped."""
-    fields = df.schema.fields
-    cells = [F.struct(F.lit(i).alias("ordinal"), make(fields[i].name, fields[i].dataType).alias("v")) for i in wanted]
-    return df.select(F.inline(F.array(*cells))).where("v is not null")
+    cells = ", ".join(f"named_struct('ordinal', {i}, 'v', {make(df.schema.fields[i])})" for i in wanted)
+    return run(f"SELECT * FROM (SELECT inline(array({cells})) FROM @df@) WHERE v IS NOT NULL", df=df)
 
 
 def numbers_long(df: DataFrame, wanted: list[int]) -> DataFrame:
@@ -69,58 +73,46 @@ def numbers_long(df: DataFrame, wanted: list[int]) -> DataFrame:
 def mode_and_distinct(df: DataFrame, wanted: list[int]) -> DataFrame:
     """(ordinal, unique, top, freq): exact, in one shuffle of distinct values.
     Equal counts take the smallest value."""
-    per_value = _long(df, wanted, as_label).groupBy("ordinal", "v").agg(F.count(F.lit(1)).alias("n"))
-    return per_value.groupBy("ordinal").agg(
-        F.count(F.lit(1)).alias("unique"),
-        F.min_by("v", F.struct(-F.col("n"), "v")).alias("top"),
-        F.max("n").alias("freq"),
+    return run(
+        """
+        SELECT ordinal, count(1) AS `unique`, min_by(v, struct(-n, v)) AS top, max(n) AS freq
+        FROM (SELECT ordinal, v, count(1) AS n FROM @cells@ GROUP BY ordinal, v) GROUP BY ordinal
+        """,
+        cells=_long(df, wanted, as_label),
     )
 
 
 def quick_distinct(df: DataFrame, wanted: list[int]) -> DataFrame:
     """(ordinal, unique) by sketch: no shuffle of values."""
-    fields = df.schema.fields
-    row = df.agg(*[F.approx_count_distinct(as_label(fields[i].name, fields[i].dataType)).alias(str(i)) for i in wanted])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), col(str(i)).alias("unique")) for i in wanted])))
+    found = ", ".join(f"approx_count_distinct({as_label(df.schema.fields[i])}) AS u{i}" for i in wanted)
+    rows = ", ".join(f"named_struct('ordinal', {i}, 'unique', u{i})" for i in wanted)
+    return run(f"SELECT inline(array({rows})) FROM (SELECT {found} FROM @df@)", df=df)
 
 
 def moments(df: DataFrame, kinds: list[str], placeholders=PLACEHOLDERS, quartiles: str | None = None) -> DataFrame:
     """One row per column from one scan: counts, missing values, mean, std,
     min, max; with ``quartiles`` also those, exact by value map or by sketch."""
-    aggs = [F.count(F.lit(1)).alias("total_rows")]
-    entries = []
+    aggs, rows = ["count(1) AS total_rows"], []
+    probs = f"array({', '.join(f'{p!r}D' for p in QUARTILES)})"
     for i, (f, kind) in enumerate(zip(df.schema.fields, kinds)):
-        aggs.append(F.count(plain_float(col(f.name), f.dataType)).alias(f"n{i}"))
-        missing = F.col("total_rows") - F.col(f"n{i}")
+        aggs.append(f"count({_filled(f)}) AS n{i}")
+        stat = {"null_count": f"total_rows - n{i}"}
         if isinstance(f.dataType, T.StringType) and placeholders:
-            aggs.append(F.count_if(is_missing(f.name, f.dataType, placeholders)).alias(f"miss{i}"))
-            missing = F.col(f"miss{i}")
-        none = F.lit(None).cast("double")
-        stat = dict.fromkeys(("mean", "std", "min", "max", *QUARTILE_NAMES), none)
+            aggs.append(f"count_if({missing_sql(f, placeholders)}) AS miss{i}")
+            stat["null_count"] = f"miss{i}"
+        stat |= {"count": f"n{i}", **dict.fromkeys(("mean", "std", "min", "max", *QUARTILE_NAMES), "CAST(NULL AS DOUBLE)")}
         if kind in (NUMERIC, TEMPORAL):
-            x = as_number(f.name, f.dataType)
-            made = {"mean": F.avg(x), "min": F.min(x), "max": F.max(x)}
-            if kind == NUMERIC:
-                made["std"] = F.stddev_samp(x)
-            for k, a in made.items():
-                aggs.append(a.alias(f"{k}{i}"))
-                stat[k] = F.col(f"{k}{i}")
+            x = as_number(f)
+            made = {"mean": "avg", "min": "min", "max": "max"} | ({"std": "stddev_samp"} if kind == NUMERIC else {})
+            for name, function in made.items():
+                aggs.append(f"{function}({x}) AS {name}{i}")
+                stat[name] = f"{name}{i}"
             if quartiles:
-                wanted = F.array(*[F.lit(q) for q in QUARTILES])
-                found = F.percentile_approx(x, wanted, 10000) if quartiles == "sketch" else F.percentile(x, wanted)
-                aggs.append(found.alias(f"q{i}"))
-                stat.update({q: F.col(f"q{i}")[j] for j, q in enumerate(QUARTILE_NAMES)})
-        entries.append(
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(kind).alias("type_class"),
-                missing.alias("null_count"),
-                F.col(f"n{i}").alias("count"),
-                *[c.alias(k) for k, c in stat.items()],
-            )
-        )
-    return df.agg(*aggs).select("total_rows", F.inline(F.array(*entries)))
+                aggs.append((f"percentile_approx({x}, {probs}, 10000)" if quartiles == "sketch" else f"percentile({x}, {probs})") + f" AS q{i}")
+                stat |= {q: f"q{i}[{j}]" for j, q in enumerate(QUARTILE_NAMES)}
+        cells = ", ".join(f"'{k}', {v}" for k, v in stat.items())
+        rows.append(f"named_struct('ordinal', {i}, 'column_name', {text(f.name)}, 'type_class', '{kind}', {cells})")
+    return run(f"SELECT total_rows, inline(array({', '.join(rows)})) FROM (SELECT {', '.join(aggs)} FROM @df@)", df=df)
 
 
 PROFILE = {
@@ -130,9 +122,18 @@ PROFILE = {
 }
 
 
-def _padded(part: DataFrame) -> DataFrame:
-    have = set(part.columns)
-    return part.select("ordinal", *[(col(k) if k in have else F.lit(None)).cast(t).alias(k) for k, t in PROFILE.items()])
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """One row per column from partial rows; each field comes from one part."""
+    selects = []
+    for i, part in enumerate(parts):
+        have = set(part.columns)
+        cells = ", ".join(f"CAST({quoted(k) if k in have else 'NULL'} AS {t}) AS {quoted(k)}" for k, t in PROFILE.items())
+        selects.append(f"SELECT ordinal, {cells} FROM @part{i}@")
+    fields = ", ".join(f"max({quoted(k)}) AS {quoted(k)}" for k in PROFILE)
+    return run(
+        f"SELECT ordinal, {fields} FROM ({' UNION ALL '.join(selects)}) GROUP BY ordinal",
+        **{f"part{i}": part for i, part in enumerate(parts)},
+    )
 
 
 def profile(
@@ -158,33 +159,41 @@ def profile(
     labels = [i for i in keep if kinds[i] == CATEGORICAL]
     if quartiles == "auto":
         quartiles = "map" if plan_bytes(df) <= MAP_UPTO_BYTES else "split"
-    sketch = quartiles == "sketch"
     scanned = [k if i in keep else NESTED for i, k in enumerate(kinds)]
     parts = [moments(df, scanned, placeholders, None if quartiles == "split" else quartiles)]
     if numbers and quartiles == "split":
         parts.append(exact_quantiles(numbers_long(df, numbers), QUARTILES, QUARTILE_NAMES))
     if labels:
-        parts.append((quick_distinct if sketch else mode_and_distinct)(df, labels))
-    merged = union_all([_padded(p) for p in parts]).groupBy("ordinal").agg(*[F.max(col(k)).alias(k) for k in PROFILE])
-    return merged.withColumn("unique", F.when(F.col("type_class") == CATEGORICAL, F.coalesce("unique", F.lit(0)))).where(
-        F.col("type_class").isin(*only)
+        parts.append((quick_distinct if quartiles == "sketch" else mode_and_distinct)(df, labels))
+    chosen = ", ".join(str(i) for i in keep) or "NULL"
+    return run(
+        f"""
+        SELECT * EXCEPT (`unique`), CASE WHEN type_class = '{CATEGORICAL}' THEN coalesce(`unique`, 0) END AS `unique`
+        FROM @all@ WHERE ordinal IN ({chosen})
+        """,
+        all=merged(parts),
     )
 
 
 def as_time(micros: Column) -> Column:
-    return F.timestamp_micros(F.floor(micros)).cast("timestamp_ntz")
+    return F.timestamp_micros(F.floor(micros).cast("bigint")).cast("timestamp_ntz")
+
+
+def micros_as_time(x: str) -> str:
+    return f"CAST(timestamp_micros(CAST(floor({x}) AS BIGINT)) AS TIMESTAMP_NTZ)"
 
 
 def column_profile(df: DataFrame, dataset_id: str, **options) -> DataFrame:
     """Profile of every column; temporal columns fill the ``ts_`` fields."""
-    p = profile(df, **options)
-    time = F.col("type_class") == TEMPORAL
-    stats = ("mean", "min", "p25", "p50", "p75", "max")
-    return p.select(
-        F.lit(dataset_id).alias("dataset_id"),
-        "column_name", "ordinal", "type_class", "count", "unique", "top", "freq",
-        *[F.when(~time, col(s)).alias(s) for s in ("mean", "std", "min", "p25", "p50", "p75", "max")],
-        *[F.when(time, as_time(col(s))).alias(f"ts_{s}") for s in stats],
+    time = f"type_class = '{TEMPORAL}'"
+    numbers = ", ".join(f"CASE WHEN NOT {time} THEN {s} END AS {s}" for s in ("mean", "std", "min", "p25", "p50", "p75", "max"))
+    times = ", ".join(f"CASE WHEN {time} THEN {micros_as_time(s)} END AS ts_{s}" for s in ("mean", "min", "p25", "p50", "p75", "max"))
+    return run(
+        f"""
+        SELECT {text(dataset_id)} AS dataset_id, column_name, ordinal, type_class, `count`, `unique`, top, freq, {numbers}, {times}
+        FROM @found@
+        """,
+        found=profile(df, **options),
     )
 
 
@@ -214,19 +223,15 @@ def quick_profile(df: DataFrame, dataset_id: str) -> DataFrame:
     fields = df.schema.fields
     kinds = [NUMERIC if isinstance(f.dataType, (T.LongType, T.DoubleType)) else NESTED for f in fields]
     numbers = [i for i, k in enumerate(kinds) if k == NUMERIC]
-    parts = [_padded(moments(df, kinds, ()))]
+    parts = [moments(df, kinds, ())]
     if numbers:
-        parts.append(_padded(exact_quantiles(numbers_long(df, numbers), (0.5,), ("p50",))))
-    merged = union_all(parts).groupBy("ordinal").agg(*[F.max(col(k)).alias(k) for k in PROFILE])
-    copies = duplicate_counts(df).select("duplicate_qty").scalar()
-    total = F.col("total_rows")
-    return merged.select(
-        F.lit(dataset_id).alias("dataset_id"),
-        "column_name", "ordinal", "total_rows",
-        F.lit(len(fields)).cast("bigint").alias("total_columns"),
-        copies.alias("duplicate_count"),
-        F.when(total > 0, copies / total).alias("duplicate_rate"),
-        "null_count",
-        F.when(total > 0, F.col("null_count") / total).alias("null_rate"),
-        "mean", F.col("p50").alias("median"), "min", "max", "std",
+        parts.append(exact_quantiles(numbers_long(df, numbers), (0.5,), ("p50",)))
+    return run(
+        f"""
+        SELECT {text(dataset_id)} AS dataset_id, column_name, ordinal, total_rows, CAST({len(fields)} AS BIGINT) AS total_columns,
+          duplicate_count, CASE WHEN total_rows > 0 THEN duplicate_count / total_rows END AS duplicate_rate,
+          null_count, CASE WHEN total_rows > 0 THEN null_count / total_rows END AS null_rate, mean, p50 AS median, min, max, std
+        FROM (SELECT *, (SELECT duplicate_qty FROM @copies@) AS duplicate_count FROM @all@)
+        """,
+        all=merged(parts), copies=duplicate_counts(df),
     )

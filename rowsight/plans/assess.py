@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.identifiers import CHECKS, default_connector
-from ..functions.scalars import percent, union_all
+from ..functions.scalars import run, text, union_all
 from ..operators.duplicates import duplicate_counts
 from ..operators.nulls import PLACEHOLDERS
-from ..operators.statistics import NESTED, PROFILE, profile
+from ..operators.statistics import NESTED, merged, moments, profile
 from ..sources.tables import try_scan
 
 log = logging.getLogger(__name__)
@@ -41,14 +41,14 @@ def chosen_checks(checks=None) -> list[str]:
     return list(dict.fromkeys(c for c in names if c in CHECKS))
 
 
-def _row(dataset_id, connector, order, name, status, rows, width, metric, columns, error=None) -> list[Column]:
-    typed = [
-        ("dataset_id", F.lit(dataset_id), "string"), ("connector", F.lit(connector), "string"),
-        ("position", F.lit(order.index(name) + 1), "int"), ("check_name", F.lit(name), "string"),
-        ("status", status, "string"), ("error", F.lit(error), "string"), ("total_rows", rows, "bigint"),
-        ("total_columns", F.lit(width), "bigint"), ("metric_value", metric, "bigint"), ("columns", columns, f"array<{FINDING}>"),
-    ]
-    return [c.cast(t).alias(n) for n, c, t in typed]
+def _row(dataset_id, connector, order, name, status, width, metric, columns, error=None, rows="total_rows") -> str:
+    """One check row as a struct in SQL."""
+    cells = {
+        "dataset_id": text(dataset_id), "connector": text(connector), "position": str(order.index(name) + 1), "check_name": text(name),
+        "status": status, "error": text(error), "total_rows": rows, "total_columns": f"CAST({width} AS BIGINT)",
+        "metric_value": f"CAST({metric} AS BIGINT)", "columns": columns,
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in cells.items()) + ")"
 
 
 def error_rows(spark: SparkSession, dataset_id: str, connector: str | None, checks, reason: str, status: str = "error") -> DataFrame:
@@ -57,14 +57,10 @@ def error_rows(spark: SparkSession, dataset_id: str, connector: str | None, chec
     return spark.createDataFrame(rows, CHECK_ROW)
 
 
-def _worst_first(columns: Column) -> Column:
-    bad = F.filter(columns, lambda c: c["null_count"] > 0)
-    return F.array_sort(
-        bad,
-        lambda a, b: F.when(a["null_percentage"] > b["null_percentage"], -1)
-        .when(a["null_percentage"] < b["null_percentage"], 1)
-        .otherwise(a["ordinal"] - b["ordinal"]),
-    )
+# columns with missing values, worst first, ties in column order
+WORST_FIRST = """array_sort(filter(columns, c -> c.null_count > 0), (a, b) -> CASE
+  WHEN a.null_percentage > b.null_percentage THEN -1 WHEN a.null_percentage < b.null_percentage THEN 1 ELSE a.ordinal - b.ordinal END)"""
+SHARE = "CASE WHEN total_rows > 0 THEN ((null_count * 20000 + total_rows) div (total_rows * 2)) / 100.0D END"
 
 
 def assess(
@@ -76,43 +72,39 @@ def assess(
     spark, parts = df.sparkSession, []
     if not order:
         return spark.createDataFrame([], CHECK_ROW)
-    none = F.array().cast(f"array<{FINDING}>")
+    none = f"CAST(array() AS array<{FINDING}>)"
     if "duplicates" in order:
-        qty = F.col("duplicate_qty")
-        parts.append(
-            duplicate_counts(df, strategy=duplicate_strategy).select(
-                _row(dataset_id, connector, order, "duplicates", F.when(qty == 0, "success").otherwise("failure"), F.col("total_rows"), width, qty, none)
-            )
-        )
+        row = _row(dataset_id, connector, order, "duplicates", "if(duplicate_qty = 0, 'success', 'failure')", width, "duplicate_qty", none)
+        parts.append(run(f"SELECT inline(array({row})) FROM @found@", found=duplicate_counts(df, strategy=duplicate_strategy)))
     scanned = [c for c in order if c != "duplicates"]
     if scanned and not width:
+        rows = []
         for name in scanned:
-            ok = name == "null_values"
-            parts.append(
-                df.agg(F.count(F.lit(1)).alias("total_rows")).select(
-                    _row(dataset_id, connector, order, name, F.lit("success" if ok else "failure"), F.col("total_rows"), 0, F.lit(0), none,
-                         None if ok else "Cannot describe a table without columns")
-                )
-            )
+            status, why = ("'success'", None) if name == "null_values" else ("'failure'", "cannot describe a table without columns")
+            rows.append(_row(dataset_id, connector, order, name, status, 0, 0, none, why))
+        parts.append(run(f"SELECT inline(array({', '.join(rows)})) FROM (SELECT count(1) AS total_rows FROM @df@)", df=df))
     elif scanned:
-        if "descriptive_stats" not in order:
-            from ..operators.statistics import moments, _padded
-
-            found = _padded(moments(df, [NESTED] * width, placeholders))
-        else:
+        if "descriptive_stats" in order:
             found = profile(df, placeholders=placeholders, **options)
-        share = percent(F.col("null_count"), F.col("total_rows")).alias("null_percentage")
-        fields = [c for c in PROFILE if c not in ("total_rows", "null_count", "column_name", "type_class")]
-        finding = F.struct("ordinal", "column_name", "type_class", "null_count", share, *fields)
-        # one entry per column of the table
-        whole = found.agg(F.max("total_rows").alias("total_rows"), F.sort_array(F.collect_list(finding)).alias("columns"))
-        whole = whole.withColumn("worst", _worst_first(F.col("columns")))
+        else:
+            found = merged([moments(df, [NESTED] * width, placeholders)])
+        cells = ", ".join(
+            f"'{f.name}', " + (SHARE if f.name == "null_percentage" else f"`{f.name}`") for f in T.StructType.fromDDL(FINDING[7:-1]).fields
+        )
         rows = []
         if "null_values" in order:
-            rows.append(F.struct(*_row(dataset_id, connector, order, "null_values", F.lit("success"), F.col("total_rows"), width, F.size("worst"), F.col("worst"))))
+            rows.append(_row(dataset_id, connector, order, "null_values", "'success'", width, "size(worst)", "worst"))
         if "descriptive_stats" in order:
-            rows.append(F.struct(*_row(dataset_id, connector, order, "descriptive_stats", F.lit("success"), F.col("total_rows"), width, F.size("columns"), F.col("columns"))))
-        parts.append(whole.select(F.inline(F.array(*rows))))
+            rows.append(_row(dataset_id, connector, order, "descriptive_stats", "'success'", width, "size(columns)", "columns"))
+        # one array entry per column of the table
+        parts.append(run(
+            f"""
+            SELECT inline(array({', '.join(rows)})) FROM (
+              SELECT total_rows, columns, {WORST_FIRST} AS worst FROM (
+                SELECT max(total_rows) AS total_rows, sort_array(collect_list(named_struct({cells}))) AS columns FROM @found@))
+            """,
+            found=found,
+        ))
     return union_all(parts)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .assess import FINDING
-from .report import STAT_NAMES, WHOLE, checks_from_json
+from .report import REPORT_JSON, STAT_NAMES, checks_of
 
 # fixed values: how findings are spelled in report texts
 TOTAL_ROWS = r"(?i)Total Rows.*?(\d+(?:,\d+)*)"
@@ -42,14 +42,8 @@ def _stat(text: Column) -> Column:
     return F.when(~shown.isin("-", ""), shown)
 
 
-def parse_markdown(texts: DataFrame, column: str = "document", keys: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
-    """Check rows found in Markdown reports.
-
-    (keys, check_name, status, error, total_rows, total_columns, metric_value,
-    columns). Duplicates count as success only at zero; a report that shows the
-    duplicate check as failed yields ``error``.
-    """
-    text = F.col(column)
+def _from_markdown(text: Column) -> Column:
+    """Array of check rows found in a Markdown report."""
     rows, dup = _number(_group(text, TOTAL_ROWS, 1)), _number(_group(text, DUPLICATES, 1))
     found_dup = rows.isNotNull() & dup.isNotNull()
     bad, width = _number(_group(text, MISSING, 1)), _number(_group(text, MISSING, 2))
@@ -86,18 +80,17 @@ def parse_markdown(texts: DataFrame, column: str = "document", keys: tuple[str,
         row("descriptive_stats", analyzed.isNotNull() | F.lower(text).contains("descriptive"), F.lit("success"), null, null,
             null, F.coalesce(analyzed, F.size(F.coalesce(table, none))), table),
     )
-    return texts.select(*keys, F.inline(F.filter(found, lambda r: r.isNotNull())))
+    return F.filter(found, lambda r: r.isNotNull())
 
 
 def parse_reports(texts: DataFrame, column: str = "document", keys: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
-    """Check rows of report texts: embedded JSON results first, Markdown otherwise."""
-    embedded = F.nullif(F.regexp_extract(F.col(column), EMBEDDED_JSON, 1), F.lit(""))
-    inner = F.get_json_object(embedded, "$.assessment_results")
-    marked = texts.withColumn("__json", F.when(F.get_json_object(inner, "$.check_results").isNotNull(), inner))
-    shape = ["check_name", "status", "error", "total_rows", "total_columns", "metric_value", "columns"]
-    from_text = parse_markdown(marked.where("__json is null"), column, keys)
-    return from_text.select(*keys, *shape).unionByName(_from_embedded(marked.where("__json is not null"), keys, shape))
+    """Check rows of report texts: embedded JSON results first, Markdown otherwise.
 
-
-def _from_embedded(texts: DataFrame, keys, shape) -> DataFrame:
-    return checks_from_json(texts, "__json", keep=keys).select(*keys, *shape)
+    (keys, check_name, status, error, total_rows, total_columns, metric_value,
+    columns). Duplicates count as success only at zero; a report that shows the
+    duplicate check as failed yields ``error``.
+    """
+    embedded = F.nullif(F.regexp_extract(F.col(column), EMBEDDED_JSON, 1), F.lit(""))
+    parsed = F.from_json(F.get_json_object(embedded, "$.assessment_results"), REPORT_JSON)
+    from_json = F.when(F.size(parsed["check_results"]) > 0, checks_of(parsed))
+    return texts.select(*keys, F.inline(F.coalesce(from_json, _from_markdown(F.col(column)))))

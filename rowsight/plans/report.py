@@ -256,10 +256,9 @@ def _short(c: Column) -> Column:
     return _say(F.when(c["passed"], "✅").otherwise("❌"), " ", _title(name), ": ", detail)
 
 
-def report_summary(assessments: DataFrame, top: int = 3) -> DataFrame:
-    """Short text per table: totals, one line per check, first recommendations."""
+def _summary(top: int = 3) -> Column:
     first = F.slice("recommendations", 1, top)
-    text = F.array_join(
+    return F.array_join(
         F.concat(
             F.array(
                 F.lit("📊 DATA QUALITY ASSESSMENT SUMMARY"),
@@ -278,11 +277,15 @@ def report_summary(assessments: DataFrame, top: int = 3) -> DataFrame:
         ),
         "\n",
     )
+
+
+def report_summary(assessments: DataFrame, top: int = 3) -> DataFrame:
+    """Short text per table: totals, one line per check, first recommendations."""
     return assessments.select(
         "dataset_id", "connector", "total_checks", "passed_checks", "failed_checks", "error_checks",
         _say(F.format_number(F.col("passed_checks") / F.greatest(F.lit(1), F.col("passed_checks") + F.col("failed_checks")) * 100, 1), "%").alias("pass_rate"),
         F.size("recommendations").cast("bigint").alias("recommendations_count"),
-        text.alias("summary"),
+        _summary(top).alias("summary"),
     )
 
 
@@ -294,8 +297,7 @@ def _json_stats(c: Column) -> Column:
     ])
 
 
-def assessment_json(assessments: DataFrame, stamp: str) -> DataFrame:
-    """(dataset_id, document): one JSON object per table."""
+def _json(stamp: str) -> Column:
     checks = F.col("checks")
 
     def one(name):
@@ -324,23 +326,25 @@ def assessment_json(assessments: DataFrame, stamp: str) -> DataFrame:
         F.struct("passed_checks", "failed_checks", "error_checks").alias("summary"),
         F.transform("recommendations", lambda r: F.struct(r["title"].alias("title"), r["description"].alias("description"), r["priority"].alias("priority"))).alias("recommendations"),
     )
-    return assessments.select("dataset_id", F.to_json(body, {"ignoreNullFields": "true", "pretty": "true"}).alias("document"))
+    return F.to_json(body, {"ignoreNullFields": "true", "pretty": "true"})
+
+
+def assessment_json(assessments: DataFrame, stamp: str) -> DataFrame:
+    """(dataset_id, document): one JSON object per table."""
+    return assessments.select("dataset_id", _json(stamp).alias("document"))
 
 
 def documents(assessments: DataFrame, stamp: str, formats=("markdown", "html", "json")) -> DataFrame:
-    """(dataset_id, format, document) for the wanted formats; ``summary`` is one too."""
-    wanted = [f.strip().lower() for f in (formats.split(",") if isinstance(formats, str) else formats)]
+    """(dataset_id, format, document) for the wanted formats; ``summary`` is one
+    too. All formats of a table come from the same row, so nothing runs twice."""
     made = {
-        "markdown": lambda: assessments.select("dataset_id", _document(_markdown(stamp)).alias("document")),
-        "html": lambda: assessments.select("dataset_id", _html(stamp).alias("document")),
-        "json": lambda: assessment_json(assessments, stamp),
-        "summary": lambda: report_summary(assessments).select("dataset_id", F.col("summary").alias("document")),
+        "markdown": lambda: _document(_markdown(stamp)), "html": lambda: _html(stamp), "json": lambda: _json(stamp), "summary": _summary,
     }
-    parts = [made[f]().select("dataset_id", F.lit(f).alias("format"), "document") for f in wanted if f in made]
-    out = parts[0] if parts else assessments.sparkSession.createDataFrame([], "dataset_id string, format string, document string")
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    wanted = [f.strip().lower() for f in (formats.split(",") if isinstance(formats, str) else formats)]
+    rows = [F.struct(F.lit(f).alias("format"), made[f]().alias("document")) for f in wanted if f in made]
+    if not rows:
+        return assessments.sparkSession.createDataFrame([], "dataset_id string, format string, document string")
+    return assessments.select("dataset_id", F.inline(F.array(*rows)))
 
 
 # JSON reports as read back: numbers may come as text, so every value is text first
@@ -350,62 +354,64 @@ _RESULT_JSON = (
     "null_analysis:array<struct<column_name:string,null_count:string,null_percentage:string>>,"
     f"descriptive_stats:map<string,{_STAT_JSON}>>"
 )
-_REPORT_JSON = f"struct<metadata:struct<dataset_id:string,connector_type:string>,check_results:map<string,{_RESULT_JSON}>>"
+REPORT_JSON = f"struct<metadata:struct<dataset_id:string,connector_type:string>,check_results:map<string,{_RESULT_JSON}>>"
 
 
 def _whole(c: Column) -> Column:
     return c.try_cast("double").cast("bigint")
 
 
-def checks_from_json(texts: DataFrame, column: str = "document", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Check rows from JSON reports, without reading any table. ``keep`` names
-    columns of ``texts`` to carry along; they replace fields of the same name."""
-    parsed = texts.select(*keep, F.from_json(F.col(column), _REPORT_JSON).alias("r")).where("r is not null")
-    own = {"dataset_id": F.col("r.metadata.dataset_id"), "connector": F.col("r.metadata.connector_type")}
-    named = [c.alias(n) for n, c in own.items() if n not in keep]
-    rows = parsed.select(
-        *keep, *named, F.posexplode(F.map_entries("r.check_results")).alias("at", "e"),
-    ).select(*keep, *[n for n in own if n not in keep], "at", F.col("e.key").alias("check_name"), F.col("e.value").alias("v")).where("v is not null")
+def checks_of(report: Column) -> Column:
+    """Array of check rows of a parsed JSON report, in the order of its checks."""
 
     def time_or_number(v: Column) -> Column:
         return F.coalesce(v.try_cast("double"), F.unix_micros(v.try_cast("timestamp")).cast("double"))
 
-    def finding(entry: Column, i: Column) -> Column:
-        s = entry["value"]
-        label = s["unique"].isNotNull()
+    none = F.lit(None)
+    names = [f.name for f in T.StructType.fromDDL(FINDING[7:-1]).fields]
+
+    def entry(**known) -> Column:
+        return F.struct(*[known.get(n, none).alias(n) for n in names]).cast(FINDING)
+
+    def finding(item: Column, i: Column) -> Column:
+        s = item["value"]
         time = s["mean"].isNotNull() & s["mean"].try_cast("double").isNull()
-        kind = F.when(label, "categorical").when(time, TEMPORAL).otherwise("numeric")
-        none = F.lit(None)
-        return F.struct(
-            i.alias("ordinal"), entry["key"].alias("column_name"), kind.alias("type_class"), none.alias("null_count"), none.alias("null_percentage"),
-            _whole(s["count"]).alias("count"), _whole(s["unique"]).alias("unique"), s["top"].alias("top"), _whole(s["freq"]).alias("freq"),
-            *[time_or_number(s[JSON_NAMES.get(n, n)]).alias(n) for n in ("mean", "std", "min", "p25", "p50", "p75", "max")],
-        ).cast(FINDING)
+        kind = F.when(s["unique"].isNotNull(), "categorical").when(time, TEMPORAL).otherwise("numeric")
+        return entry(
+            ordinal=i, column_name=item["key"], type_class=kind, top=s["top"], **{n: _whole(s[n]) for n in WHOLE},
+            **{n: time_or_number(s[JSON_NAMES.get(n, n)]) for n in ("mean", "std", "min", "p25", "p50", "p75", "max")},
+        )
 
     def missing(x: Column, i: Column) -> Column:
-        none = F.lit(None)
-        rest = [f.name for f in T.StructType.fromDDL(f"x {FINDING}").fields[0].dataType.fields][5:]
+        share = x["null_percentage"].try_cast("double")
+        return entry(ordinal=i, column_name=x["column_name"], null_count=_whole(x["null_count"]), null_percentage=share)
+
+    def row(e: Column) -> Column:
+        name, v = e["key"], e["value"]
+        columns = F.coalesce(
+            F.when(name == "null_values", F.transform(v["null_analysis"], missing)).when(
+                name == "descriptive_stats", F.transform(F.map_entries(v["descriptive_stats"]), finding)
+            ),
+            F.array().cast(f"array<{FINDING}>"),
+        )
+        metric = (
+            F.when(name == "duplicates", _whole(v["duplicate_qty"]))
+            .when(name == "null_values", _whole(v["columns_with_nulls"]))
+            .otherwise(F.size(F.map_keys(v["descriptive_stats"])).cast("bigint"))
+        )
         return F.struct(
-            i.alias("ordinal"), x["column_name"].alias("column_name"), none.alias("type_class"), _whole(x["null_count"]).alias("null_count"),
-            x["null_percentage"].try_cast("double").alias("null_percentage"), *[none.alias(n) for n in rest],
-        ).cast(FINDING)
-
-    v, name = F.col("v"), F.col("check_name")
-    columns = F.coalesce(
-        F.when(name == "null_values", F.transform(v["null_analysis"], missing)).when(
-            name == "descriptive_stats", F.transform(F.map_entries(v["descriptive_stats"]), finding)
-        ),
-        F.array().cast(f"array<{FINDING}>"),
-    )
-    carried = [k for k in keep if k not in own]
-    made = rows.select(
-        *carried, "dataset_id", "connector", (F.col("at") + 1).alias("position"), name, v["status"].alias("status"), v["error"].alias("error"),
-        _whole(v["total_rows"]).alias("total_rows"), _whole(v["total_columns"]).alias("total_columns"), columns.alias("columns"), v,
-    )
-    metric = (
-        F.when(name == "duplicates", _whole(F.col("v.duplicate_qty")))
-        .when(name == "null_values", _whole(F.col("v.columns_with_nulls")))
-        .otherwise(F.size("columns"))
-    )
-    made = made.withColumn("metric_value", metric.cast("bigint"))
-    return made.select(*carried, *[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(CHECK_ROW).fields])
+            name.alias("check_name"), v["status"].alias("status"), v["error"].alias("error"), _whole(v["total_rows"]).alias("total_rows"),
+            _whole(v["total_columns"]).alias("total_columns"), metric.alias("metric_value"), columns.alias("columns"),
+        )
+
+    return F.transform(F.filter(F.map_entries(report["check_results"]), lambda e: e["value"].isNotNull()), row)
+
+
+def checks_from_json(texts: DataFrame, column: str = "document") -> DataFrame:
+    """Check rows from JSON reports, without reading any table."""
+    parsed = texts.select(F.from_json(F.col(column), REPORT_JSON).alias("r")).where("r is not null")
+    made = parsed.select(
+        F.col("r.metadata.dataset_id").alias("dataset_id"), F.col("r.metadata.connector_type").alias("connector"),
+        F.posexplode(checks_of(F.col("r"))).alias("place", "c"),
+    ).select("dataset_id", "connector", (F.col("place") + 1).alias("position"), "c.*")
+    return made.select([F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(CHECK_ROW).fields])

@@ -42,6 +42,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; unknown counts as huge."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # no JVM handle (remote session)
         return 1 << 62
