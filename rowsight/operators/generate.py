@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import col
+from ..session import cut_lineage
 from .inject import inject_duplicates, inject_nulls, inject_outliers, near_duplicates, with_dense_index
 
 # fixed values: enumerations and ranges of the business tables
@@ -83,6 +84,11 @@ def row_ids(spark: SparkSession, rows: int) -> DataFrame:
     return spark.range(1, rows + 1)
 
 
+def _extra(ids: DataFrame) -> list[str]:
+    """Columns of ``ids`` to carry along."""
+    return [c for c in ids.columns if c != "id"]
+
+
 def customers(ids: DataFrame, as_of: dt.date, seed: int = 42) -> DataFrame:
     """22 columns; income rises with age and never falls below 0."""
     r, today = _Draw(F.col("id"), seed), F.lit(as_of)
@@ -112,6 +118,7 @@ def customers(ids: DataFrame, as_of: dt.date, seed: int = 42) -> DataFrame:
         r.day("login", today, 90).alias("last_login"),
         (r.uniform("active") < 0.5).alias("is_active"),
         r.choice("segment", SEGMENTS).alias("customer_segment"),
+        *_extra(ids),
     )
 
 
@@ -153,6 +160,7 @@ def products(ids: DataFrame, as_of: dt.date, seed: int = 42) -> DataFrame:
         r.real("discount", 0.0, 30.0, 1).alias("discount_percentage"),
         "created_date",
         F.date_add("created_date", F.floor(r.uniform("updated") * (F.datediff(today, "created_date") + 1)).cast("int")).alias("last_updated"),
+        *_extra(ids),
     )
 
 
@@ -183,19 +191,33 @@ INVOICE_OUTLIERS = {
 }
 
 
-def dirty(df: DataFrame, key: str, nulls: dict, outliers: dict, duplicate_rate: float, seed: int = 42) -> DataFrame:
-    """Copies first, then nulls, then outliers, so that some copies differ.
+def copied_ids(ids: DataFrame, duplicate_rate: float, seed: int = 42) -> DataFrame:
+    """(id, copy): the ids and as many drawn copies that they make up
+    ``duplicate_rate`` of the result. Written out once, as every pick of defects
+    reads it; 12 bytes a row."""
+    drawn = inject_duplicates(ids.select("id"), duplicate_rate, ["id"], seed, of_result=True)
+    # a row is drawn a handful of times at most
+    return cut_lineage(drawn.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("id"))))
 
-    ``duplicate_rate`` is relative to the result: a table of n rows holds
-    floor(n * rate) copies. Each copy is keyed by its number.
-    """
-    keyed = df.withColumn("__copy", F.lit(0))
-    copied = inject_duplicates(keyed, duplicate_rate, [key], seed, of_result=True)
-    # the k-th copy of a row gets number k; a row is drawn a handful of times at most
-    place = F.row_number().over(Window.partitionBy(col(key)).orderBy(col(key))) - 1
-    numbered = copied.withColumn("__copy", place)
-    blanked = inject_nulls(numbered, nulls, [key, "__copy"], seed)
-    return inject_outliers(blanked, outliers, [key, "__copy"], seed).drop("__copy")
+
+def _spoiled(make, id_column: str, copied: DataFrame, as_of, seed, nulls, outliers) -> DataFrame:
+    key = [id_column, "copy"]
+    keys = copied.select(F.col("id").alias(id_column), "copy")
+    blanked = inject_nulls(make(copied, as_of, seed), nulls, key, seed, keys=keys)
+    return inject_outliers(blanked, outliers, key, seed, keys=keys).drop("copy")
+
+
+def dirty_customers(
+    ids: DataFrame, as_of: dt.date, duplicate_rate: float = 0.08, seed: int = 42, nulls: dict = CUSTOMER_NULLS, outliers: dict = CUSTOMER_OUTLIERS,
+) -> DataFrame:
+    """Customers with copies first, then nulls, then outliers, so some copies differ."""
+    return _spoiled(customers, "customer_id", copied_ids(ids, duplicate_rate, seed), as_of, seed, nulls, outliers)
+
+
+def dirty_products(
+    ids: DataFrame, as_of: dt.date, duplicate_rate: float = 0.08, seed: int = 42, nulls: dict = PRODUCT_NULLS, outliers: dict = PRODUCT_OUTLIERS,
+) -> DataFrame:
+    return _spoiled(products, "product_id", copied_ids(ids, duplicate_rate, seed), as_of, seed, nulls, outliers)
 
 
 def invoices(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.scalars import col, digest, digest_number, run
+from ..functions.scalars import col, digest, digest_number, quoted, run, text
 from ..session import cut_lineage
 from .quantiles import select_ranks
 
@@ -27,54 +27,66 @@ def share_of(total: Column, rate: float, of_result: bool = False) -> Column:
     return F.floor(total * F.lit(float(rate))).cast("bigint")
 
 
-def _cutoff(df: DataFrame, key: list[str], salt: str, rate: float) -> Column:
-    """Digest of the last picked row as a scalar; null when nothing is picked."""
-    marks = df.select(digest([col(k) for k in key], salt).alias("mark"))
-    at = select_ranks(
-        marks.select(F.lit(0).alias("ordinal"), digest_number(F.col("mark")).alias("v")),
-        f"filter(array(CAST(floor(total * {float(rate)!r}D) AS BIGINT)), r -> r > 0)",
-    )
+def _cutoffs(df: DataFrame, key: list[str], rates: dict[str, float]) -> Column:
+    """Map salt -> digest of its last picked row, as one scalar: all picks of a
+    table come from one chain of counts that reads the key columns only."""
+    names = ", ".join(quoted(k) for k in key)
+    keys = ", ".join(f"CAST({quoted(k)} AS STRING)" for k in key)
+    salts = list(rates)
+    marks = ", ".join(f"named_struct('ordinal', {i}, 'mark', md5(concat_ws(':', {keys}, {text(salt)})))" for i, salt in enumerate(salts))
+    number = "CAST(CAST(conv(substring(mark, 1, 13), 16, 10) AS BIGINT) AS DOUBLE)"
+    long = run(f"SELECT *, {number} AS v FROM (SELECT inline(array({marks})) FROM (SELECT {names} FROM @df@))", df=df)
+    share = f"element_at(array({', '.join(f'{float(rates[x])!r}D' for x in salts)}), ordinal + 1)"
+    at = select_ranks(long.select("ordinal", "v"), f"filter(array(CAST(floor(total * {share}) AS BIGINT)), r -> r > 0)")
     # rows that share 52 bits of the digest with the last pick: one, by all odds
     last = run(
-        """
-        SELECT element_at(sort_array(marks), CAST(least(rest, size(marks)) AS INT)) AS mark FROM (
-          SELECT /*+ BROADCAST(at) */ collect_set(mark) AS marks, max(rest) AS rest
-          FROM @marks@ marks JOIN @at@ at ON CAST(CAST(conv(substring(mark, 1, 13), 16, 10) AS BIGINT) AS DOUBLE) = v)
-        WHERE size(marks) > 0
+        f"""
+        SELECT map_from_entries(collect_list(struct(salt, mark))) AS cutoffs FROM (
+          SELECT /*+ BROADCAST(a) */ element_at(array({', '.join(text(x) for x in salts)}), m.ordinal + 1) AS salt,
+                 element_at(sort_array(collect_set(mark)), CAST(least(max(rest), count(DISTINCT mark)) AS INT)) AS mark
+          FROM @marks@ m JOIN @at@ a ON m.ordinal = a.ordinal AND m.v = a.v GROUP BY m.ordinal)
         """,
-        marks=marks, at=at,
+        marks=long, at=at,
     )
     return last.scalar()
 
 
-def picked(df: DataFrame, key: list[str], salt: str, rate: float, exact: bool = True) -> Column:
-    """Is this row among the picked? ``exact`` picks floor(rows * rate) rows;
-    otherwise each row is picked on its own with probability ``rate``."""
+def _hit(df: DataFrame, key: list[str], salt: str, rate: float, cutoffs: Column | None) -> Column:
+    """Is this row picked: exactly floor(rows * rate) rows by cutoff, or each on its own."""
     mark = digest([col(k) for k in key], salt)
-    if not exact:
+    if cutoffs is None:
         return digest_number(mark) < int(rate * (1 << 52))
-    cutoff = _cutoff(df, key, salt, rate)
-    return F.coalesce(mark <= cutoff, F.lit(False))
+    return F.coalesce(mark <= F.try_element_at(cutoffs, F.lit(salt)), F.lit(False))
 
 
-def inject_nulls(df: DataFrame, rates: dict[str, float], key: list[str], seed: int = 42, exact: bool = True) -> DataFrame:
-    """Blank floor(rows * rate) cells per column; columns independent, unknown ones ignored."""
-    changed = {
-        name: F.when(~picked(df, key, f"null:{name}:{seed}", rate, exact), col(name))
-        for name, rate in rates.items()
-        if name in df.columns
-    }
+def inject_nulls(
+    df: DataFrame, rates: dict[str, float], key: list[str], seed: int = 42, exact: bool = True, keys: DataFrame | None = None,
+) -> DataFrame:
+    """Blank floor(rows * rate) cells per column; columns independent, unknown ones
+    ignored. Not ``exact``: each cell on its own with that probability. ``keys``
+    may name a cheaper table that holds the same keys."""
+    salts = {name: f"null:{name}:{seed}" for name in rates if name in df.columns}
+    if not salts:
+        return df
+    cutoffs = _cutoffs(df if keys is None else keys, key, {salts[n]: rates[n] for n in salts}) if exact else None
+    changed = {n: F.when(~_hit(df, key, salts[n], rates[n], cutoffs), col(n)) for n in salts}
     return df.select([changed.get(c, col(c)).alias(c) for c in df.columns])
 
 
-def inject_outliers(df: DataFrame, config: dict[str, dict], key: list[str], seed: int = 42, exact: bool = True) -> DataFrame:
+def inject_outliers(
+    df: DataFrame, config: dict[str, dict], key: list[str], seed: int = 42, exact: bool = True, keys: DataFrame | None = None,
+) -> DataFrame:
     """Overwrite cells with a fixed ``value``, with one of ``choices`` in equal
     shares, or with a number in [``min``, ``max``] (whole for integer columns).
     Default rate 0.02."""
+    config = {n: c for n, c in config.items() if n in df.columns and ("value" in c or "choices" in c or {"min", "max"} <= set(c))}
+    if not config:
+        return df
+    salts = {n: f"outlier:{n}:{seed}" for n in config}
+    rates = {n: c.get("rate", 0.02) for n, c in config.items()}
+    cutoffs = _cutoffs(df if keys is None else keys, key, {salts[n]: rates[n] for n in config}) if exact else None
     changed = {}
     for name, c in config.items():
-        if name not in df.columns:
-            continue
         dtype = df.schema[name].dataType
         part = digest_number(digest([col(k) for k in key], f"value:{name}:{seed}")) / F.lit(float(1 << 52))
         if "value" in c:
@@ -82,16 +94,11 @@ def inject_outliers(df: DataFrame, config: dict[str, dict], key: list[str], seed
         elif "choices" in c:
             options = F.array(*[F.lit(x) for x in c["choices"]])
             value = F.element_at(options, (F.floor(part * len(c["choices"])) + 1).cast("int"))
-        elif "min" in c and "max" in c:
-            low, high = c["min"], c["max"]
-            if isinstance(dtype, T.IntegralType):
-                value = F.floor(part * (int(high) - int(low) + 1)) + int(low)
-            else:
-                value = part * (high - low) + F.lit(float(low))
+        elif isinstance(dtype, T.IntegralType):
+            value = F.floor(part * (int(c["max"]) - int(c["min"]) + 1)) + int(c["min"])
         else:
-            continue
-        hit = picked(df, key, f"outlier:{name}:{seed}", c.get("rate", 0.02), exact)
-        changed[name] = F.when(hit, value.cast(dtype)).otherwise(col(name))
+            value = part * (c["max"] - c["min"]) + F.lit(float(c["min"]))
+        changed[name] = F.when(_hit(df, key, salts[name], rates[name], cutoffs), value.cast(dtype)).otherwise(col(name))
     return df.select([changed.get(c, col(c)).alias(c) for c in df.columns])
 
 

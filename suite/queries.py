@@ -38,7 +38,7 @@ def scan_table(spark, sf):
 
 
 def scan_query(spark, sf):
-    view(spark, sf, "orders", "SELECT 1 AS one")
+    view(spark, sf, "orders", "SELECT * FROM orders")
     q = "SELECT o_custkey, count(*) AS order_count, max(o_totalprice) AS top_price FROM orders GROUP BY o_custkey"
     return tables.scan(spark, query=q, limit=1)
 
@@ -237,13 +237,11 @@ def _product_ids(spark, sf):
 
 
 def gen_customers(spark, sf):
-    made = generate.customers(_customer_ids(spark, sf), AS_OF)
-    return generate.dirty(made, "customer_id", generate.CUSTOMER_NULLS, generate.CUSTOMER_OUTLIERS, 0.08)
+    return generate.dirty_customers(_customer_ids(spark, sf), AS_OF)
 
 
 def gen_products(spark, sf):
-    made = generate.products(_product_ids(spark, sf), AS_OF)
-    return generate.dirty(made, "product_id", generate.PRODUCT_NULLS, generate.PRODUCT_OUTLIERS, 0.08)
+    return generate.dirty_products(_product_ids(spark, sf), AS_OF)
 
 
 def gen_invoices(spark, sf):
