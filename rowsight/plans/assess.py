@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.identifiers import CHECKS, default_connector
 from ..functions.scalars import run, text, union_all
@@ -24,6 +24,7 @@ FINDING = (
     "struct<ordinal:int,column_name:string,type_class:string,null_count:bigint,null_percentage:double,count:bigint,"
     "unique:bigint,top:string,freq:bigint,mean:double,std:double,min:double,p25:double,p50:double,p75:double,max:double>"
 )
+FINDING_FIELDS = [part.split(":")[0] for part in FINDING[len("struct<"):-1].split(",")]
 CHECK_ROW = (
     "dataset_id string, connector string, position int, check_name string, status string, error string, "
     f"total_rows bigint, total_columns bigint, metric_value bigint, columns array<{FINDING}>"
@@ -89,7 +90,7 @@ def assess(
         else:
             found = merged([moments(df, [NESTED] * width, placeholders)])
         cells = ", ".join(
-            f"'{f.name}', " + (SHARE if f.name == "null_percentage" else f"`{f.name}`") for f in T.StructType.fromDDL(FINDING[7:-1]).fields
+            f"'{name}', " + (SHARE if name == "null_percentage" else f"`{name}`") for name in FINDING_FIELDS
         )
         rows = []
         if "null_values" in order:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .assess import FINDING
+from .assess import FINDING, FINDING_FIELDS
 from .report import REPORT_JSON, STAT_NAMES, checks_of
 
 # fixed values: how findings are spelled in report texts
@@ -33,8 +33,7 @@ def _every(text: Column, pattern: str, groups: int) -> Column:
 
 
 def _finding(**known) -> Column:
-    names = [p.split(":")[0] for p in FINDING[len("struct<"):-1].split(",")]
-    return F.struct(*[known.get(n, F.lit(None)).alias(n) for n in names]).cast(FINDING)
+    return F.struct(*[known.get(n, F.lit(None)).alias(n) for n in FINDING_FIELDS]).cast(FINDING)
 
 
 def _stat(text: Column) -> Column:

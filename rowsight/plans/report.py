@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import fixed, grouped
 from ..operators.statistics import TEMPORAL, as_time
-from .assess import CHECK_ROW, FINDING
+from .assess import CHECK_ROW, FINDING, FINDING_FIELDS
 
 STAT_NAMES = ("count", "mean", "std", "min", "p25", "p50", "p75", "max", "unique", "top", "freq")
 STAT_TITLES = ("Count", "Mean", "Std", "Min", "25%", "50%", "75%", "Max", "Unique", "Top", "Freq")
@@ -368,10 +368,8 @@ def checks_of(report: Column) -> Column:
         return F.coalesce(v.try_cast("double"), F.unix_micros(v.try_cast("timestamp")).cast("double"))
 
     none = F.lit(None)
-    names = [f.name for f in T.StructType.fromDDL(FINDING[7:-1]).fields]
-
     def entry(**known) -> Column:
-        return F.struct(*[known.get(n, none).alias(n) for n in names]).cast(FINDING)
+        return F.struct(*[known.get(n, none).alias(n) for n in FINDING_FIELDS]).cast(FINDING)
 
     def finding(item: Column, i: Column) -> Column:
         s = item["value"]
