@@ -218,3 +218,8 @@ def text_vectors(df: DataFrame, text: str = "text", features: int = 256, out: st
     weights = IDF(inputCol="__counts", outputCol="__weights").fit(counts).transform(counts)
     unit = Normalizer(inputCol="__weights", outputCol="__unit").transform(weights)
     return unit.withColumn(out, vector_to_array("__unit", "float32")).drop("__words", "__counts", "__weights", "__unit")
+
+
+def build_index(documents: DataFrame, features: int = 256) -> DataFrame:
+    """Table documents with their vectors, ready for ``sinks.write_index``."""
+    return text_vectors(documents, "document", features)

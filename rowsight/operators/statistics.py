@@ -14,7 +14,8 @@ from .nulls import PLACEHOLDERS, missing_sql
 from .quantiles import exact_quantiles
 
 ID_SUFFIX = "_id"
-MAP_UPTO_BYTES = 4 << 20
+SCAN_UPTO_BYTES = 4 << 20
+MAP_UPTO_BYTES = 64 << 20
 QUARTILES = (0.25, 0.5, 0.75)
 QUARTILE_NAMES = ("p25", "p50", "p75")
 NUMERIC, CATEGORICAL, TEMPORAL, NESTED = "numeric", "categorical", "temporal", "nested"
@@ -82,6 +83,20 @@ def mode_and_distinct(df: DataFrame, wanted: list[int]) -> DataFrame:
     )
 
 
+def mapped_quartiles(df: DataFrame, wanted: list[int]) -> DataFrame:
+    """(ordinal, p25, p50, p75) from counts per distinct value; for inputs of checked size."""
+    found = ", ".join(f"q[{j}] AS {name}" for j, name in enumerate(QUARTILE_NAMES))
+    probs = ", ".join(f"{p!r}D" for p in QUARTILES)
+    return run(
+        f"""
+        SELECT ordinal, {found} FROM (
+          SELECT ordinal, percentile(v, array({probs}), n) AS q
+          FROM (SELECT ordinal, v, count(1) AS n FROM @cells@ GROUP BY ordinal, v) GROUP BY ordinal)
+        """,
+        cells=numbers_long(df, wanted),
+    )
+
+
 def quick_distinct(df: DataFrame, wanted: list[int]) -> DataFrame:
     """(ordinal, unique) by sketch: no shuffle of values."""
     found = ", ".join(f"approx_count_distinct({as_label(df.schema.fields[i])}) AS u{i}" for i in wanted)
@@ -146,10 +161,13 @@ def profile(
 ) -> DataFrame:
     """All statistics of all columns, one row per column; times in microseconds.
 
-    ``quartiles``: ``map`` keeps a value map per column in one task and needs no
-    further scan; ``split`` finds them in bounded memory; ``auto`` takes ``map``
-    below ``MAP_UPTO_BYTES`` of input. Both are exact. ``sketch`` approximates
-    quartiles and distinct counts and leaves the mode out.
+    ``quartiles``, all exact: ``scan`` counts values along with the other
+    statistics; ``map`` counts them in one more scan, spread over the tasks, and
+    gathers each column's distinct values in one task; ``split`` finds quartiles
+    in bounded memory whatever the size. ``auto`` takes the first below
+    ``SCAN_UPTO_BYTES`` of input, the second below ``MAP_UPTO_BYTES``, else the
+    third. ``sketch`` approximates quartiles and distinct counts and leaves the
+    mode out.
     """
     if not df.columns:
         raise ValueError("cannot describe a table without columns")
@@ -158,11 +176,14 @@ def profile(
     numbers = [i for i in keep if kinds[i] in (NUMERIC, TEMPORAL)]
     labels = [i for i in keep if kinds[i] == CATEGORICAL]
     if quartiles == "auto":
-        quartiles = "map" if plan_bytes(df) <= MAP_UPTO_BYTES else "split"
+        size = plan_bytes(df)
+        quartiles = "scan" if size <= SCAN_UPTO_BYTES else "map" if size <= MAP_UPTO_BYTES else "split"
     scanned = [k if i in keep else NESTED for i, k in enumerate(kinds)]
-    parts = [moments(df, scanned, placeholders, None if quartiles == "split" else quartiles)]
+    parts = [moments(df, scanned, placeholders, quartiles if quartiles in ("scan", "sketch") else None)]
     if numbers and quartiles == "split":
         parts.append(exact_quantiles(numbers_long(df, numbers), QUARTILES, QUARTILE_NAMES))
+    elif numbers and quartiles == "map":
+        parts.append(mapped_quartiles(df, numbers))
     if labels:
         parts.append((quick_distinct if quartiles == "sketch" else mode_and_distinct)(df, labels))
     chosen = ", ".join(str(i) for i in keep) or "NULL"

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.identifiers import WAREHOUSE
 from ..functions.scalars import col, grouped, union_all
 
+log = logging.getLogger(__name__)
+
 # fixed values: schemas of the sources themselves
 SYSTEM_SCHEMAS = {
     "snowflake": ("INFORMATION_SCHEMA",),
@@ -106,8 +111,8 @@ def catalog_frames(spark: SparkSession, schema: str | None = None) -> dict[str,
     for t in spark.catalog.listTables(schema) if schema else spark.catalog.listTables():
         try:
             out[t.name] = spark.table(t.name if t.isTemporary else f"{schema}.{t.name}" if schema else t.name)
-        except Exception as e:  # noqa: BLE001 - a broken table must not stop the others
-            print(f"skipped {t.name}: {e}")
+        except PySparkException as e:  # a broken table must not stop the others
+            log.warning("skipped %s: %s", t.name, e)
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rowsight import fixtures
 from rowsight.fixtures import table, view
@@ -413,6 +413,11 @@ def text_index(spark, sf):
     return search.text_vectors(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "embedding")
 
 
+def table_index(spark, sf):
+    index = search.build_index(table_documents(spark, sf))
+    return index.select("connector", "schema", "full_name", "table_name", "embedding")
+
+
 # ---- reports
 
 

@@ -29,7 +29,7 @@ def test_describe_parity(spark):
         for i in range(240)
     ]
     df = spark.createDataFrame(rows, "n int, x double, s string, ok boolean, d date, t timestamp_ntz, gone string, row_id string")
-    for quartiles in ("split", "map"):
+    for quartiles in ("split", "map", "scan"):
         got = by_column(statistics.column_profile(df, "t", quartiles=quartiles))
         pdf = pd.DataFrame(rows, columns=df.columns)
         for c in ("n", "x"):
