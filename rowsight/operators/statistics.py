@@ -144,7 +144,10 @@ def merged(parts: list[DataFrame]) -> DataFrame:
         have = set(part.columns)
         cells = ", ".join(f"CAST({quoted(k) if k in have else 'NULL'} AS {t}) AS {quoted(k)}" for k, t in PROFILE.items())
         selects.append(f"SELECT ordinal, {cells} FROM @part{i}@")
-    fields = ", ".join(f"max({quoted(k)}) AS {quoted(k)}" for k in PROFILE)
+    nan = "CAST('NaN' AS DOUBLE)"  # infinities may leave NaN behind: no value
+    fields = ", ".join(
+        (f"nullif(max({quoted(k)}), {nan})" if t == "double" else f"max({quoted(k)})") + f" AS {quoted(k)}" for k, t in PROFILE.items()
+    )
     return run(
         f"SELECT ordinal, {fields} FROM ({' UNION ALL '.join(selects)}) GROUP BY ordinal",
         **{f"part{i}": part for i, part in enumerate(parts)},

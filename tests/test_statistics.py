@@ -78,6 +78,13 @@ def test_one_row_and_empty(spark):
         statistics.profile(one.select())
 
 
+@pytest.mark.parametrize("quartiles", ["split", "map", "scan"])
+def test_infinities(spark, quartiles):
+    df = spark.createDataFrame([(float("inf"),), (1.0,), (2.0,), (float("-inf"),), (3.0,)], "x double")
+    got = by_column(statistics.column_profile(df, "t", quartiles=quartiles))["x"]
+    assert (got["p50"], got["min"], got["max"], got["mean"], got["std"]) == (2.0, float("-inf"), float("inf"), None, None)
+
+
 def test_decimal_class(spark):
     df = spark.sql("SELECT CAST(1.50 AS DECIMAL(10,2)) AS price")
     assert by_column(statistics.column_profile(df, "t"))["price"]["type_class"] == "numeric"
