@@ -1,11 +1,16 @@
-"""What the operators of this package share: lineage cuts and names."""
+"""What the operators of this package share: intermediate tables and names."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[str, tuple[SparkSession, str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
@@ -15,19 +20,51 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="rowsight-shared-")
+    return "file://" + tempfile.gettempdir()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables; removed when the driver's Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = spark, f"{shared_folder(spark)}/rowsight-{app}-{uuid.uuid4().hex[:8]}"
+    return _folders[app][1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, folder in _folders.values():
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(spark, folder)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder: later readers neither
-    repeat its work nor depend on the executors that did it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` computed once and written to the shared folder: later readers neither
+    repeat its work nor depend on the executors that did it.
+
+    A table rather than a checkpoint, because a checkpoint keeps the size estimate of
+    its plan: over rounds of joins these products of products grow to numbers of
+    many thousand digits. A table has the size of its files.
+    """
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    for file in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if "/rowsight-" in file:
+            _delete(df.sparkSession, file)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
