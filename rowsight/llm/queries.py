@@ -6,17 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowsight.llm import conversations, hyperminhash, mixture, packing, perplexity, templates
+from rowsight.llm import conversations, hyperminhash, licences, mixture, neighbours, packing, perplexity, rendering, separators, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"))
 
 
+#: documents as files: folders by source, language and range of ids; one that closes with a notice is its folder's licence file
+FILE_PATH = """
+concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), cast(floor(doc_id / 64) AS string),
+          concat(CASE WHEN element_at(split(text, '\\n'), -1) RLIKE '(?i)licen[cs]e|rights reserved' THEN 'LICENSE-' ELSE 'file-' END, doc_id))
+"""
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{FILE_PATH} AS path", "text")
+    return licences.scan(files, keep=("doc_id",))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.drop_recurring(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
@@ -46,6 +67,10 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.rendered(table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -47,6 +48,16 @@ def _clean() -> None:
             _delete(spark, folder)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold texts of about 4 MB rather than 10,000 texts of any length, unless the session has its own limits."""
+    prefix = "spark.sql.execution.arrow."
+    if int(spark.conf.get(prefix + "maxRecordsPerBatch")) == 10_000:  # the default
+        spark.conf.set(prefix + "maxRecordsPerBatch", "2000")
+    # the default is no limit; sizes may carry a unit
+    if len(re.sub(r"\D", "", spark.conf.get(prefix + "maxBytesPerBatch"))) > 9:
+        spark.conf.set(prefix + "maxBytesPerBatch", str(4 << 20))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder: later readers neither
     repeat its work nor depend on the executors that did it.
