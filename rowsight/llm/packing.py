@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rowsight.llm.shared import settled
+from rowsight.llm.shared import bounded_batches, settled
 from rowsight.llm.tokens import Encoder
 from rowsight.llm.words import slices
 
@@ -207,6 +207,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             seen += np.bincount(lengths, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(own)], names=[*batch.schema.names, "part", "own"])
 
+    bounded_batches(docs.sparkSession)
     cut_up = pieces(docs, id_col, text_col, capacity, separator)
     numbered = settled(cut_up.mapInArrow(number, _and(cut_up, part=T.IntegerType(), own=T.LongType())))
     per_part = numbered.groupBy("part", "length").agg(F.count("*").alias("n"))
