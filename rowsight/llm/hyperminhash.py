@@ -9,10 +9,10 @@ collision-corrected estimate of Jaccard's measure drops false ones, and all othe
 are confirmed on the full sets.
 
 Equal sets form one class before anything else, so that thousands of copies cost
-one row. Within a band's bucket no list of all pairs is made: all members meet
-its smallest one first; members which that leaves outside the smallest one's
-component meet, best estimates first, members of other components until no
-candidate between two components is unconfirmed.
+one row. Within a band's bucket no list of all pairs is made: all members meet its
+smallest one first. Only in buckets that then hold several components do members of
+different components meet, in cells of bounded size that compare registers and pass
+on lists, and in blocks of bounded size that confirm them on the full sets.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from rowsight.llm.components import components
-from rowsight.llm.shared import settled
+from rowsight.llm.shared import bounded_batches, settled
 from rowsight.llm.words import STEP, WordHashes, mixed, slices, windows
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -34,8 +34,8 @@ BANDS = REGISTERS // ROWS
 COLLISION = 0.169919487159739
 #: candidates are kept this many standard deviations below the threshold
 DEVIATIONS = 5.0
-#: unconfirmed partners that a member outside the component takes up per round
-PER_ROUND = 8
+#: documents of a side of a cell or block in which leftover candidates meet
+CELL = 1024
 
 _ORDER = np.stack([np.random.default_rng(1000 + i).permutation(REGISTERS) for i in range(REGISTERS)])
 
@@ -155,6 +155,109 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.when(fits, 100 * both >= percent * either).otherwise(F.lit(False)).alias("link"))
 
 
+def open_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(x, ys): candidates y < x that share a bucket with x but not its component.
+
+    ``members``: (key, doc, c, n), n the bucket's members. A bucket is cut into a grid
+    of cells of about CELL members a side; a cell compares registers and passes lists
+    on, so no row stands for a pair. A pair is passed in the first band that both share.
+    """
+    side = F.ceil(F.col("n") / CELL).cast("int")
+    block = F.pmod(F.xxhash64("doc"), side).cast("int")
+    rows = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
+    rows = rows.join(reps, "doc").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("doc", "c", "block", "regs", "keys").alias("m"))
+    cells = rows.groupBy("key", "i", "j").agg(F.collect_list("m").alias("ms"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys = [], []
+            starts = batch.column(3).offsets.to_numpy()
+            flat = batch.column(3).values
+            doc, c, part = (flat.field(i).to_numpy() for i in range(3))
+            regs, bands_ = flat.field(3), flat.field(4)
+            for g, (key, i, j) in enumerate(zip(*(batch.column(n).to_pylist() for n in range(3)))):
+                a, b = int(starts[g]), int(starts[g + 1])
+                order = np.argsort(doc[a:b], kind="stable")
+                d, comp, blk = doc[a:b][order], c[a:b][order], part[a:b][order]
+                r = np.frombuffer(b"".join(regs[a:b].to_pylist()), np.uint16).reshape(-1, REGISTERS)[order]
+                k = np.array(bands_[a:b].to_pylist(), np.int64).reshape(-1, BANDS)[order]
+                mine = int(np.flatnonzero((k == key).all(axis=0))[0])
+                for x in range(1, len(d)):  # against all smaller documents
+                    ok = (comp[:x] != comp[x]) & (d[:x] != d[x])
+                    if i != j:
+                        ok &= blk[:x] != blk[x]
+                    if not ok.any():
+                        continue
+                    ok &= ~(k[:x, :mine] == k[x, :mine]).any(axis=1)
+                    at = np.flatnonzero(ok)
+                    if len(at):
+                        value, floor = estimated(r[at], r[x][None, :], percent)
+                        at = at[value >= floor]
+                        if len(at):
+                            xs.append(d[x]), ys.append(d[at])
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.list_(pa.int64()))], names=["x", "ys"])
+
+    return cells.mapInArrow(task, "x bigint, ys array<bigint>")
+
+
+def confirmed_lists(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): enough of the links among the pairs of ``lists`` to connect all that they connect.
+
+    Sets meet in blocks of documents; a block keeps a link only if the links it has
+    seen don't connect the two already.
+    """
+    size = Observation()
+    sets = settled(sets.observe(size, F.count("*").alias("n")))
+    n = max(1, size.get["n"] // CELL)
+    asked = settled(lists).join(sets.select(F.col("doc").alias("x"), F.col("shingles").alias("sx")), "x")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, row, ys = [], [], []
+            for r, wanted in enumerate(batch.column(1).to_pylist()):
+                wanted = np.array(wanted)
+                home = wanted % n
+                for b in np.unique(home).tolist():
+                    block.append(b), row.append(r), ys.append(wanted[home == b])
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), batch.column(0).take(row), batch.column(2).take(row), pa.array(ys, pa.list_(pa.int64()))], names=["block", "x", "sx", "ys"])
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        home = dict(zip(left.column("doc").to_pylist(), range(left.num_rows)))
+        held = left.column("shingles").combine_chunks()
+        sets_ = {}
+        root: dict = {}
+
+        def top(v):
+            while root.get(v, v) != v:
+                root[v] = v = root.get(root[v], root[v])
+            return v
+
+        a, b = [], []
+        for chunk in right.to_batches():
+            for r, (x, ys) in enumerate(zip(chunk.column("x").to_pylist(), chunk.column("ys").to_pylist())):
+                sx = np.sort(chunk.column("sx")[r].values.to_numpy())
+                for y in ys:
+                    if top(x) == top(y):
+                        continue
+                    if y not in sets_:
+                        sets_[y] = np.sort(held[home[y]].values.to_numpy())
+                    sy = sets_[y]
+                    small, large = (sx, sy) if len(sx) < len(sy) else (sy, sx)
+                    if 100 * len(small) < percent * len(large):
+                        continue
+                    at = np.searchsorted(large, small)
+                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                    if 100 * both >= percent * (len(sx) + len(sy) - both):
+                        root[top(x)] = top(y)
+                        a.append(x), b.append(y)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    messages = asked.select("x", "ys", "sx").mapInArrow(send, "block bigint, x bigint, sx array<bigint>, ys array<bigint>")
+    homes = sets.select(F.pmod("doc", F.lit(n)).alias("block"), "doc", "shingles").dropDuplicates(["doc"])
+    return homes.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(check, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Class of near copies of each document: id_col, n_shingles, component_id, kept.
 
@@ -166,6 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are left out. The pair of documents of a missed link would have had to miss
     all 32 bands: less than 1 in 10 million at the threshold.
     """
+    bounded_batches(docs.sparkSession)
     sketch = settled(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width))
     full = sketch.where("digest IS NOT NULL")
     # one row for each distinct set; equal sets have equal registers and keys
@@ -184,22 +288,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = settled(candidates(members.where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()))
     wanted = stars.select(F.col("a").alias("doc")).union(stars.select(F.col("b").alias("doc"))).union(ids).distinct()
     sets = settled(shingle_sets(docs.join(wanted, docs[id_col].cast("bigint") == wanted["doc"], "left_semi"), id_col, text_col, width))
-    tried = settled(confirmed(stars, sets, percent))
-    while True:
-        links = tried.where("link").select("a", "b")
-        found = components(links)
-        named = members.join(found, members["doc"] == found["node"], "left").select("key", "doc", "first", F.coalesce("component", "doc").alias("c"))
-        heads = named.where("doc = first").select("key", F.col("c").alias("head"))
-        outside = named.join(heads, "key").where("c <> head").select("key", F.col("doc").alias("x"), F.col("c").alias("cx"))
-        inside = named.select("key", F.col("doc").alias("y"), F.col("c").alias("cy"))
-        # members of other components in the same bucket, least-numbered outsider first
-        pairs = outside.join(inside, "key").where("cx <> cy").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        open_pairs = settled(candidates(pairs))
-        if open_pairs.isEmpty():
-            break
-        ranked = open_pairs.selectExpr("a", "b", "row_number() OVER (PARTITION BY a ORDER BY estimate DESC, b) AS r").where(f"r <= {PER_ROUND}")
-        tried = settled(tried.union(confirmed(ranked, sets, percent)))
+    links = settled(confirmed(stars, sets, percent).where("link").select("a", "b"))
+    found = components(links)
+    named = members.join(found, members["doc"] == found["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
+    apart = Observation()
+    mixed_buckets = named.groupBy("key").agg(F.count("*").alias("n"), (F.min("c") < F.max("c")).alias("open")).where("open").select("key", "n")
+    mixed_buckets = settled(mixed_buckets.observe(apart, F.count("*").alias("n")))
+    if apart.get["n"]:
+        lists = open_pairs(named.join(mixed_buckets, "key"), reps, percent)
+        found = components(links.union(confirmed_lists(lists, sets, percent)))
     by_class = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("of_class"))
     out = full.select("doc", "n_shingles", "digest").join(by_class, "digest").select("doc", "n_shingles", "of_class")
     out = out.union(sketch.where("digest IS NULL").select("doc", "n_shingles", "doc"))

@@ -22,7 +22,7 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; the same in every process."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:  # forget; hashes can be made again
