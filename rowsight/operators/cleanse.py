@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.scalars import col, percent
-from .duplicates import row_groups
+from ..functions.scalars import col, has_type, percent, plain_float
+from .duplicates import groupable, row_groups
 
 
 @dataclass(frozen=True)
@@ -56,13 +56,24 @@ def invoice_rules() -> list[Rule]:
     ]
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN as null: a missing value to every rule and to the comparison of rows."""
+    return df.select([plain_float(col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def cleanse(df: DataFrame, rules: list[Rule], distinct: bool = True) -> DataFrame:
-    """Distinct rows that pass every rule. Rules look at one row each, so they
-    run before the shuffle of the distinct step."""
-    kept = df
+    """Distinct rows that pass every rule, NaN being null. Rules look at one row
+    each, so they run before the shuffle of the distinct step. Rows are equal as in
+    ``row_groups``: maps by their entries."""
+    kept = without_nan(df)
     for rule in rules:
         kept = kept.where(rule.keep)
-    return kept.distinct() if distinct else kept
+    if not distinct:
+        return kept
+    if not any(has_type(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields):
+        return kept.distinct()
+    key = "__row"
+    return kept.withColumn(key, F.struct(*groupable(kept, kept.columns))).dropDuplicates([key]).drop(key)
 
 
 def attrition(df: DataFrame, rules: list[Rule], dataset_id: str) -> DataFrame:
@@ -71,7 +82,7 @@ def attrition(df: DataFrame, rules: list[Rule], dataset_id: str) -> DataFrame:
     failed = F.lit(len(rules) + 1)
     for i in range(len(rules), 0, -1):
         failed = F.when(~F.coalesce(rules[i - 1].keep, F.lit(False)), i).otherwise(failed)
-    groups = row_groups(df)
+    groups = row_groups(without_nan(df))
     tally = groups.select(failed.alias("step"), "copies").groupBy("step").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("copies") - 1).alias("surplus")
     )

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import col, has_type, percent, plain_float
-from ..session import plan_bytes
 
-HASH_FROM_BYTES = 10 << 30
-SUSPECT_LIMIT = 1_000_000
+
+#: timestamps inside nested values, to the microsecond
+MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def key_columns(df: DataFrame, subset=None, exclude=()) -> list[str]:
@@ -40,52 +39,44 @@ def row_groups(df: DataFrame, subset=None, exclude=()) -> DataFrame:
     return keys.groupBy([col(n) for n in names]).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def _count_by_rows(df, subset, exclude) -> DataFrame:
-    return row_groups(df, subset, exclude).agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_qty"),
-    )
-
-
-def _count_by_hash(df, subset, exclude) -> DataFrame:
-    """Shuffle 8-byte hashes first; only rows whose hash occurs more than once
-    can be copies, and only those are compared in full."""
-    names = key_columns(df, subset, exclude)
-    rows = df.select(groupable(df, names))
-    hashed = rows.withColumn("__hash", F.xxhash64(*[col(n) for n in names]))
-    suspects = hashed.groupBy("__hash").count().where("count > 1").persist(StorageLevel.MEMORY_AND_DISK)
-    found = suspects.agg(F.count(F.lit(1)).alias("hashes")).first().hashes
-    if found > SUSPECT_LIMIT:
-        suspects.unpersist()
-        return _count_by_rows(df, subset, exclude)
-    if found == 0:
-        suspects.unpersist()
-        return df.agg(F.count(F.lit(1)).alias("total_rows"), F.lit(0).cast("bigint").alias("duplicate_qty"))
-    # at most SUSPECT_LIMIT hashes: 16 MB
-    same = hashed.join(F.broadcast(suspects.select("__hash")), "__hash", "left_semi").drop("__hash")
-    surplus = row_groups(same).agg(F.sum(F.col("copies") - 1).alias("duplicate_qty"))
-    return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
-        "total_rows", surplus.scalar().alias("duplicate_qty")
-    )
+def row_digest(df: DataFrame, names: list[str]) -> Column:
+    """128-bit digest of a row: of its values as text, each with its length, nulls marked."""
+    parts = []
+    for name, c in zip(names, groupable(df, names)):
+        dtype = df.schema[name].dataType
+        nested = has_type(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
+        if isinstance(dtype, T.BinaryType):
+            c = F.hex(col(name))
+        elif nested:
+            c = c.cast("string") if has_type(dtype, (T.VariantType,)) else F.to_json(F.struct(c.alias("v")), {"timestampFormat": MICROS, "timestampNTZFormat": MICROS, "ignoreNullFields": "false"})
+        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+            c = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")).cast("string")  # -0.0 equals 0.0
+        else:
+            c = c.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")))
+    return F.md5(F.concat(*parts))
 
 
-def duplicate_counts(df: DataFrame, subset=None, exclude=(), strategy: str = "auto") -> DataFrame:
+def duplicate_counts(df: DataFrame, subset=None, exclude=()) -> DataFrame:
     """One row (total_rows, duplicate_qty); surplus copies, not group members.
 
-    ``rows`` shuffles each distinct row once. ``hash`` shuffles hashes and reads
-    the table again for suspects. ``auto`` takes ``hash`` for large inputs.
+    Counts per 128-bit digest of a row: one plan at any size, in which a row costs 32
+    characters of the shuffle whatever its width, and a hot row one record per task.
     """
-    if not key_columns(df, subset, exclude):
+    names = key_columns(df, subset, exclude)
+    if not names:
         return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
             "total_rows", F.greatest(F.col("total_rows") - 1, F.lit(0)).alias("duplicate_qty")
         )
-    if strategy == "auto":
-        strategy = "hash" if HASH_FROM_BYTES < plan_bytes(df) < 1 << 62 else "rows"
-    return (_count_by_hash if strategy == "hash" else _count_by_rows)(df, subset, exclude)
+    groups = df.select(row_digest(df, names).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    return groups.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_qty"),
+    )
 
 
-def check_duplicates(df: DataFrame, dataset_id: str, subset=None, exclude=(), strategy: str = "auto") -> DataFrame:
-    counts = duplicate_counts(df, subset, exclude, strategy)
+def check_duplicates(df: DataFrame, dataset_id: str, subset=None, exclude=()) -> DataFrame:
+    counts = duplicate_counts(df, subset, exclude)
     qty, total = F.col("duplicate_qty"), F.col("total_rows")
     return counts.select(
         F.lit(dataset_id).alias("dataset_id"),

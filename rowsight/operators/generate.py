@@ -11,7 +11,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import col
-from ..session import cut_lineage
 from .inject import inject_duplicates, inject_nulls, inject_outliers, near_duplicates, with_dense_index
 
 # fixed values: enumerations and ranges of the business tables
@@ -193,11 +192,10 @@ INVOICE_OUTLIERS = {
 
 def copied_ids(ids: DataFrame, duplicate_rate: float, seed: int = 42) -> DataFrame:
     """(id, copy): the ids and as many drawn copies that they make up
-    ``duplicate_rate`` of the result. Written out once, as every pick of defects
-    reads it; 12 bytes a row."""
+    ``duplicate_rate`` of the result. Drawn by digests, so a rerun draws the same."""
     drawn = inject_duplicates(ids.select("id"), duplicate_rate, ["id"], seed, of_result=True)
     # a row is drawn a handful of times at most
-    return cut_lineage(drawn.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("id"))))
+    return drawn.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("id")))
 
 
 def _spoiled(make, id_column: str, copied: DataFrame, as_of, seed, nulls, outliers) -> DataFrame:

@@ -121,14 +121,16 @@ def inject_duplicates(df: DataFrame, rate: float, key: list[str], seed: int = 42
     """Append floor(rows * rate) copies of rows drawn with replacement.
 
     Draw i takes row 1 + md5(i) mod n of the numbered table; draws fold to one
-    count per row before the join.
+    count per row before the join. Row i of n makes the draws i, i + n, i + 2 n, ...
     """
-    if not 0 <= rate <= (0.5 if of_result else 1):
-        raise ValueError("at most one copy per row")
+    if rate < 0 or (of_result and rate >= 1):
+        raise ValueError("rate must not be negative, and below 1 as a share of the result")
     numbered = with_dense_index(df, key, f"order:{seed}")
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    aim = (F.pmod(digest_number(digest([F.col("row_index")], f"draw:{seed}")), total) + 1).alias("row_index")
-    draws = numbered.where(F.col("row_index") <= share_of(total, rate, of_result)).select(aim).groupBy("row_index").count()
+    wanted = share_of(total, rate, of_result)
+    made = numbered.where(F.col("row_index") <= wanted).select(F.explode(F.sequence(F.col("row_index"), wanted, total)).alias("draw"), total.alias("n"))
+    aim = (F.pmod(digest_number(digest([F.col("draw")], f"draw:{seed}")), F.col("n")) + 1).alias("row_index")
+    draws = made.select(aim).groupBy("row_index").count()
     copies = (
         numbered.join(draws, "row_index")
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))

@@ -1,8 +1,9 @@
 """Exact nearest vectors for many requests, without pairing rows in the plan.
 
-Distances are matrix products inside tasks; each task emits its best ``n`` per
-request only. A side is broadcast while it stays below ``BROADCAST_ROWS``;
-otherwise both sides are cut into blocks and each pair of blocks is one task.
+Both sides are cut into blocks of bounded bytes by a hash of their keys, and each
+block of requests meets each block of items in a task of its own: distances are
+matrix products there, and a task emits its best ``n`` per request only. One plan at
+any size, nothing is collected or broadcast, and no job runs before an action.
 """
 
 from __future__ import annotations
@@ -11,15 +12,14 @@ import sys
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 # tasks get the code of this module with the closure, no install on executors
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BROADCAST_ROWS = 10_000
-BLOCK_ROWS = 50_000
+#: vector bytes of a block, as doubles
+BLOCK_BYTES = 64 << 20
 CHUNK_CELLS = 8_000_000
 
 
@@ -28,13 +28,6 @@ def _matrix(vectors) -> np.ndarray:
     return np.stack(rows) if rows else np.zeros((0, 0))
 
 
-def _arrow_matrix(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
 def best(requests: np.ndarray, items: np.ndarray, item_keys: np.ndarray, n: int, metric: str):
     """Per request the n nearest items, equal distances by key:
     (request position, item position, distance)."""
@@ -69,12 +62,6 @@ def best(requests: np.ndarray, items: np.ndarray, item_keys: np.ndarray, n: int,
     return np.concatenate(out_r), np.concatenate(out_i), np.concatenate(out_d)
 
 
-def _bounded(df: DataFrame, columns: list[str]) -> pd.DataFrame | None:
-    """The rows of ``df`` if there are few, else None."""
-    rows = df.select(*columns).limit(BROADCAST_ROWS + 1).toPandas()
-    return rows if len(rows) <= BROADCAST_ROWS else None
-
-
 def _ranked(found: DataFrame, request: str, item: str, n: int) -> DataFrame:
     order = Window.partitionBy(request).orderBy("distance", item)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
@@ -82,84 +69,43 @@ def _ranked(found: DataFrame, request: str, item: str, n: int) -> DataFrame:
 
 def nearest(
     requests: DataFrame, items: DataFrame, n: int, request: str = "request_id", item: str = "item_id",
-    vector: str = "embedding", metric: str = "sqeuclidean",
+    vector: str = "embedding", metric: str = "sqeuclidean", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(request, item, distance, rank): the n nearest items of each request.
 
     ``metric`` is squared Euclidean or cosine distance. Request and item keys
-    must be unique.
+    must be unique. Vectors are compared with vectors of their length only; null
+    and empty ones, and those with null or non-finite values, take no part.
     """
     if metric not in ("sqeuclidean", "cosine"):
         raise ValueError(f"unknown metric {metric}")
     rtype, itype = requests.schema[request].dataType.simpleString(), items.schema[item].dataType.simpleString()
     out = f"`{request}` {rtype}, `{item}` {itype}, distance double"
-    requests, items = requests.select(request, vector), items.select(item, vector)
-
-    few = _bounded(requests, [request, vector])
-    if few is not None:
-        keys, wanted = few[request].to_numpy(), _matrix(few[vector])
-
-        def scan(batches):
-            # keeps n rows per request whatever the number of batches
-            kept_i, kept_r, kept_d = None, None, None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                names = batch.column(0).to_numpy(zero_copy_only=False)
-                r, i, d = best(wanted, _arrow_matrix(batch.column(1)), names, n, metric)
-                names = names[i]
-                if kept_r is not None:
-                    r, names, d = np.concatenate([kept_r, r]), np.concatenate([kept_i, names]), np.concatenate([kept_d, d])
-                order = np.lexsort((names, d, r))
-                r, names, d = r[order], names[order], d[order]
-                starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1] if len(r) else np.zeros(0, dtype=int)
-                place = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
-                kept_r, kept_i, kept_d = r[place < n], names[place < n], d[place < n]
-            if kept_r is not None and len(kept_r):
-                yield _batch(keys[kept_r], kept_i, kept_d, request, item, rtype, itype)
-
-        return _ranked(items.mapInArrow(scan, out), request, item, n)
-
-    few = _bounded(items, [item, vector])
-    if few is not None:
-        names, known = few[item].to_numpy(), _matrix(few[vector])
-
-        def scan_requests(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    own = batch.column(0).to_numpy(zero_copy_only=False)
-                    r, i, d = best(_arrow_matrix(batch.column(1)), known, names, n, metric)
-                    yield _batch(own[r], names[i], d, request, item, rtype, itype)
-
-        return _ranked(requests.mapInArrow(scan_requests, out), request, item, n)
-
-    return _ranked(_by_blocks(requests, items, n, request, item, vector, metric, out), request, item, n)
-
-
-def _batch(r, i, d, request, item, rtype, itype) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return pa.RecordBatch.from_arrays(
-        [pa.array(r, type=kinds.get(rtype)), pa.array(i, type=kinds.get(itype)), pa.array(d, type=pa.float64())],
-        names=[request, item, "distance"],
-    )
-
-
-def _by_blocks(requests, items, n, request, item, vector, metric, out, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every block of requests meets every block of items in a task of its own.
-    Keys are unique, so hashing them gives even blocks."""
-    r_blocks = -(-max(1, requests.count()) // block_rows)
-    i_blocks = -(-max(1, items.count()) // block_rows)
+    left, right = _usable(requests, request, vector), _usable(items, item, vector)
+    l_blocks, r_blocks = (_blocks(df, vector, block_bytes) for df in (left, right))
 
     def spread(df, key, own, own_n, other, other_n):
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
-        )
+        placed = df.withColumn(own, F.pmod(F.xxhash64(key), own_n)).withColumn("__width", F.size(vector))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), other_n - 1)))
 
-    left = spread(requests, request, "__r", r_blocks, "__i", i_blocks)
-    right = spread(items, item, "__i", i_blocks, "__r", r_blocks)
+    left = spread(left, request, "__r", l_blocks, "__i", r_blocks)
+    right = spread(right, item, "__i", r_blocks, "__r", l_blocks)
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         r, i, d = best(_matrix(a[vector]), _matrix(b[vector]), b[item].to_numpy(), n, metric)
         return pd.DataFrame({request: a[request].to_numpy()[r], item: b[item].to_numpy()[i], "distance": d})
 
-    return left.groupBy("__r", "__i").cogroup(right.groupBy("__r", "__i")).applyInPandas(meet, out)
+    keys = ["__width", "__r", "__i"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, out)
+    return _ranked(found, request, item, n)
+
+
+def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf")))
+    return df.select(key, vector).where(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad)
+
+
+def _blocks(df: DataFrame, vector: str, block_bytes: int):
+    """Blocks that hold all vectors, as a scalar subquery: counted when the query runs."""
+    wanted = F.ceil(F.coalesce(F.sum(F.size(vector).cast("bigint") * 8), F.lit(0)) / F.lit(block_bytes))
+    return df.agg(F.greatest(wanted, F.lit(1)).cast("bigint").alias("blocks")).scalar()

@@ -28,7 +28,7 @@ def outlier_check(df: DataFrame, dataset_id: str, fence: float = 1.5, z: float =
 
 
 # fixed values: spellings that count as a value of each type
-INTEGER = r"^[+-]?[0-9]{1,18}$"
+INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
@@ -39,7 +39,7 @@ def type_check(df: DataFrame, dataset_id: str) -> DataFrame:
     timestamp, and the narrowest type that all of them fit."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     tests: dict[str, callable] = {
-        "integer_count": lambda c: c.rlike(INTEGER),
+        "integer_count": lambda c: c.rlike(INTEGER) & c.try_cast("bigint").isNotNull(),
         "number_count": lambda c: c.rlike(NUMBER),
         "date_count": lambda c: c.rlike(DATE) & c.try_cast("date").isNotNull(),
         "timestamp_count": lambda c: c.rlike(TIMESTAMP) & c.try_cast("timestamp_ntz").isNotNull(),

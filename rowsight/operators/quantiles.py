@@ -72,5 +72,7 @@ def exact_quantiles(values: DataFrame, probs: Sequence[float], names: Sequence[s
     for spot, low, name in zip(spots, lows, names):
         a, b = f"max(CASE WHEN rank = {low} THEN v END)", f"max(CASE WHEN rank = least({low} + 1, total) THEN v END)"
         part = f"max({spot} - floor({spot}))"
-        out.append(f"CASE WHEN {part} = 0 THEN {a} ELSE {a} + ({b} - {a}) * {part} END AS {name}")
+        # from the nearer end, as numpy does; next to an infinity that is NaN, even at a whole rank
+        step = f"CASE WHEN {part} < 0.5D THEN {a} + ({b} - {a}) * {part} ELSE {b} - ({b} - {a}) * (1.0D - {part}) END"
+        out.append(f"{step} AS {name}")
     return run(f"SELECT ordinal, {', '.join(out)} FROM @found@ GROUP BY ordinal", found=select_ranks(values, ranks))

@@ -209,15 +209,16 @@ def search_gate(
 
 
 def text_vectors(df: DataFrame, text: str = "text", features: int = 256, out: str = "embedding") -> DataFrame:
-    """Unit word-weight vectors for texts that come without an embedding."""
+    """Unit word-weight vectors for texts that come without an embedding; null
+    and empty texts have the zero vector."""
     from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    words = RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"[^\p{L}\p{N}]+").transform(df)
+    words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"[^\p{L}\p{N}]+").transform(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))))
     counts = HashingTF(inputCol="__words", outputCol="__counts", numFeatures=features).transform(words)
     weights = IDF(inputCol="__counts", outputCol="__weights").fit(counts).transform(counts)
     unit = Normalizer(inputCol="__weights", outputCol="__unit").transform(weights)
-    return unit.withColumn(out, vector_to_array("__unit", "float32")).drop("__words", "__counts", "__weights", "__unit")
+    return unit.withColumn(out, vector_to_array("__unit", "float32")).drop("__text", "__words", "__counts", "__weights", "__unit")
 
 
 def build_index(documents: DataFrame, features: int = 256) -> DataFrame:

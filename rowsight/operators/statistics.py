@@ -9,13 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import quoted, run, text
-from ..session import plan_bytes
 from .nulls import PLACEHOLDERS, missing_sql
 from .quantiles import exact_quantiles
 
 ID_SUFFIX = "_id"
-SCAN_UPTO_BYTES = 4 << 20
-MAP_UPTO_BYTES = 64 << 20
 QUARTILES = (0.25, 0.5, 0.75)
 QUARTILE_NAMES = ("p25", "p50", "p75")
 NUMERIC, CATEGORICAL, TEMPORAL, NESTED = "numeric", "categorical", "temporal", "nested"
@@ -83,20 +80,6 @@ def mode_and_distinct(df: DataFrame, wanted: list[int]) -> DataFrame:
     )
 
 
-def mapped_quartiles(df: DataFrame, wanted: list[int]) -> DataFrame:
-    """(ordinal, p25, p50, p75) from counts per distinct value; for inputs of checked size."""
-    found = ", ".join(f"q[{j}] AS {name}" for j, name in enumerate(QUARTILE_NAMES))
-    probs = ", ".join(f"{p!r}D" for p in QUARTILES)
-    return run(
-        f"""
-        SELECT ordinal, {found} FROM (
-          SELECT ordinal, percentile(v, array({probs}), n) AS q
-          FROM (SELECT ordinal, v, count(1) AS n FROM @cells@ GROUP BY ordinal, v) GROUP BY ordinal)
-        """,
-        cells=numbers_long(df, wanted),
-    )
-
-
 def quick_distinct(df: DataFrame, wanted: list[int]) -> DataFrame:
     """(ordinal, unique) by sketch: no shuffle of values."""
     found = ", ".join(f"approx_count_distinct({as_label(df.schema.fields[i])}) AS u{i}" for i in wanted)
@@ -104,9 +87,9 @@ def quick_distinct(df: DataFrame, wanted: list[int]) -> DataFrame:
     return run(f"SELECT inline(array({rows})) FROM (SELECT {found} FROM @df@)", df=df)
 
 
-def moments(df: DataFrame, kinds: list[str], placeholders=PLACEHOLDERS, quartiles: str | None = None) -> DataFrame:
+def moments(df: DataFrame, kinds: list[str], placeholders=PLACEHOLDERS, sketch: bool = False) -> DataFrame:
     """One row per column from one scan: counts, missing values, mean, std,
-    min, max; with ``quartiles`` also those, exact by value map or by sketch."""
+    min, max; with ``sketch`` also approximate quartiles."""
     aggs, rows = ["count(1) AS total_rows"], []
     probs = f"array({', '.join(f'{p!r}D' for p in QUARTILES)})"
     for i, (f, kind) in enumerate(zip(df.schema.fields, kinds)):
@@ -122,8 +105,8 @@ def moments(df: DataFrame, kinds: list[str], placeholders=PLACEHOLDERS, quartile
             for name, function in made.items():
                 aggs.append(f"{function}({x}) AS {name}{i}")
                 stat[name] = f"{name}{i}"
-            if quartiles:
-                aggs.append((f"percentile_approx({x}, {probs}, 10000)" if quartiles == "sketch" else f"percentile({x}, {probs})") + f" AS q{i}")
+            if sketch:
+                aggs.append(f"percentile_approx({x}, {probs}, 10000) AS q{i}")
                 stat |= {q: f"q{i}[{j}]" for j, q in enumerate(QUARTILE_NAMES)}
         cells = ", ".join(f"'{k}', {v}" for k, v in stat.items())
         rows.append(f"named_struct('ordinal', {i}, 'column_name', {text(f.name)}, 'type_class', '{kind}', {cells})")
@@ -159,18 +142,14 @@ def profile(
     placeholders=PLACEHOLDERS,
     decimal_as: str = NUMERIC,
     id_suffix: str = ID_SUFFIX,
-    quartiles: str = "auto",
+    approximate: bool = False,
     only: tuple[str, ...] = (NUMERIC, CATEGORICAL, TEMPORAL, NESTED),
 ) -> DataFrame:
     """All statistics of all columns, one row per column; times in microseconds.
 
-    ``quartiles``, all exact: ``scan`` counts values along with the other
-    statistics; ``map`` counts them in one more scan, spread over the tasks, and
-    gathers each column's distinct values in one task; ``split`` finds quartiles
-    in bounded memory whatever the size. ``auto`` takes the first below
-    ``SCAN_UPTO_BYTES`` of input, the second below ``MAP_UPTO_BYTES``, else the
-    third. ``sketch`` approximates quartiles and distinct counts and leaves the
-    mode out.
+    Quartiles are exact and found by one plan at any size: counts per bucket in
+    bounded memory. ``approximate`` takes quartiles and distinct counts from
+    sketches, in the scan of the other statistics, and leaves the mode out.
     """
     if not df.columns:
         raise ValueError("cannot describe a table without columns")
@@ -178,17 +157,12 @@ def profile(
     keep = [i for i, k in enumerate(kinds) if k in only]
     numbers = [i for i in keep if kinds[i] in (NUMERIC, TEMPORAL)]
     labels = [i for i in keep if kinds[i] == CATEGORICAL]
-    if quartiles == "auto":
-        size = plan_bytes(df)
-        quartiles = "scan" if size <= SCAN_UPTO_BYTES else "map" if size <= MAP_UPTO_BYTES else "split"
     scanned = [k if i in keep else NESTED for i, k in enumerate(kinds)]
-    parts = [moments(df, scanned, placeholders, quartiles if quartiles in ("scan", "sketch") else None)]
-    if numbers and quartiles == "split":
+    parts = [moments(df, scanned, placeholders, approximate)]
+    if numbers and not approximate:
         parts.append(exact_quantiles(numbers_long(df, numbers), QUARTILES, QUARTILE_NAMES))
-    elif numbers and quartiles == "map":
-        parts.append(mapped_quartiles(df, numbers))
     if labels:
-        parts.append((quick_distinct if quartiles == "sketch" else mode_and_distinct)(df, labels))
+        parts.append((quick_distinct if approximate else mode_and_distinct)(df, labels))
     chosen = ", ".join(str(i) for i in keep) or "NULL"
     return run(
         f"""

@@ -65,8 +65,7 @@ SHARE = "CASE WHEN total_rows > 0 THEN ((null_count * 20000 + total_rows) div (t
 
 
 def assess(
-    df: DataFrame, dataset_id: str, connector: str | None = "postgres", checks=None, placeholders=PLACEHOLDERS,
-    duplicate_strategy: str = "auto", **options,
+    df: DataFrame, dataset_id: str, connector: str | None = "postgres", checks=None, placeholders=PLACEHOLDERS, **options,
 ) -> DataFrame:
     """Check rows of one table. Nulls and statistics share their scan."""
     order, width = chosen_checks(checks), len(df.columns)
@@ -76,7 +75,7 @@ def assess(
     none = f"CAST(array() AS array<{FINDING}>)"
     if "duplicates" in order:
         row = _row(dataset_id, connector, order, "duplicates", "if(duplicate_qty = 0, 'success', 'failure')", width, "duplicate_qty", none)
-        parts.append(run(f"SELECT inline(array({row})) FROM @found@", found=duplicate_counts(df, strategy=duplicate_strategy)))
+        parts.append(run(f"SELECT inline(array({row})) FROM @found@", found=duplicate_counts(df)))
     scanned = [c for c in order if c != "duplicates"]
     if scanned and not width:
         rows = []

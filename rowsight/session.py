@@ -38,10 +38,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; unknown counts as huge."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no JVM handle (remote session)
-        return 1 << 62

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -86,7 +87,7 @@ def try_scan(spark: SparkSession, dataset_id: str, **kw) -> tuple[DataFrame | No
     """(table, None) or (None, reason); a failed load is an error, never an empty table."""
     try:
         return scan(spark, dataset_id, **kw), None
-    except (PySparkException, ValueError) as e:
+    except (PySparkException, Py4JError, ValueError) as e:
         first = str(e).strip().splitlines()
         return None, first[0] if first else type(e).__name__
 

@@ -391,7 +391,7 @@ def all_sql() -> dict[str, str]:
     tests = []
     for c, i in (("number_text", 1), ("mixed_text", 2), ("date_text", 3), ("time_text", 4), ("label_text", 5)):
         tests.append(
-            f"SELECT '{c}' AS column_name, {i} AS ordinal, count({c}) AS count, count(*) FILTER (WHERE regexp_matches({c}, '^[+-]?[0-9]{{1,18}}$')) AS integer_count, "
+            f"SELECT '{c}' AS column_name, {i} AS ordinal, count({c}) AS count, count(*) FILTER (WHERE regexp_matches({c}, '^[+-]?[0-9]+$') AND TRY_CAST({c} AS BIGINT) IS NOT NULL) AS integer_count, "
             f"count(*) FILTER (WHERE regexp_matches({c}, '^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$')) AS number_count, "
             f"count(*) FILTER (WHERE regexp_matches({c}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AND TRY_CAST({c} AS DATE) IS NOT NULL) AS date_count, "
             f"count(*) FILTER (WHERE regexp_matches({c}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[ T][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(\\.[0-9]{{1,6}})?$') "
@@ -477,6 +477,14 @@ def all_sql() -> dict[str, str]:
         f"CASE WHEN ok THEN dataset_id END AS dataset_id, CASE WHEN ok THEN {CONNECTOR} END AS connector, CASE WHEN ok THEN 'comprehensive_dq_report_' || {SUFFIX} END AS file_stem "
         f"FROM (SELECT *, valid AND dataset_id IS NOT NULL AS ok FROM (SELECT *, {VALID} AS valid FROM ({named})))"))
 
+    sql["process_requests"] = (
+        f"WITH resolved AS ({sql['resolve_requests']}), "
+        "known AS (SELECT * FROM (VALUES ('stage_sales.public.orders'), ('PROD_SALES.PUBLIC.CUSTOMER'), ('DATA_HUB.CORE.LINEITEM'), ('data_hub.core.documents')) AS k(report_id)), "
+        "folds AS (SELECT lower(report_id) AS fold, min(report_id) AS report_id FROM known GROUP BY 1 HAVING count(*) = 1), "
+        "matched AS (SELECT r.*, coalesce(k.report_id, f.report_id) AS report_id FROM resolved r LEFT JOIN known k ON r.dataset_id = k.report_id LEFT JOIN folds f ON lower(r.dataset_id) = f.fold) "
+        "SELECT request_id, CASE WHEN report_id IS NULL THEN 'failed' ELSE status END AS status, CASE WHEN status = 'success' AND report_id IS NULL THEN 'table_not_found' ELSE reason END AS reason, "
+        "dataset_id, connector, file_stem, report_id, format, file_stem || '.' || format AS file_name "
+        "FROM matched LEFT JOIN (VALUES ('html'), ('json'), ('markdown')) AS f(format) ON report_id IS NOT NULL")
     sql["list_schemas"] = with_view("schemata", (
         "SELECT schema_name FROM schemata WHERE schema_name NOT IN ('information_schema', 'pg_catalog', 'pg_toast', 'pg_temp_1', 'pg_toast_temp_1', 'scratch') "
         "AND schema_name NOT LIKE 'pg_temp_%' AND schema_name NOT LIKE 'pg_toast_temp_%'"))
@@ -494,8 +502,8 @@ def all_sql() -> dict[str, str]:
         f"SELECT keyword, connector FROM ({keyword_sql(chr(40) + 'SELECT db || ' + q('.public.') + ' || table_name AS full_name, connector FROM index_names)')})"))
 
     sql["vector_topk"] = (
-        f"WITH firsts AS ({FIRST}) SELECT request_id, item_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, item_id) AS rank "
-        f"FROM (SELECT CAST(f.label AS BIGINT) AS request_id, e.vec_id AS item_id, {DISTANCE.format(a='f.embedding', b='e.embedding')} AS distance FROM firsts f, embeddings e)) WHERE rank <= 10")
+        f"SELECT request_id, item_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, item_id) AS rank "
+        f"FROM (SELECT f.vec_id AS request_id, e.vec_id AS item_id, {DISTANCE.format(a='f.embedding', b='e.embedding')} AS distance FROM embeddings f, embeddings e)) WHERE rank <= 10")
     few = f"SELECT CAST(label AS BIGINT) AS request_id, {options('label', ASKED)} AS text, embedding FROM firsts"
     many = f"SELECT vec_id AS request_id, {options('label', ASKED)} AS text, embedding FROM embeddings"
     sql["search_tables"] = (

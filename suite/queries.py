@@ -55,11 +55,11 @@ def table_sample(spark, sf):
 
 
 def dup_check(spark, sf):
-    return duplicates.check_duplicates(view(spark, sf, "dirty_orders"), "dirty_orders", strategy="rows")
+    return duplicates.check_duplicates(view(spark, sf, "dirty_orders"), "dirty_orders")
 
 
 def dup_check_hashed(spark, sf):
-    return duplicates.check_duplicates(view(spark, sf, "dirty_lineitem"), "dirty_lineitem", strategy="hash")
+    return duplicates.check_duplicates(view(spark, sf, "dirty_lineitem"), "dirty_lineitem")
 
 
 def dup_check_key(spark, sf):
@@ -105,7 +105,7 @@ def completeness(spark, sf):
 
 
 def numeric_profile(spark, sf):
-    return _rounded(statistics.numeric_profile(view(spark, sf, "dirty_lineitem"), "dirty_lineitem", quartiles="split"))
+    return _rounded(statistics.numeric_profile(view(spark, sf, "dirty_lineitem"), "dirty_lineitem"))
 
 
 def categorical_profile(spark, sf):
@@ -114,8 +114,8 @@ def categorical_profile(spark, sf):
 
 def temporal_profile(spark, sf):
     parts = [
-        statistics.temporal_profile(table(spark, sf, "events"), "events", quartiles="split"),
-        statistics.temporal_profile(view(spark, sf, "dirty_lineitem"), "dirty_lineitem", quartiles="map"),
+        statistics.temporal_profile(table(spark, sf, "events"), "events"),
+        statistics.temporal_profile(view(spark, sf, "dirty_lineitem"), "dirty_lineitem"),
     ]
     return _seconds(union_all(parts))
 
@@ -129,7 +129,7 @@ def quick_profile(spark, sf):
 
 
 def outlier_check(spark, sf):
-    return _rounded(outliers.outlier_check(view(spark, sf, "dirty_lineitem"), "dirty_lineitem", quartiles="split"))
+    return _rounded(outliers.outlier_check(view(spark, sf, "dirty_lineitem"), "dirty_lineitem"))
 
 
 def type_check(spark, sf):
@@ -386,7 +386,7 @@ def _requests(vectors, key):
 
 
 def vector_topk(spark, sf):
-    wanted = _first_of_label(spark, sf).select(F.col("label").cast("bigint").alias("request_id"), "embedding")
+    wanted = table(spark, sf, "embeddings").select(F.col("vec_id").alias("request_id"), "embedding")
     items = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
     return _rounded(nearest.nearest(wanted, items, 10), 6)
 

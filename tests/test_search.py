@@ -17,21 +17,14 @@ def brute(a, b, n):
     return {i: [(int(j), round(float(d[i, j]), 9)) for j in np.lexsort((np.arange(len(b)), d[i]))[:n]] for i in range(len(a))}
 
 
-@pytest.mark.parametrize("path", ["requests", "items", "blocks"])
-def test_nearest_paths(spark, monkeypatch, path):
+@pytest.mark.parametrize("block_bytes", [64 << 20, 700])
+def test_nearest(spark, block_bytes):
     a, requests = vectors(spark, 30, "request_id", 1)
     b, items = vectors(spark, 90, "item_id", 2)
-    limits = {"requests": 50, "items": 1000, "blocks": 10}
-    if path == "items":
-        a, requests = vectors(spark, 60, "request_id", 1)
-        b, items = vectors(spark, 40, "item_id", 2)
-        limits["items"] = 50
-    monkeypatch.setattr(nearest, "BROADCAST_ROWS", limits[path])
-    if path == "blocks":
-        spread = nearest._by_blocks
-        monkeypatch.setattr(nearest, "_by_blocks", lambda *x: spread(*x, block_rows=20))
+    odd = spark.createDataFrame([(900, None), (901, []), (902, [1.0]), (903, [float("nan")] * 8), (904, [None] * 8)], "item_id bigint, embedding array<double>")
     got = {}
-    for r in nearest.nearest(requests.repartition(4), items.repartition(5), 7).orderBy("request_id", "rank").collect():
+    found = nearest.nearest(requests.repartition(4), items.union(odd).repartition(5), 7, block_bytes=block_bytes)
+    for r in found.orderBy("request_id", "rank").collect():
         got.setdefault(r.request_id, []).append((r.item_id, round(r.distance, 9)))
     assert got == brute(a, b, 7)
 
