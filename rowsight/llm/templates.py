@@ -24,32 +24,39 @@ from rowsight.llm.shared import free_name, settled
 ANY = "<*>"
 
 
+SPACE = r" \t\r\x0B\f"
+
+
 def tokens(line: Column) -> Column:
-    """Words of a line, those with a digit as ANY."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ \t\r\x0B\f])[^ \t\r\x0B\f0-9]*+[0-9][^ \t\r\x0B\f]*+", ANY)).otherwise(line)
-    return F.filter(F.split(masked, r"[ \t\r\x0B\f]+"), lambda t: t != "")
+    """Words of a line, those with a digit as ANY; one empty word if there is none."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+", ANY)).otherwise(line)
+    return F.split(F.trim(masked, F.lit(" \t\r\x0b\f")), rf"[{SPACE}]+")
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """(doc, body, line_no, leaf, line, tokens): every line with ``min_tokens`` or more; body is a hash of the document's text."""
+    """(doc, body, line_no, leaf, line): every line with ``min_tokens`` or more; body is a hash of the document's text."""
     text = col(text_col).cast("string")
-    lines = docs.where(col(id_col).isNotNull() & text.isNotNull()).select(col(id_col).alias("doc"), F.xxhash64(text).alias("body"), F.posexplode(F.split(text, "\n")).alias("line_no", "words"))
-    parsed = lines.select("doc", "body", "line_no", tokens(F.col("words")).alias("tokens")).where(F.size("tokens") >= min_tokens)
+    lines = docs.where(col(id_col).isNotNull() & text.isNotNull()).select(col(id_col).alias("doc"), F.xxhash64(text).alias("body"), F.posexplode(F.split(text, "\n")).alias("line_no", "said"))
+    parsed = lines.select("doc", "body", "line_no", tokens(F.col("said")).alias("tokens"))
     leaf = F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(depth)])
-    return parsed.select("doc", "body", "line_no", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
+    # a generator and not a filter: a filter would be pushed below and split every line twice
+    one = F.when(F.size("tokens") >= min_tokens, F.array(F.struct(leaf.alias("leaf"), F.xxhash64("tokens").alias("line"))))
+    return parsed.select("doc", "body", "line_no", F.inline(one))
 
 
 def decisions(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, similarity: float, min_docs: int) -> DataFrame:
     """(doc, body, line_no) of the lines to drop."""
-    full = occurrences(docs, id_col, text_col, depth, min_tokens)
-    where = settled(full.drop("tokens"))
-    held = where.select("leaf", "line", "doc").distinct()
-    exact = settled(held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")))
+    where = settled(occurrences(docs, id_col, text_col, depth, min_tokens))
+    held = where.groupBy("leaf", "line", "doc").agg(F.min(F.struct("body", "line_no")).alias("at"))
+    exact = settled(held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("rep")).select("leaf", "line", "docs", F.col("rep.doc").alias("first_doc"), "rep.at.body", "rep.at.line_no"))
     crowded = exact.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
 
-    # constant positions of a leaf: tokens that more than half of its distinct lines share
-    texts = full.join(crowded, "leaf", "left_semi").select("leaf", "line", "tokens").dropDuplicates(["leaf", "line"])
-    texts = settled(texts)
+    # constant positions of a leaf: tokens that more than half of its distinct lines share; one document shows each line
+    shown = exact.join(crowded, "leaf", "left_semi").groupBy(F.col("first_doc").alias("doc"), "body").agg(F.collect_list(F.struct("leaf", "line", "line_no")).alias("lines"))
+    text = col(text_col).cast("string")
+    bodies = docs.select(col(id_col).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text")).join(shown, ["doc", "body"])
+    texts = bodies.select(F.split("text", "\n").alias("said"), F.inline("lines")).select("leaf", "line", tokens(F.get("said", "line_no")).alias("tokens"))
+    texts = settled(texts.dropDuplicates(["leaf", "line"]))
     votes = texts.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     top = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top")).join(crowded, "leaf")
     field = F.struct("at", F.when(F.expr("2 * top.n > lines"), F.col("top.token")).otherwise(ANY).alias("token"))
@@ -60,7 +67,7 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, depth: int, min_token
     matched = settled(matched)
 
     # documents of a leaf's template: of all its lines together
-    spread = held.join(matched, ["leaf", "line"]).select("leaf", "doc").distinct()
+    spread = where.select("leaf", "line", "doc").join(matched, ["leaf", "line"]).select("leaf", "doc").distinct()
     of_leaf = spread.groupBy("leaf").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).where(f"docs >= {min_docs}")
     shared = matched.join(of_leaf, "leaf").select("leaf", "line", "first_doc")
     alone = exact.where(f"docs >= {min_docs}").join(matched, ["leaf", "line"], "left_anti").select("leaf", "line", "first_doc")
