@@ -45,27 +45,26 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """
     nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     # hop: from a node to the ancestor 2 ** round steps up (null beyond the root), with the scores from the node up to before it
-    hop = settled(nodes.select("tree", "node", F.col("parent").alias("up"), "score", F.lit(1).cast("bigint").alias("depth")))
-    hops, rounds = [hop], 0
-    limit = None
+    first = settled(nodes.select("tree", "node", F.col("parent").alias("up"), "score", F.lit(1).cast("bigint").alias("depth")))
+    hop, whole = first.where("up IS NOT NULL"), first.where("up IS NULL")  # still climbing; arrived at a root
+    hops, rounds, limit = [hop], 0, None
     while True:
-        above = hop.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
+        above = hop.union(whole).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
         joined = hop.join(above, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")), "left")
         # a parent that isn't there leaves the node hanging for good
-        missing = F.col("up").isNotNull() & F.col("n2").isNull()
         after = joined.select(
-            "tree", "node", F.when(missing, F.col("up")).otherwise(F.col("up2")).alias("up"),
+            "tree", "node", F.when(F.col("n2").isNull(), F.col("up")).otherwise(F.col("up2")).alias("up"),
             (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
         )
         seen = Observation()
         after = settled(after.observe(seen, F.count_if(F.col("up").isNotNull()).alias("open"), F.count("*").alias("n")))
+        hop, whole = after.where("up IS NOT NULL"), whole.union(after.where("up IS NULL"))
         rounds += 1
         limit = limit or max(1, seen.get["n"]).bit_length() + 1
         if not seen.get["open"] or rounds > limit:  # what is open after that many doublings is no tree
             break
-        hop = after
         hops.append(hop)
-    whole = after.where("up IS NULL").select("tree", "node", "score", "depth")
+    whole = whole.select("tree", "node", "score", "depth")
     inner = nodes.where("parent IS NOT NULL").select(F.col("tree").alias("t2"), F.col("parent").alias("n2")).distinct()
     leaves = whole.join(inner, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
     ranked = leaves.selectExpr("tree", "node AS leaf", "score", "depth", "row_number() OVER (PARTITION BY tree ORDER BY score DESC, node) AS branch").where(f"branch <= {branches}")
