@@ -14,7 +14,7 @@ DUPLICATES_FAILED = r"(?i)### [❌✅] Duplicates[\s\S]*?- \*\*Status\*\*: ERROR
 MISSING = r"(?i)Columns with Missing Data.*?(\d+)\s*out of\s*(\d+)\s*columns"
 MISSING_COLUMN = r"`([^`]+)`:\s*([0-9,]+)\s*nulls?\s*\(([0-9.]+)%\)"
 ANALYZED = r"(?i)Columns Analyzed.*?(\d+)\s*columns"
-STAT_ROW = r"\|\s*`([^`]+)`\s*" + r"\|\s*([^|]*)" * 11 + r"\|"
+STAT_ROW = r"\|\s*`([^`]+)`\s*" + r"\|\s*((?:[^|\\\n]|\\.)*)" * 11 + r"\|"
 STAT_TABLE = "Statistical Summary"
 EMBEDDED_JSON = r"(\{[\s\S]*\"assessment_results\"[\s\S]*\})"
 
@@ -37,7 +37,10 @@ def _finding(**known) -> Column:
 
 
 def _stat(text: Column) -> Column:
-    shown = F.trim(text)
+    # marks keep an escaped backslash apart from what follows it
+    shown = F.replace(F.trim(text), F.lit("\\\\"), F.lit("\x00"))
+    for escape, plain in (("\\|", "|"), ("\\n", "\n"), ("\\r", "\r"), ("\x00", "\\")):
+        shown = F.replace(shown, F.lit(escape), F.lit(plain))
     return F.when(~shown.isin("-", ""), shown)
 
 

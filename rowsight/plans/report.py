@@ -18,6 +18,9 @@ WHOLE = ("count", "unique", "freq")
 TEXT_WIDTH = 15
 
 
+#: in this order; undone by ``parse``
+CELL_ESCAPES = (("\\", "\\\\"), ("|", "\\|"), ("\n", "\\n"), ("\r", "\\r"))
+
 def _title(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
@@ -109,7 +112,7 @@ def _check_lines(c: Column) -> Column:
             F.when(some, "|--------|" + "|".join("-" * (len(t) + 2) for t in STAT_TITLES) + "|"),
         ),
         _each("descriptive_stats", c["columns"], lambda x, i: _say(
-            "| `", x["column_name"], "` | ", F.concat_ws(" | ", *[stat_text(x, n) for n in STAT_NAMES]), " |")),
+            "| `", x["column_name"], "` | ", F.concat_ws(" | ", *[cell(stat_text(x, n)) for n in STAT_NAMES]), " |")),
     )
     error = _lines("error", F.lit("- **Status**: ERROR"), _say("- **Error**: ", F.coalesce(c["error"], F.lit("Unknown error"))))
     body = (
@@ -164,6 +167,13 @@ def _document(lines: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
 
 
+def cell(c: Column) -> Column:
+    """Text for a cell of a Markdown table: bars, backslashes and line breaks escaped."""
+    for plain, safe in CELL_ESCAPES:
+        c = F.replace(c, F.lit(plain), F.lit(safe))
+    return c
+
+
 def _escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(a), F.lit(b))

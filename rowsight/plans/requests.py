@@ -73,7 +73,7 @@ def answer_requests(requests: DataFrame, gate: DataFrame, checks: DataFrame) ->
     intent = route_intent(F.col("text"))
     asked = requests.select("request_id", intent["action"].alias("action"), intent["checks"].alias("wanted"))
     asked = asked.join(gate.select("request_id", "found", "best_table", "message"), "request_id", "left")
-    rows = F.struct("position", "check_name", "status", "passed", "total_rows", "total_columns", "metric_value")
+    rows = F.struct("check_name", "status", "passed", "total_rows", "total_columns", "metric_value")
     # at most one row per kind of check and table
     by_table = checks.groupBy(F.col("dataset_id").alias("t")).agg(F.array_sort(F.collect_list(rows)).alias("results"))
     joined = asked.join(by_table, F.col("best_table") == F.col("t"), "left")
