@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.identifiers import CHECKS, default_connector
@@ -128,6 +130,36 @@ def passed() -> Column:
     return (F.col("status") == "success") & ~clean
 
 
+def assess_into(path: str, tables: dict[str, tuple[str, DataFrame]], checks=None, batch: int = 10, **options) -> DataFrame:
+    """Check rows of any number of tables, appended to a Parquet table at ``path``.
+
+    Tables are assessed ``batch`` at a time, so that planning time grows with their
+    number only. A table whose data fails to read gets ``error`` rows; the others of
+    its batch are assessed one by one then. Returns the table at ``path``.
+    """
+    names = list(tables)
+    spark = next(iter(tables.values()))[1].sparkSession
+    for start in range(0, len(names), batch):
+        chunk = {n: tables[n] for n in names[start : start + batch]}
+        if _append(assess_all(chunk, checks, **options), path) is None:
+            continue
+        for name, (kind, df) in chunk.items():
+            reason = _append(assess(df, name, kind, checks, **options), path)
+            if reason is not None:
+                error_rows(spark, name, kind, checks, reason).write.mode("append").parquet(path)
+    return spark.read.schema(CHECK_ROW).parquet(path)
+
+
+def _append(rows: DataFrame, path: str) -> str | None:
+    """None once written, else the reason; a failed job leaves no rows behind."""
+    try:
+        rows.write.mode("append").parquet(path)
+    except (PySparkException, Py4JError) as e:
+        log.warning("assessment failed: %s", e)
+        return (str(e).strip().splitlines() or [type(e).__name__])[0]
+    return None
+
+
 def check_results(checks: DataFrame) -> DataFrame:
     return checks.select(
         "dataset_id", "connector", "check_name", "status", passed().alias("passed"), "error", "total_rows", "total_columns", "metric_value"

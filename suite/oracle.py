@@ -488,6 +488,13 @@ def all_sql() -> dict[str, str]:
     sql["list_schemas"] = with_view("schemata", (
         "SELECT schema_name FROM schemata WHERE schema_name NOT IN ('information_schema', 'pg_catalog', 'pg_toast', 'pg_temp_1', 'pg_toast_temp_1', 'scratch') "
         "AND schema_name NOT LIKE 'pg_temp_%' AND schema_name NOT LIKE 'pg_toast_temp_%'"))
+    spark_type = (
+        "CASE WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type = 'VARCHAR' THEN 'string' "
+        "WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' WHEN data_type = 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END")
+    sql["list_columns"] = (
+        f"WITH sizes AS ({' UNION ALL '.join(f"SELECT '{t}' AS table_name, '{SCHEMA_OF.get(t, 'sales')}' AS schema_name, count(*) AS row_count FROM {t}" for t in TABLES)}) "
+        f"SELECT 'snowflake' AS connector, 'PROD_SALES' AS database_name, table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name, {spark_type} AS data_type, 'YES' AS is_nullable, "
+        "CAST(NULL AS VARCHAR) AS column_default, CAST(NULL AS VARCHAR) AS column_comment, schema_name, row_count FROM information_schema.columns JOIN sizes USING (table_name)")
     listed = " UNION ALL ".join(
         f"SELECT 'PROD_SALES' AS database_name, '{SCHEMA_OF.get(t, 'sales')}' AS schema_name, '{t}' AS table_name, 'BASE TABLE' AS table_type, count(*) AS row_count FROM {t}" for t in TABLES)
     sql["list_tables"] = listed

@@ -56,3 +56,40 @@ def test_top_values_survive_the_round_trip(spark):
         found = {r.column_name: r for r in rows}
         assert (found["s"].top, found["s"].freq, found["s"].unique) == (top, 2, 2), top
         assert (found["n"].min, found["n"].p50, found["n"].max, found["n"]["count"]) == (1.5, 2.5, 4.0, 3)
+
+
+def test_rules_of_many_null_columns_and_errors(spark):
+    from rowsight.plans import recommend
+
+    wide = spark.range(10).selectExpr(*[f"CASE WHEN id % 10 > 0 THEN 'v' END AS c{i}" for i in range(6)], "id AS k")
+    five = wide.drop("c5")
+    rules = lambda checks: {r.rule_id for r in recommend.recommendations(checks).collect()}
+    assert "many_null_columns" in rules(assess.assess(wide, "a.b.wide"))
+    assert "many_null_columns" not in rules(assess.assess(five, "a.b.five"))
+    # a check that did not run gives no advice of its own
+    broken = assess.error_rows(spark, "a.b.gone", "postgres", None, "gone")
+    assert rules(broken) == {"errors", "low_pass_rate"}
+
+
+def test_tables_in_batches(spark, tmp_path):
+    tables = {f"db.s.t{i}": ("postgres", spark.range(i + 1).withColumnRenamed("id", "n")) for i in range(5)}
+    tables["db.s.bad"] = ("postgres", spark.range(3).selectExpr("CAST(concat('x', id) AS INT) AS n"))
+    rows = assess.assess_into(f"{tmp_path}/checks", tables, batch=3).collect()
+    assert len(rows) == 18
+    status = {r.dataset_id: set() for r in rows}
+    for r in rows:
+        status[r.dataset_id].add(r.status)
+    assert status.pop("db.s.bad") == {"error"} and all(v == {"success"} for v in status.values())
+
+
+def test_cleansing_adds_up_with_nan_and_maps(spark):
+    from rowsight.operators import cleanse
+
+    nan = float("nan")
+    rows = [(i % 7, f"p{i % 5}" if i % 4 else None, f"s{i % 3}", [nan, 1.0, -1.0][i % 3], i % 5 - 1, [nan, 3.0][i % 2], [nan, 5.0, 2000.0][i // 3 % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "product_id int, product_name string, sku string, price double, stock_quantity int, rating double, weight double")
+    for table in (df, df.selectExpr("*", "map('a', product_id) AS m")):
+        kept = cleanse.cleanse(table, cleanse.product_rules())
+        steps = cleanse.attrition(table, cleanse.product_rules(), "t")
+        assert sum(r.removed for r in steps.collect()) + kept.count() == 200
+        assert kept.where("price IS NULL OR isnan(price) OR isnan(weight)").count() == 0 and kept.where("weight IS NULL").count() > 0
