@@ -22,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F, types as T
 
+from rowsight.functions.scalars import col, has_type
 from rowsight.llm.components import components
-from rowsight.llm.shared import bounded_batches, settled
+from rowsight.llm.shared import bounded_batches, free_name, settled
 from rowsight.llm.words import STEP, WordHashes, mixed, slices, windows
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -306,9 +307,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class of near copies: all columns of ``docs``.
 
-    Rows that repeat an id are one document to begin with: the first by all
-    their columns' values stays. Rows without an id stay.
+    Rows that repeat an id are one document to begin with: the one whose values
+    have the smallest hash stays (maps apart). Rows without an id stay.
     """
     ids = near_duplicates(docs, id_col, text_col, width, percent).where("kept").select(id_col).distinct()
-    chosen = docs.join(ids, id_col, "left_semi")
-    return chosen.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    place, mark = free_name(docs, "__place"), F.xxhash64(*[col(f.name) for f in docs.schema.fields if not has_type(f.dataType, (T.MapType, T.VariantType))])
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(mark))
+    chosen = docs.join(ids, id_col, "left_semi").withColumn(place, first).where(F.col(place) == 1).select(*[col(c) for c in docs.columns])
+    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
