@@ -12,18 +12,22 @@ def outlier_check(df: DataFrame, dataset_id: str, fence: float = 1.5, z: float =
     """Per numeric column: values beyond the quartile fences and beyond ``z`` deviations."""
     chosen = {k: v for k, v in options.items() if k in ("decimal_as", "id_suffix")}
     numbers = [i for i, k in enumerate(classes(df, **chosen)) if k == NUMERIC]
+    limits = run(
+        f"""
+        SELECT ordinal, column_name, `count`, mean, std,
+               p25 - {float(fence)!r}D * (p75 - p25) AS lower_fence, p75 + {float(fence)!r}D * (p75 - p25) AS upper_fence
+        FROM @stats@
+        """,
+        stats=profile(df, only=(NUMERIC,), **options),
+    )
     return run(
         f"""
-        WITH limits AS (
-          SELECT ordinal, column_name, `count`, mean, std,
-                 p25 - {float(fence)!r}D * (p75 - p25) AS lower_fence, p75 + {float(fence)!r}D * (p75 - p25) AS upper_fence
-          FROM @stats@)
         SELECT /*+ BROADCAST(limits) */ {text(dataset_id)} AS dataset_id, column_name, limits.ordinal, `count`, lower_fence, upper_fence,
           count_if(v < lower_fence OR v > upper_fence) AS iqr_outliers, count_if(abs(v - mean) > {float(z)!r}D * std) AS z_outliers
-        FROM @cells@ cells JOIN limits ON cells.ordinal = limits.ordinal -- limits: one row per column
+        FROM @cells@ cells JOIN @limits@ limits ON cells.ordinal = limits.ordinal -- limits: one row per column
         GROUP BY limits.ordinal, column_name, `count`, lower_fence, upper_fence
         """,
-        stats=profile(df, only=(NUMERIC,), **options), cells=numbers_long(df, numbers),
+        limits=limits, cells=numbers_long(df, numbers),
     )
 
 

@@ -40,27 +40,25 @@ def select_ranks(values: DataFrame, ranks: str) -> DataFrame:
     each ordinal; ``ranks`` is an array in SQL over ``total``, the number of
     values, and ``rest`` the rank among equal values.
     """
-    steps = []
-    for level, bucket in ((2, STEP), (3, STEP), (4, "v")):
-        # h holds one row per wanted rank and column at most: bounded by the schema
-        steps.append(f"""
-          c{level} AS (
+    # one statement per step: common table expressions that contain each other may
+    # fail when the optimizer inlines them into a union of many tables
+    vals = run("SELECT CAST(ordinal AS INT) AS ordinal, CAST(v AS DOUBLE) AS v FROM @values@ WHERE v IS NOT NULL", values=values)
+    first = run(f"SELECT ordinal, {MAGNITUDE} AS bucket, {TALLY} FROM @vals@ GROUP BY ordinal, {MAGNITUDE}", vals=vals)
+    total = run("SELECT *, sum(n) OVER (PARTITION BY ordinal) AS total FROM @first@", first=first)
+    wanted = run(f"SELECT *, transform({ranks}, r -> named_struct('rank', r, 'rest', r)) AS wanted FROM @total@", total=total)
+    hits = run(_hits("@counted@", "ordinal"), counted=wanted)
+    for bucket in (STEP, STEP, "v"):
+        # one row per wanted rank and column at most: bounded by the schema
+        counted = run(
+            f"""
             SELECT /*+ BROADCAST(h) */ h.ordinal, total, wanted, low, high, {bucket} AS bucket, {TALLY}
-            FROM vals JOIN h{level - 1} h ON vals.ordinal = h.ordinal AND v BETWEEN low AND high
-            GROUP BY h.ordinal, total, wanted, low, high, {bucket}),
-          h{level} AS ({_hits(f'c{level}', 'ordinal, low')})""")
-    return run(
-        f"""
-        WITH vals AS (SELECT CAST(ordinal AS INT) AS ordinal, CAST(v AS DOUBLE) AS v FROM @values@ WHERE v IS NOT NULL),
-          c1 AS (SELECT ordinal, {MAGNITUDE} AS bucket, {TALLY} FROM vals GROUP BY ordinal, {MAGNITUDE}),
-          t1 AS (SELECT *, sum(n) OVER (PARTITION BY ordinal) AS total FROM c1),
-          w1 AS (SELECT *, transform({ranks}, r -> named_struct('rank', r, 'rest', r)) AS wanted FROM t1),
-          h1 AS ({_hits('w1', 'ordinal')}),
-          {','.join(steps)}
-        SELECT ordinal, total, low AS v, inline(wanted) FROM h4
-        """,
-        values=values,
-    )
+            FROM @vals@ x JOIN @hits@ h ON x.ordinal = h.ordinal AND v BETWEEN low AND high
+            GROUP BY h.ordinal, total, wanted, low, high, {bucket}
+            """,
+            vals=vals, hits=hits,
+        )
+        hits = run(_hits("@counted@", "ordinal, low"), counted=counted)
+    return run("SELECT ordinal, total, low AS v, inline(wanted) FROM @hits@", hits=hits)
 
 
 def exact_quantiles(values: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:

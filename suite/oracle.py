@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rowsight.fixtures import TABLES, VIEWS, with_view
 from rowsight.plans.recommend import RULES
-from suite.queries import ASKED, NAMES, SCHEMA_OF
+from suite.queries import ASKED, ASSESSED, NAMES, SCHEMA_OF
 
 PLACEHOLDERS = "('<NA>', '', 'NULL', 'null')"
 
@@ -520,6 +520,16 @@ def all_sql() -> dict[str, str]:
     sql["search_gate"] = gate_sql(many, index_sql("firsts"), GATE_TAIL)
     sql["search_context"] = gate_sql(few, index_sql("embeddings"), CONTEXT_TAIL)
 
+    name = options("label", ASSESSED)
+    stand = (f"SELECT {name} AS full_name, string_split({name}, '.')[3] AS table_name, CASE WHEN label IN (1, 2) THEN 'snowflake' ELSE 'postgres' END AS connector, embedding "
+             f"FROM firsts WHERE label < {len(ASSESSED)}")
+    intent = sql["route_intent"].removeprefix(f"WITH replies AS ({VIEWS['replies']}) ")
+    sql["answer_requests"] = (
+        f"{scored_sql(many, stand, 20)}, best AS (SELECT request_id, full_name FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, distance, full_name) AS r FROM scored) WHERE r = 1), "
+        f"replies AS (SELECT request_id, text AS output FROM requests), intents AS ({intent}), found AS ({sql['assess_all']}) "
+        "SELECT request_id, action, full_name AS dataset_id, check_name, status, passed, total_rows, total_columns, metric_value, CAST(NULL AS VARCHAR) AS reason "
+        "FROM best JOIN intents USING (request_id) JOIN found ON dataset_id = full_name AND list_contains(string_split(intents.checks, ','), check_name)")
+
     def shown(x):
         return f"coalesce(CASE WHEN type_class = 'temporal' THEN substr(CAST({micros(x)} AS VARCHAR), 1, 15) ELSE format('{{:,.2f}}', {x}) END, '-') AS {x}"
 

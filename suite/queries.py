@@ -403,6 +403,22 @@ def search_gate(spark, sf):
     return search.search_gate(_requests(table(spark, sf, "embeddings"), "vec_id"), index, keywords).drop("context")
 
 
+ASSESSED = ["stage_sales.public.orders", "PROD_SALES.PUBLIC.CUSTOMER", "DATA_HUB.CORE.LINEITEM", "data_hub.core.documents"]
+
+
+def answer_requests(spark, sf):
+    """Every vector as a question over the assessed tables, which stand at the first labels' vectors."""
+    known = _first_of_label(spark, sf).where(F.col("label") < len(ASSESSED))
+    name = _pick(F.col("label"), ASSESSED)
+    index = known.select(
+        name.alias("full_name"), F.substring_index(name, ".", -1).alias("table_name"),
+        F.when(F.col("label").isin(1, 2), "snowflake").otherwise("postgres").alias("connector"), "embedding",
+    )
+    asked = _requests(table(spark, sf, "embeddings"), "vec_id")
+    gate = search.search_gate(asked, index, search.keyword_map(_sources(spark), index), threshold=-2.0)
+    return requests.answer_requests(asked, gate, assess.check_results(_all_checks(spark, sf)))
+
+
 def search_context(spark, sf):
     index = _index(table(spark, sf, "embeddings")).withColumn("document", F.concat(F.lit("TABLE: "), "full_name"))
     keywords = search.keyword_map(_sources(spark), index)
