@@ -3,7 +3,7 @@
 Every line of every file, and the whole of a licence file, is compared with all
 templates. Term weights come from the templates; a term that no template has counts
 with the largest weight. Lines that cannot reach the threshold are passed over
-exactly: a template's heavy terms are such that without any of them its other terms
+exactly: a template's chosen terms are such that without any of them its other terms
 don't add up to the threshold. A file without a licence of its own takes that of the
 nearest directory above it that has a licence file, found by joining paths.
 
@@ -16,6 +16,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,6 +38,8 @@ TEMPLATES = {
     "Unlicense": "Released into the public domain.",
     "Proprietary": "All rights reserved.",
 }
+#: function words: any choice of the terms that may miss keeps the filter exact, these keep it narrow
+COMMON = set("a all an and any as at be by for from in into is it no not of on or out the this to under with work you your".split())
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
 #: file names that hold a directory's licence
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
@@ -50,13 +54,14 @@ class Vectors:
         n = len(templates)
         self.idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in documents.items()}
         self.unknown = math.log(1 + n) + 1
-        self.rows, self.heavy = [], set()
+        self.rows, self.heavy, self.terms = [], set(), {}
         for name, c in counts.items():
             weights = {t: k * self.idf[t] for t, k in c.items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
-            self.rows += [(t, name, w / norm) for t, w in weights.items()]
+            self.terms[name] = [(t, w / norm) for t, w in weights.items()]
+            self.rows += [(t, name, w) for t, w in self.terms[name]]
             light = 0.0
-            for t, w in sorted(weights.items(), key=lambda x: (x[1], x[0])):
+            for t, w in sorted(weights.items(), key=lambda x: (x[0] not in COMMON, x[1], x[0])):
                 light += (w / norm) ** 2
                 if math.sqrt(light) >= threshold - 1e-9:
                     self.heavy.add(t)
@@ -76,8 +81,13 @@ def matches(files: DataFrame, path: str, text: str, templates: dict[str, str] |
     whole = whole.where(F.col("path").isNotNull() & F.col("text").rlike(said))
     lines = whole.select("path", "body", F.posexplode(F.split("text", "\n")).alias("part", "said")).withColumn("part", F.col("part") + 1)
     named = whole.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).select("path", "body", F.lit(0).alias("part"), F.col("text").alias("said"))
-    parts = lines.union(named).where(F.col("said").rlike(said)).distinct()
-    terms = parts.select("path", "body", "part", F.explode(F.regexp_extract_all("said", F.lit(TERM), F.lit(0))).alias("term"))
+    parts = lines.union(named).where(F.col("said").rlike(said)).withColumn("terms", F.regexp_extract_all("said", F.lit(TERM), F.lit(0)))
+    parts = parts.select("path", "body", "part", "terms", F.array_intersect("terms", F.array(*[F.lit(t) for t in sorted(vectors.idf)])).alias("present"))
+    # a cosine is at most the norm of the template's terms that are present; a generator, because a
+    # filter would be pushed below and take the terms out of each part again and again
+    able = reduce(or_, [sum(F.when(F.array_contains("present", t), w * w).otherwise(0.0) for t, w in terms) >= threshold**2 - 1e-9 for terms in vectors.terms.values()])
+    parts = parts.select("path", "body", "part", F.explode(F.when(able, F.array("terms"))).alias("terms")).distinct()
+    terms = parts.select("path", "body", "part", F.explode("terms").alias("term"))
     counted = terms.groupBy("path", "body", "part", "term").agg(F.count("*").alias("n"))
     spark = files.sparkSession
     idf = F.broadcast(spark.createDataFrame(list(vectors.idf.items()), "term string, idf double"))
