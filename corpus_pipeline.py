@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those that had nothing else go."""
-    cleaned = templates.drop_recurring(docs)
+    cleaned = templates.drop_recurring(docs, **templates.WHOLE_JOB)
     return cleaned.where("n_dropped = 0 OR trim(text) <> ''").withColumn("n_chars", F.char_length("text").cast("bigint")).select(COLUMNS)
 
 

@@ -39,7 +39,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.drop_recurring(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return templates.drop_recurring(table(spark, sf_dir, "documents"), **templates.WHOLE_JOB).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

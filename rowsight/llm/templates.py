@@ -22,6 +22,8 @@ from rowsight.llm.shared import free_name, settled
 
 #: stands for a variable field
 ANY = "<*>"
+#: documents for a line under min_tokens tokens, which counts as it is written; tokens from which two documents are enough
+WHOLE_JOB = {"short_docs": 8, "long_tokens": 50}
 
 
 SPACE = r" \t\r\x0B\f"
@@ -33,23 +35,32 @@ def tokens(line: Column) -> Column:
     return F.split(F.trim(masked, F.lit(" \t\r\x0b\f")), rf"[{SPACE}]+")
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """(doc, body, line_no, leaf, line): every line with ``min_tokens`` or more; body is a hash of the document's text."""
+def occurrences(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, min_docs: int, short_docs: int | None, long_tokens: int | None) -> DataFrame:
+    """(doc, body, line_no, leaf, line, need): every line that may recur, and in how many documents it must; body is a hash of the document's text.
+
+    A line under ``min_tokens`` tokens is a leaf of its own.
+    """
     text = col(text_col).cast("string")
     lines = docs.where(col(id_col).isNotNull() & text.isNotNull()).select(col(id_col).alias("doc"), F.xxhash64(text).alias("body"), F.posexplode(F.split(text, "\n")).alias("line_no", "said"))
-    parsed = lines.select("doc", "body", "line_no", tokens(F.col("said")).alias("tokens"))
-    leaf = F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(depth)])
+    size, said = F.size("tokens"), F.trim("said", F.lit(" \t\r\x0b\f"))
+    parsed = lines.select("doc", "body", "line_no", "said", tokens(F.col("said")).alias("tokens"))
+    leaf = F.xxhash64(size, *[F.get("tokens", F.lit(i)) for i in range(depth)])
+    need = F.lit(min_docs) if long_tokens is None else F.when(size >= long_tokens, min(2, min_docs)).otherwise(min_docs)
     # a generator and not a filter: a filter would be pushed below and split every line twice
-    one = F.when(F.size("tokens") >= min_tokens, F.array(F.struct(leaf.alias("leaf"), F.xxhash64("tokens").alias("line"))))
+    one = F.when(size >= min_tokens, F.array(F.struct(leaf.alias("leaf"), F.xxhash64("tokens").alias("line"), need.alias("need"))))
+    if short_docs is not None:
+        whole = F.struct(F.xxhash64(said).alias("leaf"), F.xxhash64(said, F.lit(1)).alias("line"), F.lit(short_docs).alias("need"))
+        one = one.when(F.get("tokens", F.lit(0)) != "", F.array(whole))
     return parsed.select("doc", "body", "line_no", F.inline(one))
 
 
-def decisions(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, similarity: float, min_docs: int) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, similarity: float, min_docs: int, short_docs: int | None, long_tokens: int | None) -> DataFrame:
     """(doc, body, line_no) of the lines to drop."""
-    where = settled(occurrences(docs, id_col, text_col, depth, min_tokens))
-    held = where.groupBy("leaf", "line", "doc").agg(F.min(F.struct("body", "line_no")).alias("at"))
-    exact = settled(held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("rep")).select("leaf", "line", "docs", F.col("rep.doc").alias("first_doc"), "rep.at.body", "rep.at.line_no"))
-    crowded = exact.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
+    where = settled(occurrences(docs, id_col, text_col, depth, min_tokens, min_docs, short_docs, long_tokens))
+    held = where.groupBy("leaf", "line", "need", "doc").agg(F.min(F.struct("body", "line_no")).alias("at"))
+    exact = settled(held.groupBy("leaf", "line", "need").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("rep")).select("leaf", "line", "need", "docs", F.col("rep.doc").alias("first_doc"), "rep.at.body", "rep.at.line_no"))
+    # leaves whose lines together are in too few documents have nothing to drop
+    crowded = exact.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.max("need").alias("need")).where("lines > 1 AND docs >= need").select("leaf", "lines", "need")
 
     # constant positions of a leaf: tokens that more than half of its distinct lines share; one document shows each line
     shown = exact.join(crowded, "leaf", "left_semi").groupBy(F.col("first_doc").alias("doc"), "body").agg(F.collect_list(F.struct("leaf", "line", "line_no")).alias("lines"))
@@ -58,7 +69,7 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, depth: int, min_token
     texts = bodies.select(F.split("text", "\n").alias("said"), F.inline("lines")).select("leaf", "line", tokens(F.get("said", "line_no")).alias("tokens"))
     texts = settled(texts.dropDuplicates(["leaf", "line"]))
     votes = texts.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    top = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top")).join(crowded, "leaf")
+    top = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top")).join(crowded.drop("need"), "leaf")
     field = F.struct("at", F.when(F.expr("2 * top.n > lines"), F.col("top.token")).otherwise(ANY).alias("token"))
     template = F.transform(F.array_sort(F.collect_list(field)), lambda x: x["token"])
     size = F.size("tokens")
@@ -68,28 +79,31 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, depth: int, min_token
 
     # documents of a leaf's template: of all its lines together
     spread = where.select("leaf", "line", "doc").join(matched, ["leaf", "line"]).select("leaf", "doc").distinct()
-    of_leaf = spread.groupBy("leaf").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).where(f"docs >= {min_docs}")
+    of_leaf = spread.groupBy("leaf").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).join(crowded.select("leaf", "need"), "leaf").where("docs >= need")
     shared = matched.join(of_leaf, "leaf").select("leaf", "line", "first_doc")
-    alone = exact.where(f"docs >= {min_docs}").join(matched, ["leaf", "line"], "left_anti").select("leaf", "line", "first_doc")
+    alone = exact.where("docs >= need").join(matched, ["leaf", "line"], "left_anti").select("leaf", "line", "first_doc")
     return where.join(shared.union(alone), ["leaf", "line"]).where("doc <> first_doc").select("doc", "body", "line_no")
 
 
 def drop_recurring(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 8, similarity: float = 0.7, min_docs: int = 3,
-    n_lines: str = "n_lines", n_dropped: str = "n_dropped",
+    n_lines: str = "n_lines", n_dropped: str = "n_dropped", short_docs: int | None = None, long_tokens: int | None = None,
 ) -> DataFrame:
     """The columns of ``docs`` with recurring lines taken out of the text, and how many lines it had and lost.
 
     A line is a template's if it has its number of tokens, its first ``depth`` tokens
     and at least ``similarity`` of its tokens equal to the template's (variable fields
     don't count as equal, values with digits do). Templates found in ``min_docs``
-    documents or more stay in the document with the smallest id only. Lines under
-    ``min_tokens`` tokens always stay. Null texts and rows with a null id pass
+    documents or more stay in the document with the smallest id only. Templates of ``long_tokens``
+    tokens or more need two documents only. Lines under ``min_tokens`` tokens recur if
+    ``short_docs`` documents have the very same line, white space around it apart;
+    blank lines always stay. Without these two parameters (``WHOLE_JOB`` has both),
+    short lines stay and long ones are as any other. Null texts and rows with a null id pass
     unchanged; rows that repeat an id are one document, and keep or lose lines by
     their own text. An empty table gives an empty result.
     """
     n_lines, n_dropped, body, gone = (free_name(docs, x) for x in (n_lines, n_dropped, "__body", "__gone"))
-    drop = decisions(docs, id_col, text_col, depth, min_tokens, similarity, min_docs).distinct()
+    drop = decisions(docs, id_col, text_col, depth, min_tokens, similarity, min_docs, short_docs, long_tokens).distinct()
     per_doc = drop.groupBy("doc", "body").agg(F.collect_list("line_no").alias(gone))
     text = col(text_col).cast("string")
     lines = F.split(text, "\n")

@@ -282,6 +282,15 @@ def test_line_templates_against_plain(spark, corpus):
     assert {r.doc_id: r.text for r in templates.drop_recurring(corpus).collect()} == want and drop
 
 
+def test_line_templates_short_and_long(spark):
+    passage = "a long passage " + " ".join(f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60))
+    rows = [(i, f"All rights reserved.\nPage {i}\n \n" + (passage if i in (2, 5) else f"own{'abcdefghij'[i]}"), "en", "s", 0) for i in range(9)]
+    rows += [(20 + i, "Said seven times.", "en", "s", 0) for i in range(7)]
+    got = {r.doc_id: r.text for r in templates.drop_recurring(spark.createDataFrame(rows, SCHEMA), **templates.WHOLE_JOB).collect()}
+    assert got[0] == rows[0][1] and got[1] == "Page 1\n \nownb" and got[2] == f"Page 2\n \n{passage}" and got[5] == "Page 5\n "
+    assert all(got[20 + i] == "Said seven times." for i in range(7))
+
+
 # --- op6
 
 
