@@ -4,8 +4,14 @@ Lines fall into the leaves of a tree of fixed depth: by their number of tokens,
 by their leading tokens, words with digits standing for any value. In a leaf with
 several distinct lines, a position whose token is not shared by most of them is a
 variable field; lines that agree with enough of the constant positions have the
-leaf's template, all others are templates of their own. A template that recurs in
-enough documents is dropped everywhere but in the first of them.
+leaf's template. The others are split by the most shared of their tokens and tried
+again, until no group that is in enough documents is left; so a leaf has as many
+templates as it needs. Lines without any are templates of their own. A template that
+recurs in enough documents is dropped everywhere but in the first of them.
+
+A template stays unseen if its variable fields hold, in every one of its lines, another
+token that is more common in the leaf than all of its constants, as each line then goes
+another way.
 
 All of it is DataFrame operations. Lines travel as two hashes; the text of a line
 is shuffled only to compare lines within leaves and to rebuild documents. Counts
@@ -60,31 +66,91 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, depth: int, min_token
     held = where.groupBy("leaf", "line", "need", "doc").agg(F.min(F.struct("body", "line_no")).alias("at"))
     exact = settled(held.groupBy("leaf", "line", "need").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("rep")).select("leaf", "line", "need", "docs", F.col("rep.doc").alias("first_doc"), "rep.at.body", "rep.at.line_no"))
     # leaves whose lines together are in too few documents have nothing to drop
-    crowded = exact.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.max("need").alias("need")).where("lines > 1 AND docs >= need").select("leaf", "lines", "need")
+    crowded = exact.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.max("need").alias("need")).where("lines > 1 AND docs >= need")
 
-    # constant positions of a leaf: tokens that more than half of its distinct lines share; one document shows each line
-    shown = exact.join(crowded, "leaf", "left_semi").groupBy(F.col("first_doc").alias("doc"), "body").agg(F.collect_list(F.struct("leaf", "line", "line_no")).alias("lines"))
+    # one document shows each line of a crowded leaf
+    shown = exact.join(crowded.select("leaf"), "leaf", "left_semi").groupBy(F.col("first_doc").alias("doc"), "body").agg(F.collect_list(F.struct("leaf", "line", "need", "docs", "line_no")).alias("lines"))
     text = col(text_col).cast("string")
     bodies = docs.select(col(id_col).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text")).join(shown, ["doc", "body"])
-    texts = bodies.select(F.split("text", "\n").alias("said"), F.inline("lines")).select("leaf", "line", tokens(F.get("said", "line_no")).alias("tokens"))
+    texts = bodies.select(F.split("text", "\n").alias("said"), F.inline("lines")).select("leaf", "line", "need", "docs", F.col("leaf").alias("group"), tokens(F.get("said", "line_no")).alias("tokens"))
     texts = settled(texts.dropDuplicates(["leaf", "line"]))
-    votes = texts.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    top = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top")).join(crowded.drop("need"), "leaf")
-    field = F.struct("at", F.when(F.expr("2 * top.n > lines"), F.col("top.token")).otherwise(ANY).alias("token"))
-    template = F.transform(F.array_sort(F.collect_list(field)), lambda x: x["token"])
-    size = F.size("tokens")
-    agreeing = F.size(F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get("tokens", i) == F.get("template", i)))
-    matched = texts.join(top.groupBy("leaf").agg(template.alias("template")), "leaf").where(agreeing >= F.lit(similarity) * size).select("leaf", "line")
-    matched = settled(matched)
+    matched = assigned(texts, depth, similarity)
 
-    # documents of a leaf's template: of all its lines together
-    spread = where.select("leaf", "line", "doc").join(matched, ["leaf", "line"]).select("leaf", "doc").distinct()
-    of_leaf = spread.groupBy("leaf").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).join(crowded.select("leaf", "need"), "leaf").where("docs >= need")
-    shared = matched.join(of_leaf, "leaf").select("leaf", "line", "first_doc")
+    # documents of a template: of all its lines together
+    spread = where.select("leaf", "line", "need", "doc").join(matched, ["leaf", "line"]).select("template", "need", "doc").distinct()
+    of_template = spread.groupBy("template", "need").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc")).where("docs >= need")
+    shared = matched.join(of_template, "template").select("leaf", "line", "first_doc")
     alone = exact.where("docs >= need").join(matched, ["leaf", "line"], "left_anti").select("leaf", "line", "first_doc")
     return where.join(shared.union(alone), ["leaf", "line"]).where("doc <> first_doc").select("doc", "body", "line_no")
 
 
+def agrees(similarity: float) -> Column:
+    size = F.size("tokens")
+    agreeing = F.size(F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get("tokens", i) == F.get("template", i)))
+    return agreeing >= F.lit(similarity) * size
+
+
+def of_majority(lines: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, line, template): lines that agree with the tokens that more than half of their group's lines share."""
+    votes = lines.select("group", F.posexplode("tokens").alias("at", "token")).groupBy("group", "at", "token").agg(F.count("*").alias("n"))
+    sizes = lines.groupBy("group").agg(F.count("*").alias("lines"))
+    top = votes.groupBy("group", "at").agg(F.max(F.struct("n", "token")).alias("top")).join(sizes, "group")
+    field = F.struct("at", F.when(F.expr("2 * top.n > lines"), F.col("top.token")).otherwise(ANY).alias("token"))
+    template = F.transform(F.array_sort(F.collect_list(field)), lambda x: x["token"])
+    return lines.join(top.groupBy("group").agg(template.alias("template")), "group").where(agrees(similarity)).select("leaf", "line", "template")
+
+
+def split(lines: DataFrame) -> DataFrame:
+    """``lines`` in new groups: each goes with those of its group that have the most shared of its tokens, at the same position.
+
+    Tokens that a whole group shares don't count, so every round adds a position that
+    a group agrees on, and rounds end. Lines that share no such token with another,
+    and groups in too few documents, are left out.
+    """
+    each = lines.select("group", "leaf", "line", F.posexplode("tokens").alias("at", "token"))
+    votes = each.groupBy("group", "at", "token").agg(F.count("*").alias("n"))
+    sizes = lines.groupBy("group").agg(F.count("*").alias("lines"))
+    telling = votes.join(sizes, "group").where("n > 1 AND n < lines").drop("lines")
+    best = each.join(telling, ["group", "at", "token"]).groupBy("leaf", "line").agg(F.max(F.struct("n", (-F.col("at")).alias("at"), "token", "group")).alias("best"))
+    moved = lines.drop("group").join(best.select("leaf", "line", F.xxhash64("best.group", "best.at", "best.token").alias("group")), ["leaf", "line"])
+    large = moved.groupBy("group").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.max("need").alias("need")).where("lines > 1 AND docs >= need")
+    return moved.join(large.select("group"), "group", "left_semi")
+
+
+def pieces(words: Column, depth: int, similarity: float) -> Column:
+    """Hashes of the pieces into which the tokens behind the leading ones are cut: one more than a line
+    may have tokens that differ from its template, so that line and template have a piece in common."""
+    size = F.size(words)
+    n = (size - F.ceil(F.lit(similarity) * size) + 1).cast("int")
+    cut = lambda c: F.floor(c * F.greatest(size - depth, F.lit(0)) / n).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.xxhash64(c, F.slice(words, cut(c) + depth + 1, cut(c + 1) - cut(c))))
+
+
+def assigned(texts: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(leaf, line, template): the lines that have a template, and a hash of it.
+
+    The first round takes each leaf's majority. What it leaves is split and tried again
+    until nothing is left to split; then every such line takes, of all templates found
+    on the way that it agrees with, the one with most documents.
+    """
+    first = settled(of_majority(texts, similarity).select("leaf", "line", F.col("leaf").alias("template")))
+    rest = settled(texts.join(first, ["leaf", "line"], "left_anti"))
+    found, open_ = None, settled(split(rest))
+    while not open_.isEmpty():
+        hit = settled(of_majority(open_, similarity))
+        found = hit.select("leaf", "template") if found is None else found.union(hit.select("leaf", "template"))
+        open_ = settled(split(open_.join(hit, ["leaf", "line"], "left_anti")))
+    if found is None:
+        return first
+    keyed = found.distinct().select("leaf", "template", F.explode(F.array_distinct(pieces(F.col("template"), depth, similarity))).alias("piece"))
+    lines = rest.select("leaf", "line", "docs", "tokens", F.explode(F.array_distinct(pieces(F.col("tokens"), depth, similarity))).alias("piece"))
+    pairs = lines.join(keyed, ["leaf", "piece"]).where(agrees(similarity))
+    pairs = settled(pairs.select("leaf", "line", "docs", F.xxhash64("leaf", "template").alias("template")).distinct())
+    support = pairs.groupBy("template").agg(F.sum("docs").alias("docs"))
+    best = pairs.drop("docs").join(support, "template").groupBy("leaf", "line").agg(F.max(F.struct("docs", "template")).alias("best"))
+    return first.union(best.select("leaf", "line", "best.template"))
+
+
 def drop_recurring(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 8, similarity: float = 0.7, min_docs: int = 3,
     n_lines: str = "n_lines", n_dropped: str = "n_dropped", short_docs: int | None = None, long_tokens: int | None = None,

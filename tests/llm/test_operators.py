@@ -291,6 +291,20 @@ def test_line_templates_short_and_long(spark):
     assert all(got[20 + i] == "Said seven times." for i in range(7))
 
 
+def test_line_templates_that_share_a_leaf(spark):
+    def word(kind, i):
+        return kind + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10]
+
+    a = [f"please read this notice that {word('u', i)} wrote for all of us" for i in range(50)]
+    b = [f"please read this letter from {word('v', i)} before you go any further" for i in range(50)]
+    c = ["please read this " + " ".join(word(k, i) for k in "xyzwmnop") for i in range(60)]
+    for lines in (a + b, a + c, a + b + c):
+        assert {len(x.split()) for x in lines} <= {11}
+        got = templates.drop_recurring(spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(lines)], SCHEMA)).collect()
+        kept = [r.text for r in got if r.text]
+        assert sorted(kept) == sorted(lines[i] for i in range(len(lines)) if lines[i] in c or i == 0 or lines[i] == b[0])
+
+
 # --- op6
 
 
