@@ -51,10 +51,9 @@ IMPLIED = {
 #: nesting beyond this makes siblings, as browsers have it
 DEEPEST = 512
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
-    re.S,
-)
+#: comments and declarations, or a tag up to its end or its first quote
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>\"']*+)", re.S)
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -88,6 +87,26 @@ class Element:
         return not (self.tag == "input" and (self.get("type") or "").lower() == "hidden")
 
 
+def tag_end(html: str, at: int, bound: int, open_: set[int]) -> int:
+    """Where the ``>`` of a tag is whose attributes go on at ``at``: the first outside of quotes, or the first
+    at all if a quote is never closed; -1 if there is none before ``bound``.
+
+    ``open_`` has the opening quotes from which the end was not reached; as the way from
+    a quote on is always the same, each is passed once and a page takes linear time.
+    """
+    passed = []
+    m = STOP.search(html, at, bound)
+    while m and m[0] != ">":
+        quote = m.start()
+        passed.append(quote)
+        close = -1 if quote in open_ else html.find(m[0], quote + 1, bound)
+        m = STOP.search(html, close + 1, bound) if close >= 0 else None
+    if m:
+        return m.start()
+    open_.update(passed)
+    return html.find(">", at, bound)
+
+
 def parse(html: str) -> Element:
     """The element tree of a page or fragment; strings are text with references resolved."""
     root = Element("#root")
@@ -110,16 +129,18 @@ def parse(html: str) -> Element:
                     return
                 return close(tags, shelter)
 
-    for m in TOKEN.finditer(html, 0, html.rfind(">") + 1):  # no tag ends after the last one
-        if m.start() < at:
-            continue  # inside raw text
+    bound = html.rfind(">") + 1  # no tag ends after the last one
+    open_: set[int] = set()
+    while m := TOKEN.search(html, at, bound):
         text(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
+        tag = m["tag"]
         if not tag:
+            at = m.end()
             continue
-        tag, attrs = tag.lower(), (m["attrs"] or m["attrs2"] or "").strip()
-        if m["end"] or m["end2"]:
+        stop_at = tag_end(html, m.end(), bound, open_)
+        at = stop_at + 1
+        tag, attrs = tag.lower(), html[m.start("attrs") : stop_at].strip()
+        if m["end"]:
             if tag == "br":
                 stack[-1].children.append(Element("br"))
             elif tag in VOID:

@@ -440,6 +440,18 @@ def test_rendering(spark):
     assert rendering.rendered(spark.createDataFrame([], "page_id bigint, html string")).count() == 0
 
 
+def test_long_attributes():
+    import time
+
+    for n in (8000, 9000, 500_000):
+        for q, other in ('"\'', "'\""):
+            assert rendering.render(f"<div>a<div data-props={q}{'x' * n}<b>{other}leak</b>{q} id=d>b</div>c") == "a\nb\nc"
+    start = time.time()
+    for page in ("<a '\">" * 100_000 + "'\"", '<a "' * 200_001 + ">t", "<a '\"> " * 100_001):
+        rendering.render(page)
+    assert time.time() - start < 20
+
+
 def test_spans():
     page = "<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td colspan=2>wide cell<td>e</table>"
     assert rendering.render(page) == "ab    c\n      d\nwide cell  e" or rendering.render(page).split("\n")[1].strip() == "d"
