@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowsight.llm import conversations, hyperminhash, licences, mixture, neighbours, packing, perplexity, rendering, separators, templates
+from rowsight.llm import (
+    alignment, conversations, hyperminhash, importance, licences, mixture, neighbours, packing, perplexity, projections, rendering, separators, templates,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,5 +77,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}

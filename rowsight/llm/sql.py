@@ -46,5 +46,23 @@ FROM turns GROUP BY conv_id
 """
 
 
+#: vectors that can link, their pairs, and what links lead to
+NEAR_VECTORS = """
+WITH RECURSIVE able AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+),
+reached AS (SELECT a AS node, b AS other FROM pairs UNION SELECT r.node, p.b FROM reached r JOIN pairs p ON r.other = p.a),
+least AS (SELECT node, min(other) AS other FROM reached GROUP BY node),
+degree AS (SELECT a AS node, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id, vec_id <= coalesce(other, vec_id) AS kept
+FROM (SELECT DISTINCT vec_id FROM embeddings) e LEFT JOIN degree d ON d.node = e.vec_id LEFT JOIN least l ON l.node = e.vec_id
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op6_source_mixture": SOURCE_MIXTURE, "op8_reply_trees": REPLY_TREES}
+    return {"op6_source_mixture": SOURCE_MIXTURE, "op8_reply_trees": REPLY_TREES, "op13_projection_passes": NEAR_VECTORS}
