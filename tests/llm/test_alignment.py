@@ -47,19 +47,24 @@ class Plain:
                 out.append((i, at, at + len(token)))
                 at += len(token)
             spans.append(out)
-        both = sorted({e for *_, e in spans[0]} & {e for *_, e in spans[1]})
-        groups, low = [], 0
-        for high in both:
-            groups.append("|".join(",".join(str(i) for i, s, e in side if low <= s and e <= high) for side in spans))
-            low = high
+        both = {e for *_, e in spans[0]} & {e for *_, e in spans[1]}
+        sides = []
+        for side in spans:
+            closed = [[]]
+            for i, _, e in side:
+                closed[-1].append(str(i))
+                if e in both:
+                    closed.append([])
+            sides.append(closed[:-1])
+        groups = ["|".join(map(",".join, g)) for g in zip(*sides, strict=True)]
         links, start = [], 0
         for i, s, e in spans[0]:
             while spans[1][start][2] <= s:
                 start += 1
-            for j, s2, e2 in spans[1][start:]:
-                if s2 >= e:
-                    break
-                links.append((i, j))
+            at = start
+            while at < len(spans[1]) and spans[1][at][1] < e:
+                links.append((i, spans[1][at][0]))
+                at += 1
         return len(a), len(b), groups, links
 
 
