@@ -39,36 +39,62 @@ def row_groups(df: DataFrame, subset=None, exclude=()) -> DataFrame:
     return keys.groupBy([col(n) for n in names]).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def row_digest(df: DataFrame, names: list[str]) -> Column:
-    """128-bit digest of a row: of its values as text, each with its length, nulls marked."""
+def row_digest(df: DataFrame, names: list[str]) -> list[Column]:
+    """128-bit digest of a row as two numbers: two differently started hashes of its
+    typed values and of which are null (a hash passes nulls over)."""
     parts = []
     for name, c in zip(names, groupable(df, names)):
         dtype = df.schema[name].dataType
-        nested = has_type(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
-        if isinstance(dtype, T.BinaryType):
-            c = F.hex(col(name))
-        elif nested:
-            c = c.cast("string") if has_type(dtype, (T.VariantType,)) else F.to_json(F.struct(c.alias("v")), {"timestampFormat": MICROS, "timestampNTZFormat": MICROS, "ignoreNullFields": "false"})
-        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
-            c = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double")).cast("string")  # -0.0 equals 0.0
-        else:
+        if has_type(dtype, (T.VariantType,)) and not isinstance(dtype, T.VariantType):
+            c = F.to_json(F.struct(c.alias("v")), {"timestampFormat": MICROS, "timestampNTZFormat": MICROS, "ignoreNullFields": "false"})
+        elif isinstance(dtype, T.VariantType):
             c = c.cast("string")
-        parts.append(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")))
-    return F.md5(F.concat(*parts))
+        elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+            c = F.to_json(F.struct(_instants(c, dtype).alias("v")), {"timestampNTZFormat": MICROS, "ignoreNullFields": "false"})
+        parts.append(c)
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in parts])
+    return [F.xxhash64(nulls, *parts).alias("a"), F.xxhash64(F.lit(1), nulls, *parts).alias("b")]
+
+
+def _instants(c: Column, dtype: T.DataType) -> Column:
+    """A nested value with its timestamps as microseconds: text of an instant repeats where clocks go back."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if not has_type(dtype, (T.TimestampType,)):
+        return c
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: _instants(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):  # grouped as its sorted entries
+        return F.transform(c, lambda x: F.struct(_instants(x["key"], dtype.keyType).alias("key"), _instants(x["value"], dtype.valueType).alias("value")))
+    return F.when(c.isNotNull(), F.struct(*[_instants(c[f.name], f.dataType).alias(f.name) for f in dtype.fields]))
+
+
+def _collated(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StringType):
+        return dtype.collation not in (None, "UTF8_BINARY")
+    if isinstance(dtype, T.ArrayType):
+        return _collated(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _collated(dtype.keyType) or _collated(dtype.valueType)
+    return isinstance(dtype, T.StructType) and any(_collated(f.dataType) for f in dtype.fields)
 
 
 def duplicate_counts(df: DataFrame, subset=None, exclude=()) -> DataFrame:
     """One row (total_rows, duplicate_qty); surplus copies, not group members.
 
-    Counts per 128-bit digest of a row: one plan at any size, in which a row costs 32
-    characters of the shuffle whatever its width, and a hot row one record per task.
+    Counts per 128-bit digest of a row: a row costs 16 bytes of the shuffle whatever
+    its width, and a hot row one record per task. Where a collation makes texts equal
+    that are spelt differently, rows are grouped by their values instead.
     """
     names = key_columns(df, subset, exclude)
     if not names:
         return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
             "total_rows", F.greatest(F.col("total_rows") - 1, F.lit(0)).alias("duplicate_qty")
         )
-    groups = df.select(row_digest(df, names).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    if any(_collated(df.schema[n].dataType) for n in names):
+        groups = row_groups(df, subset, exclude).select("copies")
+    else:
+        groups = df.select(row_digest(df, names)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"))
     return groups.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_qty"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import quoted, run, text
 from .nulls import PLACEHOLDERS, missing_sql
-from .quantiles import exact_quantiles
+from .quantiles import column_quantiles
 
 ID_SUFFIX = "_id"
 QUARTILES = (0.25, 0.5, 0.75)
@@ -68,15 +68,43 @@ def numbers_long(df: DataFrame, wanted: list[int]) -> DataFrame:
     return _long(df, wanted, as_number)
 
 
+#: characters of a value that are shuffled to find the smallest of equally frequent values
+PREFIX = 64
+
+
 def mode_and_distinct(df: DataFrame, wanted: list[int]) -> DataFrame:
-    """(ordinal, unique, top, freq): exact, in one shuffle of distinct values.
-    Equal counts take the smallest value."""
-    return run(
-        """
-        SELECT ordinal, count(1) AS `unique`, min_by(v, struct(-n, v)) AS top, max(n) AS freq
-        FROM (SELECT ordinal, v, count(1) AS n FROM @cells@ GROUP BY ordinal, v) GROUP BY ordinal
+    """(ordinal, unique, top, freq): exact. Equal counts take the smallest value.
+
+    Values are counted by a 128-bit digest and shuffled with their first characters
+    only; where the winner is longer, a second pass counts the values that start like
+    it. It reads nothing where no winner is long.
+    """
+    heads = ", ".join(
+        f"named_struct('ordinal', {i}, 'head', substr({v}, 1, {PREFIX}), 'a', xxhash64({v}), 'b', xxhash64(1, {v}))"
+        for i, v in ((i, as_label(df.schema.fields[i])) for i in wanted)
+    )
+    counted = run(
+        f"""
+        SELECT ordinal, count(1) AS `unique`, max(n) AS freq, min_by(head, struct(-n, head)) AS head FROM (
+          SELECT ordinal, head, a, b, count(1) AS n FROM (SELECT inline(array({heads})) FROM @df@) WHERE head IS NOT NULL GROUP BY ordinal, head, a, b)
+        GROUP BY ordinal
+        """,
+        df=df,
+    )
+    # one row per column at most
+    whole = run(
+        f"""
+        SELECT ordinal, min_by(v, struct(-n, v)) AS v FROM (
+          SELECT /*+ BROADCAST(w) */ c.ordinal, c.v, count(1) AS n FROM @cells@ c
+          JOIN (SELECT ordinal, head FROM @counted@ WHERE char_length(head) = {PREFIX}) w ON c.ordinal = w.ordinal AND substr(c.v, 1, {PREFIX}) = w.head
+          GROUP BY c.ordinal, c.v)
+        GROUP BY ordinal
         """,
-        cells=_long(df, wanted, as_label),
+        cells=_long(df, wanted, as_label), counted=counted,
+    )
+    return run(
+        "SELECT /*+ BROADCAST(w) */ c.ordinal, `unique`, coalesce(w.v, head) AS top, freq FROM @counted@ c LEFT JOIN @whole@ w ON c.ordinal = w.ordinal",
+        counted=counted, whole=whole,
     )
 
 
@@ -147,8 +175,7 @@ def profile(
 ) -> DataFrame:
     """All statistics of all columns, one row per column; times in microseconds.
 
-    Quartiles are exact and found by one plan at any size: counts per bucket in
-    bounded memory. ``approximate`` takes quartiles and distinct counts from
+    Quartiles are exact: brackets from sketches, then one counting pass. ``approximate`` takes quartiles and distinct counts from
     sketches, in the scan of the other statistics, and leaves the mode out.
     """
     if not df.columns:
@@ -160,7 +187,7 @@ def profile(
     scanned = [k if i in keep else NESTED for i, k in enumerate(kinds)]
     parts = [moments(df, scanned, placeholders, approximate)]
     if numbers and not approximate:
-        parts.append(exact_quantiles(numbers_long(df, numbers), QUARTILES, QUARTILE_NAMES))
+        parts.append(column_quantiles(df, {i: as_number(df.schema.fields[i]) for i in numbers}, QUARTILES, QUARTILE_NAMES))
     if labels:
         parts.append((quick_distinct if approximate else mode_and_distinct)(df, labels))
     chosen = ", ".join(str(i) for i in keep) or "NULL"
@@ -223,7 +250,7 @@ def quick_profile(df: DataFrame, dataset_id: str) -> DataFrame:
     numbers = [i for i, k in enumerate(kinds) if k == NUMERIC]
     parts = [moments(df, kinds, ())]
     if numbers:
-        parts.append(exact_quantiles(numbers_long(df, numbers), (0.5,), ("p50",)))
+        parts.append(column_quantiles(df, {i: as_number(fields[i]) for i in numbers}, (0.5,), ("p50",)))
     return run(
         f"""
         SELECT {text(dataset_id)} AS dataset_id, column_name, ordinal, total_rows, CAST({len(fields)} AS BIGINT) AS total_columns,

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from rowsight.operators import duplicates, nulls, outliers, statistics
+from rowsight.operators import duplicates, nulls, outliers, quantiles, statistics
 from rowsight.operators.quantiles import exact_quantiles
 
 
@@ -147,3 +147,53 @@ def test_type_check(spark):
     got = {r.column_name: r for r in outliers.type_check(df, "t").collect()}
     assert (got["a"].integer_count, got["a"].number_count, got["a"].fits_type) == (2, 3, "double")
     assert (got["b"].date_count, got["b"].fits_type, got["b"].mixed) == (1, "string", True)
+
+
+def test_column_quantiles_against_numpy(spark):
+    """Above the size where brackets come from sketches: hot values, wide magnitudes, close neighbours, few values, none."""
+    rng = np.random.default_rng(4)
+    n = 60_000
+    data = {
+        "hot": np.where(rng.random(n) < 0.4, 5.0, rng.normal(0, 1, n)), "wide": np.exp(rng.normal(0, 200, n)), "near": 1.0 + rng.permutation(n) * 2.0**-50,
+        "two": rng.choice([-3.0, 7.0], n), "some": np.where(rng.random(n) < 0.9999, np.nan, rng.random(n)), "none": np.full(n, np.nan), "sorted": np.arange(n) * 1.0,
+        "ends": np.concatenate([[-np.inf, np.inf], rng.random(n - 2)]),
+    }
+    df = spark.createDataFrame(pd.DataFrame(data)).repartition(13)
+    probs = (0.0, 0.0001, 0.25, 0.5, 0.75, 0.9999, 1.0)
+    names = [f"q{i}" for i in range(len(probs))]
+    numbers = {i: f"nullif({c}, CAST('NaN' AS DOUBLE))" for i, c in enumerate(data)}
+    got = {r.ordinal: r for r in quantiles.column_quantiles(df, numbers, probs, names).collect()}
+    for i, (c, values) in enumerate(data.items()):
+        values = values[~np.isnan(values)]
+        assert (i in got) == bool(len(values))
+        for p, name in zip(probs, names) if len(values) else ():
+            want = float(np.quantile(values, p))
+            assert close(got[i][name], want) if math.isfinite(want) else got[i][name] == want or math.isnan(got[i][name]), (c, p)
+    assert quantiles.column_quantiles(df.where("false"), numbers, probs, names).count() == 0
+
+
+def test_mode_among_long_values(spark):
+    start = "https://example.com/" + "x" * 60
+    rows = [(start + "b", "k"), (start + "b", "l"), (start + "a", "m"), (start + "a", None), (start + "c", ""), ("zz", ""), (None, "é" * 80)]
+    got = by_column(statistics.column_profile(spark.createDataFrame(rows, "s string, t string"), "t"))
+    assert (got["s"]["unique"], got["s"]["top"], got["s"]["freq"]) == (4, start + "a", 2)
+    assert (got["t"]["unique"], got["t"]["top"], got["t"]["freq"]) == (5, "", 2)
+
+
+def test_duplicates_are_values_not_texts(spark):
+    """Instants in the hour that clocks repeat, shifted nulls, collations, signed zeros."""
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        twice = spark.sql("SELECT timestamp_seconds(1730622600 + 3600 * id) AS t FROM range(2)")
+        nested = twice.selectExpr("array(t) AS a", "named_struct('t', t) AS s", "map('k', t) AS m")
+        assert [duplicates.duplicate_counts(d).first().duplicate_qty for d in (twice, nested, twice.union(twice), nested.union(nested))] == [0, 0, 2, 2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    nulls_ = spark.createDataFrame([(None, 1), (1, None), (None, None), (None, None)], "a int, b int")
+    assert duplicates.duplicate_counts(nulls_).first().duplicate_qty == 1
+    parts = spark.createDataFrame([("ab", "c"), ("a", "bc"), ("", "abc"), (None, "abc")], "a string, b string")
+    assert duplicates.duplicate_counts(parts).first().duplicate_qty == 0
+    assert duplicates.duplicate_counts(spark.sql("SELECT x COLLATE UTF8_LCASE AS s FROM VALUES ('a'), ('A'), ('b') AS t(x)")).first().duplicate_qty == 1
+    assert duplicates.duplicate_counts(spark.sql("SELECT explode(array(0.0D, -0.0D, double('NaN'), NULL)) AS x")).first().duplicate_qty == 2
+    elements = spark.sql("SELECT explode(array(array(1, NULL), array(NULL, 1), array(1), array(1, NULL))) AS x")
+    assert duplicates.duplicate_counts(elements).first().duplicate_qty == 1
