@@ -1,14 +1,21 @@
-"""Exact nearest vectors for many requests, without pairing rows in the plan.
+"""Exact nearest vectors for many requests, over an index of coarse cells.
 
-Both sides are cut into blocks of bounded bytes by a hash of their keys, and each
-block of requests meets each block of items in a task of its own: distances are
-matrix products there, and a task emits its best ``n`` per request only. One plan at
-any size, nothing is collected or broadcast, and no job runs before an action.
+``cell_index`` gives each item the nearest of some centres and keeps each cell's radius
+and number of items; cells are packed into blocks of bounded bytes. A request first
+visits its nearest cells until these hold ``n`` items, which bounds the distance of its
+n-th nearest. By the triangle inequality no item of a cell is nearer than the
+distance to the centre less the radius, so only cells below the bound are visited after
+that. A request is sent once to each block with a cell it visits, never to all blocks
+for the sake of it, and a task emits its best ``n`` per request only.
+
+What is collected is bounded: the centres and one row of figures for each cell.
+Building an index runs two jobs; it can be written once and read by many searches.
 """
 
 from __future__ import annotations
 
 import sys
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,6 +28,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: vector bytes of a block, as doubles
 BLOCK_BYTES = 64 << 20
 CHUNK_CELLS = 8_000_000
+#: cells of an index, at most; fewer for small tables
+MOST_CELLS = 1024
+#: blocks for vectors of lengths that no centre has
+OTHER_BLOCKS = 64
+#: requests compared at once with all cells that one of them needs
+TOGETHER = 256
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -67,9 +80,170 @@ def _ranked(found: DataFrame, request: str, item: str, n: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+@dataclass
+class Cells:
+    """An index of items: rows (item, vector, __cell, __block), and for each cell its
+    centre, radius, number of items, first block and number of blocks."""
+
+    frame: DataFrame
+    item: str
+    vector: str
+    metric: str
+    centres: list[np.ndarray]
+    radius: np.ndarray
+    count: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+    #: vectors of each length, with their numbers
+    by_width: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
+
+    def __post_init__(self):
+        numbers: dict[int, list[int]] = {}
+        for k, c in enumerate(self.centres):
+            numbers.setdefault(len(c), []).append(k)
+        self.by_width = {w: (np.array(ks), np.stack([self.centres[k] for k in ks])) for w, ks in numbers.items()}
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances of rows to centres, computed without cancellation for near ones."""
+    out = np.empty((len(x), len(centres)))
+    step = max(1, CHUNK_CELLS // max(1, centres.size))
+    for a in range(0, len(x), step):
+        rough = (x[a : a + step] ** 2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2.0 * (x[a : a + step] @ centres.T)
+        out[a : a + step] = np.sqrt(np.maximum(rough, 0.0))
+    return out
+
+
+def _scaled(v, metric: str) -> np.ndarray:
+    x = np.asarray(v, dtype=np.float64)
+    return x / max(np.linalg.norm(x), 1e-300) if metric == "cosine" else x
+
+
+def cell_index(
+    items: DataFrame, item: str = "item_id", vector: str = "embedding", metric: str = "sqeuclidean", block_bytes: int = BLOCK_BYTES,
+    cells: int | None = None, path: str | None = None,
+) -> Cells:
+    """Index of all usable items; ``path``: keep its rows there as Parquet, by block.
+
+    Centres are items, chosen by a hash of their keys: about the square root of the
+    number of items, MOST_CELLS at most. Keys must be unique.
+    """
+    usable = _usable(items, item, vector)
+    total = usable.count()
+    wanted = max(1, min(cells or MOST_CELLS, round(total**0.5)))
+    picked = usable.orderBy(F.xxhash64(item), item).limit(wanted).select(vector).collect()  # bounded by MOST_CELLS
+    centres = [_scaled(r[0], metric) for r in picked]
+    shell = Cells(usable, item, vector, metric, centres, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0))
+    by_width = shell.by_width
+    itype, vtype = usable.schema[item].dataType.simpleString(), usable.schema[vector].dataType.simpleString()
+
+    def place(batches):
+        for pdf in batches:
+            cell, away = np.full(len(pdf), -1), np.zeros(len(pdf))
+            widths = pdf[vector].map(len).to_numpy() if len(pdf) else np.zeros(0, int)
+            for w in np.unique(widths):
+                if w in by_width:
+                    mine = np.flatnonzero(widths == w)
+                    numbers, matrix = by_width[w]
+                    d = _distances(np.stack([_scaled(v, metric) for v in pdf[vector].to_numpy()[mine]]), matrix)
+                    cell[mine], away[mine] = numbers[d.argmin(axis=1)], d.min(axis=1)
+            yield pdf.assign(__cell=cell, __away=away)
+
+    placed = usable.mapInPandas(place, f"`{item}` {itype}, `{vector}` {vtype}, __cell bigint, __away double")
+    figures = placed.groupBy("__cell").agg(F.count("*").alias("n"), F.max("__away").alias("radius"), F.sum(F.size(vector).cast("bigint") * 8).alias("bytes")).collect()
+    radius, count, size = np.zeros(len(centres)), np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+    for r in figures:  # a row per cell
+        if r["__cell"] >= 0:
+            radius[r["__cell"]], count[r["__cell"]], size[r["__cell"]] = r["radius"], r["n"], r["bytes"]
+    first, parts = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64)
+    block, filled = 0, 0
+    for k in sorted(range(len(centres)), key=lambda k: (len(centres[k]), centres[k][0])):
+        if size[k] > block_bytes:  # a cell of its own blocks
+            parts[k] = -(-size[k] // block_bytes)
+            first[k] = block + (filled > 0)
+            block, filled = first[k] + parts[k], 0
+        else:
+            if filled + size[k] > block_bytes:
+                block, filled = block + 1, 0
+            first[k], filled = block, filled + size[k]
+    firsts, many = (F.array(*[F.lit(int(x)) for x in xs]) if len(xs) else F.array(F.lit(0)) for xs in (first, parts))
+    own = F.pmod(F.xxhash64(item), F.element_at(many, F.col("__cell").cast("int") + 1)) + F.element_at(firsts, F.col("__cell").cast("int") + 1)
+    other = -1 - F.pmod(F.xxhash64(F.size(vector)), F.lit(OTHER_BLOCKS))
+    frame = placed.withColumn("__block", F.when(F.col("__cell") >= 0, own).otherwise(other)).drop("__away")
+    if path:
+        frame.repartition("__block").write.mode("overwrite").partitionBy("__block").parquet(path)
+        frame = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return Cells(frame, item, vector, metric, centres, radius, count, first, parts)
+
+
+def search(requests: DataFrame, index: Cells, n: int, request: str = "request_id", vector: str = "embedding") -> DataFrame:
+    """(request, item, distance, rank): the n nearest items of each request, exactly."""
+    item, ivector, metric = index.item, index.vector, index.metric
+    asked = _usable(requests, request, vector)
+    rtype, vtype = (asked.schema[c].dataType.simpleString() for c in (request, vector))
+    itype = index.frame.schema[item].dataType.simpleString()
+    by_width, radius, count, first, parts = index.by_width, index.radius, index.count, index.first, index.parts
+    visit = f"`{request}` {rtype}, `{vector}` {vtype}, __cells array<bigint>, __block bigint"
+
+    def visits(pdf: pd.DataFrame, bound) -> pd.DataFrame:
+        """A row for each block that a request visits: that of its home cells where ``bound`` is None, else all with a cell that may hold something as near."""
+        rows = []
+        for at, (key, v) in enumerate(zip(pdf[request], pdf[vector])):
+            if len(v) not in by_width:
+                rows.extend((key, v, [-1], b) for b in range(-OTHER_BLOCKS, 0))
+                continue
+            numbers, matrix = by_width[len(v)]
+            d = _distances(_scaled(v, metric)[None, :], matrix)[0]
+            order = np.argsort(d, kind="stable")
+            if bound is None:
+                chosen = numbers[order[: int(np.searchsorted(np.cumsum(count[numbers[order]]), n)) + 1]]
+            else:  # with slack for the rounding of distances
+                chosen = numbers[order[d[order] - radius[numbers[order]] <= bound[at] + 1e-6 * (1.0 + d[order])]]
+            blocks: dict[int, list[int]] = {}
+            for c in chosen:
+                for b in range(first[c], first[c] + parts[c]):
+                    blocks.setdefault(int(b), []).append(int(c))
+            rows.extend((key, v, cs, b) for b, cs in blocks.items())
+        return pd.DataFrame(rows, columns=[request, vector, "__cells", "__block"])
+
+    def homes(batches):
+        for pdf in batches:
+            yield visits(pdf, None)
+
+    def reachable(batches):
+        for pdf in batches:
+            # distances here are squared, or half of the squared ones
+            yield visits(pdf, np.sqrt(pdf["__bound"].fillna(np.inf).to_numpy() * (2.0 if metric == "cosine" else 1.0)))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({request: [], item: [], "distance": []})]
+        keys, cell = b[item].to_numpy(), b["__cell"].to_numpy()
+        widths = b[ivector].map(len).to_numpy() if len(b) else np.zeros(0, int)
+        asked_widths = a[vector].map(len).to_numpy() if len(a) else np.zeros(0, int)
+        for width in np.unique(asked_widths):
+            # requests that start at the same cells are near each other and need much the same ones
+            rows = sorted(np.flatnonzero(asked_widths == width), key=lambda at: list(a["__cells"].iat[at]))
+            for start in range(0, len(rows), TOGETHER):
+                few = rows[start : start + TOGETHER]
+                need = np.unique(np.concatenate([a["__cells"].iat[at] for at in few]))
+                mine = np.flatnonzero(np.isin(cell, need) & (widths == width))
+                if len(mine):
+                    r, i, d = best(_matrix(a[vector].iloc[few]), _matrix(b[ivector].iloc[mine]), keys[mine], n, metric)
+                    out.append(pd.DataFrame({request: a[request].to_numpy()[np.array(few)[r]], item: keys[mine][i], "distance": d}))
+        return pd.concat(out[1:] or out)
+
+    out = f"`{request}` {rtype}, `{item}` {itype}, distance double"
+    by_block = index.frame.groupBy("__block")
+    near = asked.mapInPandas(homes, visit).groupBy("__block").cogroup(by_block).applyInPandas(meet, out)
+    # homes are as few cells as hold n items, so this is a list of n values for each of few blocks
+    nth = near.groupBy(request).agg(F.get(F.array_sort(F.collect_list("distance")), F.lit(n - 1)).alias("__bound"))
+    found = asked.join(nth, request, "left").mapInPandas(reachable, visit).groupBy("__block").cogroup(by_block).applyInPandas(meet, out)
+    return _ranked(found, request, item, n)
+
+
 def nearest(
     requests: DataFrame, items: DataFrame, n: int, request: str = "request_id", item: str = "item_id",
-    vector: str = "embedding", metric: str = "sqeuclidean", block_bytes: int = BLOCK_BYTES,
+    vector: str = "embedding", metric: str = "sqeuclidean", block_bytes: int = BLOCK_BYTES, cells: int | None = None,
 ) -> DataFrame:
     """(request, item, distance, rank): the n nearest items of each request.
 
@@ -79,33 +253,9 @@ def nearest(
     """
     if metric not in ("sqeuclidean", "cosine"):
         raise ValueError(f"unknown metric {metric}")
-    rtype, itype = requests.schema[request].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    out = f"`{request}` {rtype}, `{item}` {itype}, distance double"
-    left, right = _usable(requests, request, vector), _usable(items, item, vector)
-    l_blocks, r_blocks = (_blocks(df, vector, block_bytes) for df in (left, right))
-
-    def spread(df, key, own, own_n, other, other_n):
-        placed = df.withColumn(own, F.pmod(F.xxhash64(key), own_n)).withColumn("__width", F.size(vector))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), other_n - 1)))
-
-    left = spread(left, request, "__r", l_blocks, "__i", r_blocks)
-    right = spread(right, item, "__i", r_blocks, "__r", l_blocks)
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        r, i, d = best(_matrix(a[vector]), _matrix(b[vector]), b[item].to_numpy(), n, metric)
-        return pd.DataFrame({request: a[request].to_numpy()[r], item: b[item].to_numpy()[i], "distance": d})
-
-    keys = ["__width", "__r", "__i"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, out)
-    return _ranked(found, request, item, n)
+    return search(requests, cell_index(items, item, vector, metric, block_bytes, cells), n, request, vector)
 
 
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf")))
     return df.select(key, vector).where(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad)
-
-
-def _blocks(df: DataFrame, vector: str, block_bytes: int):
-    """Blocks that hold all vectors, as a scalar subquery: counted when the query runs."""
-    wanted = F.ceil(F.coalesce(F.sum(F.size(vector).cast("bigint") * 8), F.lit(0)) / F.lit(block_bytes))
-    return df.agg(F.greatest(wanted, F.lit(1)).cast("bigint").alias("blocks")).scalar()
