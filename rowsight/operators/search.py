@@ -6,12 +6,23 @@ table_name, connector, embedding and, for context text, document.
 
 from __future__ import annotations
 
+import re
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.identifiers import DATABASE, WAREHOUSE
 from ..functions.scalars import fixed
 from .nearest import nearest
 
+# tasks get the code of this module with the closure, no install on executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: characters of request texts that are searched together
+TEXTS = 32 << 20
+
 # fixed values: environment words and boosts
 STAGING_MARKS = ("stage", "staging", "dev", "test")
 STAGING_WORDS = ("stage", "staging", "dev", "development", "test")
@@ -79,20 +90,7 @@ def preferred_connector(requests: DataFrame, keywords: DataFrame) -> DataFrame:
     low = F.lower("text")
     named = F.when(low.contains(DATABASE), DATABASE).when(low.contains(WAREHOUSE), WAREHOUSE)
     base = requests.select("request_id", low.alias("low"), named.alias("named"))
-    open_ = base.where("named is null")
-    words = open_.select("request_id", F.posexplode(F.split(F.replace("low", F.lit("_"), F.lit(" ")), r"\s+")).alias("at", "keyword"))
-    by_word = words.join(keywords, "keyword").groupBy("request_id").agg(F.min_by("connector", "at").alias("by_word"))
-
-    # every substring as long as some keyword, matched by equality
-    lengths = keywords.agg(F.collect_set(F.length("keyword"))).scalar()
-    pieces = (
-        open_.join(by_word, "request_id", "left_anti")
-        .select("request_id", "low", F.explode(lengths).alias("size"))
-        .where(F.length("low") >= F.col("size"))
-        .select("request_id", "low", "size", F.explode(F.sequence(F.lit(1), F.length("low") - F.col("size") + 1)).alias("at"))
-        .select("request_id", F.substr("low", F.col("at"), F.col("size")).alias("keyword"))
-    )
-    by_part = pieces.join(keywords, "keyword").groupBy("request_id").agg(F.min_by("connector", "first").alias("by_part"))
+    found = _found_keywords(base.where("named is null").select("request_id", "low"), keywords)
 
     def environment(words) -> Column:
         order = F.array_position(F.array(*[F.lit(w) for w in words]), F.col("keyword"))
@@ -102,12 +100,51 @@ def preferred_connector(requests: DataFrame, keywords: DataFrame) -> DataFrame:
         _contains_any(F.col("low"), PRODUCTION_WORDS), environment(PRODUCTION_WORDS)
     )
     return (
-        base.join(by_word, "request_id", "left")
-        .join(by_part, "request_id", "left")
+        base.join(found, "request_id", "left")
         .select("request_id", F.coalesce("named", "by_word", "by_part", by_env).alias("preferred"))
     )
 
 
+def _found_keywords(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(request_id, by_word, by_part): connectors of the first word that is a keyword and
+    of the earliest keyword anywhere in the text; no row where there is none.
+
+    One automaton of all keywords reads each text once, in time that grows with the
+    text and not with the keywords; a text gives one row at most, so that a word
+    that most texts hold is no hot key. Keywords are a few words for each database.
+    """
+    # a text belongs to one of as many buckets as their characters ask for; each bucket meets the keywords once
+    buckets = texts.agg(F.greatest(F.ceil(F.coalesce(F.sum(F.length("low")), F.lit(0)) / F.lit(TEXTS)), F.lit(1)).cast("bigint")).scalar()
+    placed = texts.where("low is not null").withColumn("bucket", F.pmod(F.xxhash64("request_id"), buckets))
+    order = Window.orderBy("first", "keyword")
+    ranked = keywords.where("keyword <> ''").select("keyword", "connector", F.row_number().over(order).alias("place"))
+    spread = ranked.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), buckets - 1)))
+
+    def read(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        import ahocorasick
+
+        known = {k: (place, connector) for k, connector, place in zip(b["keyword"], b["connector"], b["place"])}
+        automaton = ahocorasick.Automaton()
+        for k, v in known.items():
+            automaton.add_word(k, v)
+        if known:
+            automaton.make_automaton()
+        ids, words, parts = [], [], []
+        for key, low in zip(a["request_id"], a["low"]) if known else ():
+            word = next((known[w][1] for w in WORD_ENDS.split(low.replace("_", " ")) if w in known), None)
+            first = min((v for _, v in automaton.iter(low)), default=None, key=lambda v: v[0])
+            if word is not None or first is not None:
+                ids.append(key), words.append(word), parts.append(first and first[1])
+        return pd.DataFrame({"request_id": ids, "by_word": words, "by_part": parts}, dtype=object)
+
+    kind = texts.schema["request_id"].dataType.simpleString()
+    return placed.groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInPandas(read, f"request_id {kind}, by_word string, by_part string")
+
+
+#: what splits words, as in the SQL functions
+WORD_ENDS = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
 def candidates(requests: DataFrame, index: DataFrame, keywords: DataFrame, n: int, metric: str = "sqeuclidean") -> DataFrame:
     """The n nearest tables of each request, scored: boosts come after this cut."""
     near = nearest(

@@ -511,14 +511,14 @@ def all_sql() -> dict[str, str]:
     sql["vector_topk"] = (
         f"SELECT request_id, item_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, item_id) AS rank "
         f"FROM (SELECT f.vec_id AS request_id, e.vec_id AS item_id, {DISTANCE.format(a='f.embedding', b='e.embedding')} AS distance FROM embeddings f, embeddings e)) WHERE rank <= 10")
-    few = f"SELECT CAST(label AS BIGINT) AS request_id, {options('label', ASKED)} AS text, embedding FROM firsts"
-    many = f"SELECT vec_id AS request_id, {options('label', ASKED)} AS text, embedding FROM embeddings"
+    many = (f"SELECT vec_id AS request_id, {options('label', ASKED)} || ' ' || coalesce(d.text, '') AS text, embedding "
+            "FROM embeddings LEFT JOIN documents d ON doc_id = vec_id")
     sql["search_tables"] = (
-        f"{scored_sql(few, index_sql('embeddings'), 10)} SELECT request_id, full_name, table_name, connector, round(base_score, 6) AS base_score, boosted, round(table_boost, 6) AS table_boost, "
+        f"{scored_sql(many, index_sql('embeddings'), 10)} SELECT request_id, full_name, table_name, connector, round(base_score, 6) AS base_score, boosted, round(table_boost, 6) AS table_boost, "
         "preferred AS detected_source, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, distance, full_name) AS rank "
         "FROM scored WHERE score >= CAST(0.05 AS DOUBLE)) WHERE rank <= 3")
-    sql["search_gate"] = gate_sql(many, index_sql("firsts"), GATE_TAIL)
-    sql["search_context"] = gate_sql(few, index_sql("embeddings"), CONTEXT_TAIL)
+    sql["search_gate"] = gate_sql(many, index_sql("embeddings"), GATE_TAIL)
+    sql["search_context"] = gate_sql(many, index_sql("embeddings"), CONTEXT_TAIL)
 
     name = options("label", ASSESSED)
     stand = (f"SELECT {name} AS full_name, string_split({name}, '.')[3] AS table_name, CASE WHEN label IN (1, 2) THEN 'snowflake' ELSE 'postgres' END AS connector, embedding "

@@ -381,8 +381,12 @@ def _first_of_label(spark, sf):
     return table(spark, sf, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id"), F.min_by("embedding", "vec_id").alias("embedding"))
 
 
-def _requests(vectors, key):
-    return vectors.select(F.col(key).cast("bigint").alias("request_id"), _pick(F.col("label"), ASKED).alias("text"), "embedding")
+def _requests(spark, sf):
+    """Every vector as a request: a phrase of its label, and the whole text of the document of its number."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("said"))
+    asked = table(spark, sf, "embeddings").join(texts, "vec_id", "left")
+    phrase = F.concat(_pick(F.col("label"), ASKED), F.lit(" "), F.coalesce("said", F.lit("")))
+    return asked.select(F.col("vec_id").cast("bigint").alias("request_id"), phrase.alias("text"), "embedding")
 
 
 def vector_topk(spark, sf):
@@ -394,13 +398,13 @@ def vector_topk(spark, sf):
 def search_tables(spark, sf):
     index = _index(table(spark, sf, "embeddings"))
     keywords = search.keyword_map(_sources(spark), index)
-    return _rounded(search.search_tables(_requests(_first_of_label(spark, sf), "label"), index, keywords), 6)
+    return _rounded(search.search_tables(_requests(spark, sf), index, keywords), 6)
 
 
 def search_gate(spark, sf):
-    index = _index(_first_of_label(spark, sf))
+    index = _index(table(spark, sf, "embeddings"))
     keywords = search.keyword_map(_sources(spark), index)
-    return search.search_gate(_requests(table(spark, sf, "embeddings"), "vec_id"), index, keywords).drop("context")
+    return search.search_gate(_requests(spark, sf), index, keywords).drop("context")
 
 
 ASSESSED = ["stage_sales.public.orders", "PROD_SALES.PUBLIC.CUSTOMER", "DATA_HUB.CORE.LINEITEM", "data_hub.core.documents"]
@@ -414,7 +418,7 @@ def answer_requests(spark, sf):
         name.alias("full_name"), F.substring_index(name, ".", -1).alias("table_name"),
         F.when(F.col("label").isin(1, 2), "snowflake").otherwise("postgres").alias("connector"), "embedding",
     )
-    asked = _requests(table(spark, sf, "embeddings"), "vec_id")
+    asked = _requests(spark, sf)
     gate = search.search_gate(asked, index, search.keyword_map(_sources(spark), index), threshold=-2.0)
     return requests.answer_requests(asked, gate, assess.check_results(_all_checks(spark, sf)))
 
@@ -422,7 +426,7 @@ def answer_requests(spark, sf):
 def search_context(spark, sf):
     index = _index(table(spark, sf, "embeddings")).withColumn("document", F.concat(F.lit("TABLE: "), "full_name"))
     keywords = search.keyword_map(_sources(spark), index)
-    return search.search_gate(_requests(_first_of_label(spark, sf), "label"), index, keywords).select("request_id", "context")
+    return search.search_gate(_requests(spark, sf), index, keywords).select("request_id", "context")
 
 
 def text_index(spark, sf):

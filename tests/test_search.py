@@ -76,6 +76,25 @@ def test_preferred_connector(spark):
     assert {r.request_id: r.preferred for r in got.collect()} == {k: w for k, (_, w) in asked.items()}
 
 
+def test_long_texts_and_many_keywords(spark):
+    """A 33,000-character request, a word that most requests hold, odd texts: against plain search."""
+    rng = np.random.default_rng(8)
+    letters = list("abcde_ ")
+    names = sorted({"".join(rng.choice(list("abcde_"), rng.integers(3, 9))) for _ in range(400)})
+    known = [(k, "snowflake" if i % 3 else "postgres", int(p)) for i, (k, p) in enumerate(zip(names, rng.permutation(len(names))))]
+    texts = ["".join(rng.choice(letters, n)) for n in (33_000, 50, 9, 9, 7, 4)] + [names[7] + " x", "Hot " + names[3].upper()] * 20 + ["", None, "é " + names[5], names[4] + "\n" + names[2]]
+    requests = spark.createDataFrame(list(enumerate(texts)), "request_id bigint, text string")
+    got = {r.request_id: r.preferred for r in search.preferred_connector(requests, spark.createDataFrame(known, "keyword string, connector string, first int")).collect()}
+    by_name = {k: (p, c) for k, c, p in known}
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        words = [w for w in low.replace("_", " ").split() if w in by_name]
+        parts = sorted(by_name[k] for k in names if k in low)
+        want = by_name[words[0]][1] if words else parts[0][1] if parts else None
+        assert got[i] == want, (i, text and text[:50])
+    assert search.preferred_connector(requests, spark.createDataFrame([], "keyword string, connector string, first int")).where("preferred IS NOT NULL").count() == 0
+
+
 def test_keyword_map_last_writer(spark):
     sources = spark.createDataFrame([(1, "snowflake", "PROD_SALES"), (2, "postgres", "stage_sales")], "source_no int, connector string, database string")
     index = spark.createDataFrame([("LIVE_HUB.A.T", "snowflake"), ("live_db.a.t", "postgres")], "full_name string, connector string")
