@@ -63,26 +63,52 @@ def select_schemas(
 
 def describe_tables(
     frames: dict[str, DataFrame], database: str, schema: str, connector: str = WAREHOUSE, count_rows: bool = True,
-    views: frozenset[str] = frozenset(), comments: dict[str, str] | None = None,
+    views: frozenset[str] = frozenset(), comments: dict[str, str] | None = None, sizes: bool = True,
 ) -> DataFrame:
     """Table rows for named DataFrames; rows are counted unless told not to
-    (Parquet counts come from the footers)."""
+    (Parquet counts come from the footers).
+
+    ``sizes``: tables that are files also get bytes, and as dates of creation and last
+    change those of their oldest and newest file. Files without rows don't show.
+    """
     comments = comments or {}
     rows = []
     for name, df in sorted(frames.items()):
-        one = df.agg(F.count(F.lit(1)).alias("row_count")) if count_rows else df.sparkSession.range(1).select(F.lit(None).alias("row_count"))
+        one = storage(df) if sizes else None
+        if one is None:
+            one = df.agg(F.count(F.lit(1)).alias("row_count")).select("*", *_no_files())
+        if not count_rows:
+            one = one.withColumn("row_count", F.lit(None)) if sizes else df.sparkSession.range(1).select(F.lit(None).alias("row_count"), *_no_files())
         rows.append(
             one.select(
                 F.lit(connector).alias("connector"), F.lit(database).alias("database_name"), F.lit(schema).alias("schema_name"),
                 F.lit(name).alias("table_name"), F.lit("VIEW" if name in views else "BASE TABLE").alias("table_type"),
-                F.col("row_count").cast("bigint").alias("row_count"), F.lit(None).cast("bigint").alias("bytes"),
-                F.lit(comments.get(name)).cast("string").alias("table_comment"),
-                F.lit(None).cast("timestamp_ntz").alias("created"), F.lit(None).cast("timestamp_ntz").alias("last_altered"),
+                F.col("row_count").cast("bigint").alias("row_count"), "bytes",
+                F.lit(comments.get(name)).cast("string").alias("table_comment"), "created", "last_altered",
             )
         )
     return union_all(rows)
 
 
+def _no_files() -> list[Column]:
+    return [F.lit(None).cast(kind).alias(name) for name, kind in (("bytes", "bigint"), ("created", "timestamp_ntz"), ("last_altered", "timestamp_ntz"))]
+
+
+def storage(df: DataFrame) -> DataFrame | None:
+    """One row (row_count, files, bytes, created, last_altered) of a table that is files; None for other tables.
+
+    Read from the files' metadata in the scan that counts rows, folded per file before the shuffle.
+    """
+    try:
+        files = df.groupBy("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").agg(F.count(F.lit(1)).alias("n"))
+    except PySparkException:  # not a scan of files
+        return None
+    return files.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes"),
+        F.min("file_modification_time").cast("timestamp_ntz").alias("created"), F.max("file_modification_time").cast("timestamp_ntz").alias("last_altered"),
+    )
+
+
 def list_tables(tables: DataFrame, schema: str | None = None, include_views: bool = True, max_tables: int | None = None) -> DataFrame:
     """Tables of a schema by name; ``max_tables`` keeps the first ones."""
     kept = tables.where(F.col("schema_name") == schema) if schema else tables

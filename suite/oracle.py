@@ -492,14 +492,31 @@ def all_sql() -> dict[str, str]:
         "CASE WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type = 'VARCHAR' THEN 'string' "
         "WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' WHEN data_type = 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END")
     sql["list_columns"] = (
-        f"WITH sizes AS ({' UNION ALL '.join(f"SELECT '{t}' AS table_name, '{SCHEMA_OF.get(t, 'sales')}' AS schema_name, count(*) AS row_count FROM {t}" for t in TABLES)}) "
-        f"SELECT 'snowflake' AS connector, 'PROD_SALES' AS database_name, table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name, {spark_type} AS data_type, 'YES' AS is_nullable, "
-        "CAST(NULL AS VARCHAR) AS column_default, CAST(NULL AS VARCHAR) AS column_comment, schema_name, row_count FROM information_schema.columns JOIN sizes USING (table_name)")
+        f"SELECT 'snowflake' AS connector, 'PROD_SALES' AS database_name, 'sales' AS schema_name, table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name, {spark_type} AS data_type, "
+        "'YES' AS is_nullable, CAST(NULL AS VARCHAR) AS column_default, CAST(NULL AS VARCHAR) AS column_comment FROM information_schema.columns "
+        f"WHERE table_name IN ({', '.join(map(q, TABLES))})")
     listed = " UNION ALL ".join(
         f"SELECT 'PROD_SALES' AS database_name, '{SCHEMA_OF.get(t, 'sales')}' AS schema_name, '{t}' AS table_name, 'BASE TABLE' AS table_type, count(*) AS row_count FROM {t}" for t in TABLES)
     sql["list_tables"] = listed
     sql["schema_fingerprint"] = (
         f"SELECT schema_name, string_agg(table_name, ',' ORDER BY table_name) AS tables, count(*) AS table_count, CAST(sum(row_count) AS BIGINT) AS row_count FROM ({listed}) GROUP BY schema_name")
+    sql["fingerprint_totals"] = (
+        "SELECT string_agg(schema_name, ',' ORDER BY schema_name) AS schemas, string_agg(schema_name || '=' || tables, ';' ORDER BY schema_name) AS tables_per_schema, "
+        f"count(*) AS total_schemas, CAST(sum(table_count) AS BIGINT) AS total_tables FROM ({sql['schema_fingerprint']})")
+    sql["build_index"] = (
+        f"WITH sizes AS ({listed}), listed AS (SELECT table_name, string_agg('  - ' || column_name || ' (' || {spark_type} || ')', chr(10) ORDER BY ordinal_position) AS lines "
+        "FROM information_schema.columns GROUP BY table_name) "
+        "SELECT schema_name AS schema, table_name, 'indexed' AS status, 'PROD_SALES.' || schema_name || '.' || table_name AS full_name, "
+        "'DATA SOURCE: SNOWFLAKE' || chr(10) || 'TABLE: PROD_SALES.' || schema_name || '.' || table_name || chr(10) || 'Type: BASE TABLE' || chr(10) "
+        "|| CASE WHEN row_count > 0 THEN 'Row Count: ' || format('{:,}', row_count) || chr(10) ELSE '' END || chr(10) || 'COLUMNS:' || chr(10) || lines || chr(10) "
+        "|| chr(10) || 'Created: None' || chr(10) || 'Last Modified: None' AS document, 256 AS width FROM sizes JOIN listed USING (table_name) "
+        "UNION ALL SELECT 'sales', 'broken', 'failed', NULL, NULL, NULL")
+    sql["schema_history"] = with_view("index_names", (
+        "SELECT taken, schema_name, table_name, change FROM (WITH days AS (SELECT unnest(range(1, 7)) AS day), "
+        "held AS (SELECT DISTINCT day, db AS schema_name, table_name FROM index_names JOIN part USING (p_partkey), days WHERE p_size BETWEEN day * 5 AND day * 5 + 20 OR p_size % 7 = day % 3), "
+        "pairs AS (SELECT a.day + 1 AS day, a.schema_name, a.table_name, 'removed' AS change FROM held a LEFT JOIN held b ON b.day = a.day + 1 AND b.schema_name = a.schema_name AND b.table_name = a.table_name "
+        "WHERE a.day < 6 AND b.day IS NULL UNION ALL SELECT a.day, a.schema_name, a.table_name, 'added' FROM held a LEFT JOIN held b ON b.day = a.day - 1 AND b.schema_name = a.schema_name AND b.table_name = a.table_name "
+        "WHERE a.day > 1 AND b.day IS NULL) SELECT make_timestamp(2025, 1, CAST(day AS BIGINT), 0, 0, 0.0) AS taken, * FROM pairs)"))
     snapshot = "SELECT DISTINCT db AS schema_name, table_name FROM index_names JOIN part USING (p_partkey) WHERE "
     sql["schema_diff"] = with_view("index_names", (
         f"SELECT coalesce(a.schema_name, b.schema_name) AS schema_name, coalesce(a.table_name, b.table_name) AS table_name, "

@@ -11,7 +11,8 @@ from rowsight.fixtures import table, view
 from rowsight.functions import identifiers as ids
 from rowsight.functions.scalars import union_all
 from rowsight.operators import cleanse, duplicates, generate, inject, nearest, nulls, outliers, search, statistics
-from rowsight.plans import assess, parse, recommend, report, requests
+from rowsight.plans import assess, indexing, parse, recommend, report, requests
+from rowsight.session import new_folder
 from rowsight.sources import catalog, sinks, tables
 
 AS_OF = dt.date(2025, 1, 1)
@@ -299,7 +300,7 @@ def _frames(spark, sf):
 
 
 def _tables(spark, sf):
-    found = catalog.describe_tables(_frames(spark, sf), "PROD_SALES", "sales")
+    found = catalog.describe_tables(_frames(spark, sf), "PROD_SALES", "sales", sizes=False)
     place = F.create_map(*[F.lit(x) for kv in SCHEMA_OF.items() for x in kv])
     return found.withColumn("schema_name", F.coalesce(F.element_at(place, F.col("table_name")), F.col("schema_name")))
 
@@ -312,16 +313,31 @@ def list_tables(spark, sf):
     return catalog.list_tables(_tables(spark, sf)).select("database_name", "schema_name", "table_name", "table_type", "row_count")
 
 
+def table_storage(spark, sf):
+    """Sizes and dates of the tables' files."""
+    found = catalog.describe_tables(_frames(spark, sf), "PROD_SALES", "sales")
+    return found.select("table_name", "row_count", "bytes", "created", "last_altered")
+
+
 def list_columns(spark, sf):
-    columns = catalog.describe_columns(_frames(spark, sf), "PROD_SALES", "sales").drop("schema_name")
-    return columns.join(_tables(spark, sf).select("table_name", "schema_name", "row_count"), "table_name")
+    return catalog.describe_columns(_frames(spark, sf), "PROD_SALES", "sales")
 
 
 def table_documents(spark, sf):
     frames = _frames(spark, sf)
     columns = catalog.describe_columns(frames, "PROD_SALES", "sales")
     samples = union_all([catalog.sample_text(df, name, 3, (df.columns[0],)) for name, df in frames.items()])
-    return catalog.table_documents(catalog.describe_tables(frames, "PROD_SALES", "sales"), columns, samples)
+    return catalog.table_documents(catalog.describe_tables(frames, "PROD_SALES", "sales", sizes=False), columns, samples)
+
+
+def build_index(spark, sf):
+    """All tables and one that fails when it is read, indexed in one call; what the index holds then, and what failed."""
+    frames = _frames(spark, sf) | {"broken": table(spark, sf, "orders").where(F.when(F.col("o_orderkey") >= 0, F.raise_error(F.lit("damaged file"))).isNotNull())}
+    entries = [indexing.Entry(SCHEMA_OF.get(name, "sales"), name, df) for name, df in frames.items()]
+    path = new_folder(spark, "index")
+    outcome = indexing.build_index(spark, entries, path, "PROD_SALES", sample_rows=0, sizes=False)
+    found = indexing.read_index(spark, path).select("schema", "table_name", "full_name", "document", F.size("embedding").alias("width"))
+    return outcome.select(F.col("schema_name").alias("schema"), "table_name", "status").join(found, ["schema", "table_name"], "left")
 
 
 def schema_fingerprint(spark, sf):
@@ -331,6 +347,23 @@ def schema_fingerprint(spark, sf):
     return per.join(rows, "schema_name").select("schema_name", F.array_join("tables", ",").alias("tables"), "table_count", "row_count")
 
 
+def fingerprint_totals(spark, sf):
+    return catalog.fingerprint_totals(_tables(spark, sf)).select(
+        F.array_join("schemas", ",").alias("schemas"),
+        F.array_join(F.transform(F.map_entries("tables_per_schema"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";").alias("tables_per_schema"),
+        "total_schemas", "total_tables",
+    )
+
+
+def schema_history(spark, sf):
+    """Six daily snapshots of the names in the part table, a window of sizes each."""
+    names = view(spark, sf, "index_names").join(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")
+    days = names.select(F.col("db").alias("schema_name"), "table_name", "p_size", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("day"))
+    held = days.where("p_size BETWEEN day * 5 AND day * 5 + 20 OR p_size % 7 = day % 3")
+    taken = F.make_timestamp_ntz(F.lit(2025), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0))
+    return indexing.schema_history(held.select("schema_name", "table_name", taken.alias("taken")))
+
+
 def schema_diff(spark, sf):
     names = view(spark, sf, "index_names").join(table(spark, sf, "part"), "p_partkey").select(
         F.col("db").alias("schema_name"), "table_name", "p_size"
