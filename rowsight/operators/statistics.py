@@ -60,7 +60,7 @@ def as_label(field: T.StructField) -> str:
 
 def _long(df: DataFrame, wanted: list[int], make) -> DataFrame:
     """(ordinal, v) rows of the wanted columns; nulls dropped."""
-    cells = ", ".join(f"named_struct('ordinal', {i}, 'v', {make(df.schema.fields[i])})" for i in wanted)
+    cells = ", ".join(f"named_struct('ordinal', {i}, 'v', {make(df.schema.fields[i])})" for i in wanted) or "named_struct('ordinal', -1, 'v', CAST(NULL AS DOUBLE))"
     return run(f"SELECT * FROM (SELECT inline(array({cells})) FROM @df@) WHERE v IS NOT NULL", df=df)
 
 

@@ -7,7 +7,9 @@ works on these rows and never reads the table again.
 
 from __future__ import annotations
 
+import hashlib
 import logging
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -19,6 +21,7 @@ from ..operators.duplicates import duplicate_counts
 from ..operators.nulls import PLACEHOLDERS
 from ..operators.statistics import NESTED, merged, moments, profile
 from ..sources.tables import try_scan
+from .checks import REGISTERED
 
 log = logging.getLogger(__name__)
 
@@ -34,14 +37,14 @@ CHECK_ROW = (
 
 
 def chosen_checks(checks=None) -> list[str]:
-    """List or comma-separated names; all by default; unknown ones are skipped."""
+    """List or comma-separated names, registered checks too; the three basic ones by default; unknown ones are skipped."""
     if checks is None:
         return list(CHECKS)
     names = [c.strip() for c in checks.split(",")] if isinstance(checks, str) else list(checks)
     for c in names:
-        if c not in CHECKS:
+        if c not in CHECKS and c not in REGISTERED:
             log.warning("unknown check %r skipped", c)
-    return list(dict.fromkeys(c for c in names if c in CHECKS))
+    return list(dict.fromkeys(c for c in names if c in CHECKS or c in REGISTERED))
 
 
 def _row(dataset_id, connector, order, name, status, width, metric, columns, error=None, rows="total_rows") -> str:
@@ -78,7 +81,7 @@ def assess(
     if "duplicates" in order:
         row = _row(dataset_id, connector, order, "duplicates", "if(duplicate_qty = 0, 'success', 'failure')", width, "duplicate_qty", none)
         parts.append(run(f"SELECT inline(array({row})) FROM @found@", found=duplicate_counts(df)))
-    scanned = [c for c in order if c != "duplicates"]
+    scanned = [c for c in order if c in CHECKS and c != "duplicates"]
     if scanned and not width:
         rows = []
         for name in scanned:
@@ -107,9 +110,23 @@ def assess(
             """,
             found=found,
         ))
+    parts += [_registered(df, dataset_id, connector, order, c) for c in order if c not in CHECKS]
     return union_all(parts)
 
 
+def _registered(df: DataFrame, dataset_id: str, connector: str | None, order: list[str], name: str) -> DataFrame:
+    """The row of a registered check, with the fields of the others."""
+    found = REGISTERED[name].rows(df)
+    status = "status" if "status" in found.columns else "if(metric_value = 0, 'success', 'failure')"
+    columns = f"CAST(array() AS array<{FINDING}>)"
+    if "columns" in found.columns:
+        have = found.schema["columns"].dataType.elementType.fieldNames()
+        cells = ", ".join(f"'{f}', " + (f"c.{f}" if f in have else "NULL") for f in FINDING_FIELDS)
+        columns = f"CAST(transform(columns, c -> named_struct({cells})) AS array<{FINDING}>)"
+    row = _row(dataset_id, connector, order, name, status, len(df.columns), "metric_value", columns)
+    return run(f"SELECT inline(array({row})) FROM @found@", found=found)
+
+
 def assess_table(spark: SparkSession, dataset_id: str, connector: str | None = None, checks=None, configured=(), jdbc=None, **options) -> DataFrame:
     """Load and assess; a table that cannot be loaded yields ``error`` rows."""
     kind = connector or default_connector(list(configured))
@@ -130,31 +147,47 @@ def passed() -> Column:
     return (F.col("status") == "success") & ~clean
 
 
-def assess_into(path: str, tables: dict[str, tuple[str, DataFrame]], checks=None, batch: int = 10, **options) -> DataFrame:
-    """Check rows of any number of tables, appended to a Parquet table at ``path``.
+def assess_into(
+    path: str, tables: dict[str, tuple[str, DataFrame]], checks=None, batch: int = 10, at_once: int = 2, **options,
+) -> DataFrame:
+    """Check rows of any number of tables, kept as Parquet below ``path``, a folder for each batch.
 
-    Tables are assessed ``batch`` at a time, so that planning time grows with their
-    number only. A table whose data fails to read gets ``error`` rows; the others of
-    its batch are assessed one by one then. Returns the table at ``path``.
+    Tables are assessed ``batch`` at a time, so that planning time grows with their number
+    only, and ``at_once`` batches side by side. A table whose data fails to read gets ``error`` rows;
+    its batch is halved until it stands alone. Datasets that ``path`` holds already are
+    finished: a rerun assesses the others only. Returns the rows at ``path``.
     """
-    names = list(tables)
-    spark = next(iter(tables.values()))[1].sparkSession
-    for start in range(0, len(names), batch):
-        chunk = {n: tables[n] for n in names[start : start + batch]}
-        if _append(assess_all(chunk, checks, **options), path) is None:
-            continue
-        for name, (kind, df) in chunk.items():
-            reason = _append(assess(df, name, kind, checks, **options), path)
-            if reason is not None:
-                error_rows(spark, name, kind, checks, reason).write.mode("append").parquet(path)
-    return spark.read.schema(CHECK_ROW).parquet(path)
-
-
-def _append(rows: DataFrame, path: str) -> str | None:
+    spark = SparkSession.active()
+    rows = lambda: spark.read.schema(CHECK_ROW).option("recursiveFileLookup", True).parquet(path)
+    try:
+        done = {r[0] for r in rows().select("dataset_id").distinct().collect()}  # one row per dataset
+    except PySparkException:  # nothing there yet
+        done = set()
+    names = [n for n in tables if n not in done]
+
+    def work(chunk: list[str]) -> None:
+        folder = f"{path}/{hashlib.md5(chr(0).join(chunk).encode()).hexdigest()}"
+        reason = _written(assess_all({n: tables[n] for n in chunk}, checks, **options), folder)
+        if reason is None:
+            return
+        if len(chunk) > 1:
+            work(chunk[: len(chunk) // 2])
+            work(chunk[len(chunk) // 2 :])
+        else:
+            _written(error_rows(spark, chunk[0], tables[chunk[0]][0], checks, reason), folder, strict=True)
+
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        list(pool.map(work, [names[start : start + batch] for start in range(0, len(names), batch)]))
+    return rows() if names or done else spark.createDataFrame([], CHECK_ROW)
+
+
+def _written(rows: DataFrame, folder: str, strict: bool = False) -> str | None:
     """None once written, else the reason; a failed job leaves no rows behind."""
     try:
-        rows.write.mode("append").parquet(path)
+        rows.write.mode("overwrite").parquet(folder)
     except (PySparkException, Py4JError) as e:
+        if strict:
+            raise
         log.warning("assessment failed: %s", e)
         return (str(e).strip().splitlines() or [type(e).__name__])[0]
     return None

@@ -407,6 +407,15 @@ def all_sql() -> dict[str, str]:
     columns = "dataset_id, connector, check_name, status, passed, total_rows, total_columns, metric_value"
     sql["assessment"] = f"{check_rows(only)} SELECT {columns} FROM checks"
     sql["assess_all"] = f"{check_rows()} SELECT {columns} FROM checks"
+    price = ("(SELECT count(o_totalprice) AS n, count(*) FILTER (WHERE o_totalprice < lo OR o_totalprice > hi) AS bad FROM dirty_orders, "
+             "(SELECT p25 - 1.5 * (p75 - p25) AS lo, p75 + 1.5 * (p75 - p25) AS hi FROM (SELECT quantile_cont(CAST(o_totalprice AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.75) AS p75 FROM dirty_orders)))")
+    texts = " || ',' || ".join(f"'{c}:string:' || (SELECT count({c}) FROM dirty_orders) || ':0'" for c in ("o_orderstatus", "o_orderpriority"))
+    base = "SELECT 'stage_sales.public.orders' AS dataset_id, 'postgres' AS connector"
+    size = "(SELECT count(*) FROM dirty_orders) AS total_rows, 6 AS total_columns"
+    sql["assessment_registered"] = (
+        f"{check_rows(only)} SELECT {columns}, '' AS found FROM checks "
+        f"UNION ALL {base}, 'outliers', CASE WHEN bad > 0 THEN 'failure' ELSE 'success' END, bad = 0, {size}, CAST(bad > 0 AS BIGINT), 'o_totalprice:numeric:' || n || ':' || bad FROM {price} "
+        f"UNION ALL {base}, 'types', 'success', TRUE, {size}, 0, {texts}")
     sql["null_analysis"] = f"{check_rows()} SELECT dataset_id, column_name, ordinal, null_count, null_percentage FROM nulls"
     sql["assessment_summary"] = (
         f"{check_rows()} SELECT *, round(passed_checks / total_checks, 4) AS pass_rate, "

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from rowsight import fixtures
 from rowsight.fixtures import table, view
 from rowsight.functions import identifiers as ids
+from rowsight.functions.identifiers import CHECKS
 from rowsight.functions.scalars import union_all
 from rowsight.operators import cleanse, duplicates, generate, inject, nearest, nulls, outliers, search, statistics
 from rowsight.plans import assess, indexing, parse, recommend, report, requests
@@ -144,14 +145,17 @@ def _orders_checks(spark, sf):
     return assess.assess(view(spark, sf, "dirty_orders"), "stage_sales.public.orders", "postgres")
 
 
-def _all_checks(spark, sf):
-    known = {
+def _known(spark, sf):
+    return {
         "stage_sales.public.orders": ("postgres", view(spark, sf, "dirty_orders")),
         "PROD_SALES.PUBLIC.CUSTOMER": ("snowflake", table(spark, sf, "customer")),
         "DATA_HUB.CORE.LINEITEM": ("snowflake", view(spark, sf, "dirty_lineitem")),
         "data_hub.core.documents": ("postgres", view(spark, sf, "doc_labels")),
     }
-    return assess.assess_all(known)
+
+
+def _all_checks(spark, sf):
+    return assess.assess_all(_known(spark, sf))
 
 
 def assessment(spark, sf):
@@ -159,7 +163,16 @@ def assessment(spark, sf):
 
 
 def assess_all(spark, sf):
-    return assess.check_results(_all_checks(spark, sf)).drop("error")
+    """In batches of three tables, kept in a folder."""
+    rows = assess.assess_into(new_folder(spark, "checks"), _known(spark, sf), batch=3)
+    return assess.check_results(rows).drop("error")
+
+
+def assessment_registered(spark, sf):
+    """The three checks and the registered ones, with what these find per column."""
+    rows = assess.assess(view(spark, sf, "dirty_orders"), "stage_sales.public.orders", "postgres", [*CHECKS, "outliers", "types"])
+    shown = F.transform(F.filter("columns", lambda c: F.col("position") > 3), lambda c: F.concat_ws(":", c["column_name"], c["type_class"], c["count"], c["freq"]))
+    return assess.check_results(rows).drop("error").join(rows.select("check_name", F.array_join(shown, ",").alias("found")), "check_name")
 
 
 def assessment_summary(spark, sf):

@@ -1,3 +1,5 @@
+import pytest
+
 from rowsight.plans import assess, requests
 from rowsight.sources import tables
 
@@ -80,6 +82,39 @@ def test_tables_in_batches(spark, tmp_path):
     for r in rows:
         status[r.dataset_id].add(r.status)
     assert status.pop("db.s.bad") == {"error"} and all(v == {"success"} for v in status.values())
+    # a rerun reads what is finished and assesses the rest
+    tables = {"db.s.more": ("postgres", spark.range(2).toDF("n"))} | {k: (kind, spark.sql("SELECT raise_error('read again') AS n")) for k, (kind, _) in tables.items()}
+    again = assess.assess_into(f"{tmp_path}/checks", tables).collect()
+    assert len(again) == 21 and {r.status for r in again if r.dataset_id != "db.s.bad"} == {"success"}
+    assert assess.assess_into(f"{tmp_path}/none", {}).count() == 0
+
+
+def test_registered_checks(spark):
+    from pyspark.sql import functions as F
+
+    from rowsight.plans import checks, recommend, report
+
+    rows = [(float(i), f"{i}" if i % 2 else "word", f"t{i}") for i in range(50)] + [(9000.0, None, "x")]
+    df = spark.createDataFrame(rows, "x double, mixed string, plain string")
+    got = {r.check_name: r for r in assess.assess(df, "a.b.c", checks="outliers, types, null_values").collect()}
+    assert [got[c].position for c in ("outliers", "types", "null_values")] == [1, 2, 3]
+    assert (got["outliers"].status, got["outliers"].metric_value, got["outliers"].total_rows) == ("failure", 1, 51)
+    assert [(c.column_name, c["count"], c.freq) for c in got["outliers"].columns] == [("x", 51, 1)]
+    assert (got["types"].metric_value, [(c.column_name, c.freq) for c in got["types"].columns]) == (1, [("mixed", 25), ("plain", 0)])
+    checks.register(checks.Check("no_rows_over_10", lambda t: t.agg(F.count("*").alias("total_rows"), F.greatest(F.count("*") - 10, F.lit(0)).alias("metric_value"))))
+    try:
+        both = assess.assess(df, "a.b.c", checks=["duplicates", "no_rows_over_10"])
+        assert {r.check_name: (r.status, r.metric_value) for r in both.collect()} == {"duplicates": ("success", 0), "no_rows_over_10": ("failure", 41)}
+        assert assess.summary(both).first().failed_checks == 1
+        assert report.documents(recommend.assessment(both), "2025-01-01 00:00:00").count() == 3
+    finally:
+        del checks.REGISTERED["no_rows_over_10"]
+    assert assess.chosen_checks("no_rows_over_10,types") == ["types"]
+    # tables without numbers or without rows
+    bare = assess.assess(df.select("plain").where("false"), "a.b.d", checks=["outliers", "types"]).collect()
+    assert {(r.check_name, r.status, r.total_rows) for r in bare} == {("outliers", "success", 0), ("types", "success", 0)}
+    with pytest.raises(ValueError):
+        checks.register(checks.Check("a,b", lambda t: t))
 
 
 def test_cleansing_adds_up_with_nan_and_maps(spark):
