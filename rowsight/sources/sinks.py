@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.identifiers import dataset_suffix
+from .report_files import FORMAT, ReportFiles
+
+log = logging.getLogger(__name__)
 
 REPORT_FORMATS = {"markdown": "md", "html": "html", "json": "json"}
 
@@ -32,8 +37,15 @@ def named_reports(documents: DataFrame, stamp: str, comprehensive: bool = True)
 
 
 def save_reports(documents: DataFrame, path: str, stamp: str, formats=tuple(REPORT_FORMATS), comprehensive: bool = True) -> DataFrame:
-    """One folder per format and file name below ``path``; returns what was asked for."""
+    """One file per report directly below ``path``, under its exact name; returns what was asked for.
+
+    A rerun replaces the files of the same names. Unknown formats are skipped.
+    """
     wanted = [f.strip().lower() for f in (formats.split(",") if isinstance(formats, str) else formats)]
+    for f in wanted:
+        if f not in REPORT_FORMATS:
+            log.warning("unknown format %r skipped", f)
     files = named_reports(documents.where(F.col("format").isin(*wanted)), stamp, comprehensive)
-    files.select("format", "file_name", "document").write.mode("append").partitionBy("format", "file_name").text(path)
+    documents.sparkSession.dataSource.register(ReportFiles)
+    files.select("dataset_id", "file_name", "document").write.format(FORMAT).mode("append").option("path", path).save()
     return files.select("dataset_id", "format", "file_name")

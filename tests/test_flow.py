@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from rowsight.functions.identifiers import default_connector
 from rowsight.operators import cleanse, generate, inject
@@ -71,8 +73,20 @@ def test_report_round_trip(spark, tmp_path):
     assert titles(again) == titles(checks)
     wrapped = docs.where("format = 'json'").selectExpr("dataset_id", "concat('Done: {\"assessment_results\": ', document, '}') AS document")
     assert {(r.check_name, r.metric_value) for r in parse.parse_reports(wrapped).collect()} == {(a, c) for a, _, c in want}
-    files = sinks.save_reports(docs, str(tmp_path / "out"), "20250101_000000", "markdown,json")
-    assert {r.file_name for r in files.collect()} == {f"comprehensive_dq_report_stage_a_c_20250101_000000.{e}" for e in ("md", "json")}
+    for path in (str(tmp_path / "out"), f"file://{tmp_path}/uri", str(tmp_path / "out")):  # the last one once more
+        files = sinks.save_reports(docs, path, "20250101_000000", "markdown,json,pdf")
+        names = {f"comprehensive_dq_report_stage_a_c_20250101_000000.{e}" for e in ("md", "json")}
+        assert {r.file_name for r in files.collect()} == names
+        folder = tmp_path / path.rsplit("/", 1)[1]
+        assert {f.name for f in folder.iterdir()} == names and all(f.is_file() for f in folder.iterdir())
+    texts = {r.format: r.document for r in docs.collect()}
+    assert (tmp_path / "out" / "comprehensive_dq_report_stage_a_c_20250101_000000.md").read_text() == texts["markdown"]
+    single = sinks.save_reports(docs, str(tmp_path / "single"), "20250101_000000", ("html",), comprehensive=False).first().file_name
+    assert [f.name for f in (tmp_path / "single").iterdir()] == [single]
+    # a job that fails leaves no file behind
+    with pytest.raises(PySparkException):
+        sinks.save_reports(docs.withColumn("document", F.raise_error(F.lit("lost"))), str(tmp_path / "failed"), "20250101_000000")
+    assert not (tmp_path / "failed").exists() or not list((tmp_path / "failed").iterdir())
 
 
 def test_json_numbers_as_text(spark):
