@@ -10,7 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.scalars import col
+from ..functions.scalars import col, digest, digest_number
 from .inject import inject_duplicates, inject_nulls, inject_outliers, near_duplicates, with_dense_index
 
 # fixed values: enumerations and ranges of the business tables
@@ -46,13 +46,13 @@ COLORS = ["Red", "Orange", "Yellow", "Green", "Blue", "Indigo", "Violet", "Grey"
 
 
 class _Draw:
-    """Hash-derived values of a row: uniform, whole, choice, text."""
+    """Values of a row drawn by digests, as any engine with md5 draws them: uniform, whole, choice, text."""
 
     def __init__(self, key: Column, seed: int):
         self.key, self.seed = key, seed
 
     def uniform(self, salt: str) -> Column:
-        return F.pmod(F.xxhash64(self.key, F.lit(salt), F.lit(self.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        return digest_number(digest([self.key], f"{salt}:{self.seed}")) / F.lit(float(1 << 52))
 
     def real(self, salt: str, low: float, high: float, digits: int = 2) -> Column:
         return F.round(self.uniform(salt) * (high - low) + low, digits)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from rowsight.fixtures import TABLES, VIEWS, with_view
+from rowsight.operators import generate
 from rowsight.plans.recommend import RULES
-from suite.queries import ASKED, ASSESSED, NAMES, SCHEMA_OF
+from suite.queries import AS_OF, ASKED, ASSESSED, NAMES, SCHEMA_OF
 
 PLACEHOLDERS = "('<NA>', '', 'NULL', 'null')"
 
@@ -312,8 +313,72 @@ SUFFIX = """lower(CASE WHEN len(string_split(dataset_id, '.')) >= 3 THEN split_p
 VALID = "NOT (contains(output, 'No tables found with sufficient relevance') OR contains(output, 'No relevant tables found'))"
 
 
+class Draw:
+    """SQL for values drawn by digests of ``id``, seed 42."""
+
+    @staticmethod
+    def uniform(salt: str) -> str:
+        return f"((('0x' || substr(md5(id || ':{salt}:42'), 1, 13))::UBIGINT) / 4503599627370496::DOUBLE)"
+
+    def real(self, salt, low, high, digits=2):
+        return f"round({self.uniform(salt)} * {high - low}::DOUBLE + {low}::DOUBLE, {digits})"
+
+    def whole(self, salt, low, high):
+        return f"CAST(floor({self.uniform(salt)} * {high - low + 1}) + {low} AS INTEGER)"
+
+    def choice(self, salt, options_, capital=False):
+        made = [o[:1].upper() + o[1:] if capital else o for o in options_]
+        return f"([{', '.join(map(q, made))}])[{self.whole(salt, 1, len(made))}]"
+
+    def words(self, salt, n, capital=False):
+        return " || ' ' || ".join(self.choice(f"{salt}{i}", generate.WORDS, capital) for i in range(n))
+
+    def company(self, salt):
+        return f"{self.choice(salt, generate.LAST)} || ' ' || {self.choice(salt + '2', ['Group', 'Ltd', 'and Sons', 'Partners'])}"
+
+    def address(self, salt):
+        return (f"{self.whole(salt, 1, 9999)} || ' ' || {self.choice(salt + 's', generate.WORDS, True)} || ' Street, ' || {self.choice(salt + 'c', generate.CITIES)} "
+                f"|| ' ' || lpad(CAST({self.whole(salt + 'z', 0, 99999)} AS VARCHAR), 5, '0')")
+
+
+def made_sql(today: str) -> dict[str, str]:
+    """Customers and products before any defect."""
+    d, g = Draw(), generate
+    day = lambda salt, low, high: f"CAST(DATE '{today}' - {d.whole(salt, low, high)} AS DATE)"
+    shown = lambda columns: ", ".join(f"{v} AS {k}" for k, v in columns.items())
+    first, last = d.choice("first", g.FIRST), d.choice("last", g.LAST)
+    customers = {
+        "customer_id": "id", "first_name": first, "last_name": last, "email": f"lower({first}) || '.' || lower({last}) || id || '@example.com'",
+        "phone": f"'555-' || lpad(CAST({d.whole('phone', 0, 9999999)} AS VARCHAR), 7, '0')", "address": d.address("home"), "city": d.choice("city", g.CITIES),
+        "state": d.choice("state", g.STATES), "zip_code": f"lpad(CAST({d.whole('zip', 0, 99999)} AS VARCHAR), 5, '0')", "country": d.choice("country", g.COUNTRIES),
+        "date_of_birth": day("birth", 18 * 365 + 5, 85 * 365), "age": d.whole("age", 18, 85), "gender": d.choice("gender", g.GENDERS), "company": d.company("employer"),
+        "job_title": d.choice("job", g.JOBS),
+        "income": f"CAST(greatest(0, {d.whole('income', 25000, 150000)} + ({d.whole('age', 18, 85)} - 30) * {d.whole('slope', 500, 2000)}) AS DOUBLE)",
+        "account_balance": f"CAST({d.real('balance', -5000.0, 50000.0)} AS DECIMAL(12, 2))", "credit_score": d.whole("score", 300, 850),
+        "registration_date": day("registered", 0, 5 * 365), "last_login": day("login", 0, 90), "is_active": f"{d.uniform('active')} < 0.5", "customer_segment": d.choice("segment", g.SEGMENTS),
+    }
+    low, high = (f"(CASE category {' '.join(f'WHEN {q(c)} THEN {ends[k]}' for c, ends in g.CATEGORIES.items())} END)::DOUBLE" for k in (0, 1))
+    side = " || 'x' || ".join(d.whole(f"side{i}", 5, 100) for i in range(3))
+    products = {
+        "product_id": "id", "sku": f"'SKU-' || {d.whole('sku', 100000, 999999)}", "product_name": d.words("name", 3, True),
+        "description": f"CASE WHEN {d.uniform('long')} > 0.1::DOUBLE THEN {d.words('text', 24)} ELSE {d.words('text', 6)} END", "category": "category",
+        "subcategory": d.choice("sub", g.WORDS, True), "brand": d.company("brand"), "supplier": d.company("supplier"), "price": "price",
+        "cost": f"round(price * ({d.uniform('cost')} * 0.2::DOUBLE + 0.7::DOUBLE), 2)", "currency": d.choice("currency", g.CURRENCIES), "stock_quantity": "stock_quantity",
+        "reorder_level": d.whole("reorder", 10, 100), "weight": d.real("weight", 0.1, 50.0), "dimensions": f"{side} || ' cm'", "color": d.choice("color", g.COLORS),
+        "size": d.choice("size", g.SIZES), "material": d.choice("material", g.MATERIALS), "rating": d.real("rating", 1.0, 5.0, 1), "review_count": d.whole("reviews", 0, 5000),
+        "is_available": "stock_quantity > 0", "is_featured": f"{d.uniform('featured')} < 0.5", "discount_percentage": d.real("discount", 0.0, 30.0, 1), "created_date": "created_date",
+        "last_updated": f"CAST(created_date + CAST(floor({d.uniform('updated')} * (DATE '{today}' - created_date + 1)) AS INTEGER) AS DATE)",
+    }
+    drawn = (f"SELECT id, category, round({d.uniform('price')} * ({high} - {low}) + {low}, 2) AS price, {d.whole('stock', 0, 1000)} AS stock_quantity, {day('created', 0, 3 * 365)} AS created_date "
+             f"FROM (SELECT p_partkey AS id, {d.choice('category', list(g.CATEGORIES)).replace('id ||', 'p_partkey ||')} AS category FROM part)")
+    return {
+        "made_customers": f"SELECT {shown(customers)} FROM (SELECT c_custkey AS id FROM customer)",
+        "made_products": f"SELECT {shown(products)} FROM ({drawn})",
+    }
+
+
 def all_sql() -> dict[str, str]:
-    sql: dict[str, str] = {}
+    sql: dict[str, str] = made_sql(AS_OF.isoformat())
     sql["scan_table"] = "SELECT * FROM lineitem"
     sql["scan_query"] = "SELECT o_custkey, count(*) AS order_count, max(o_totalprice) AS top_price FROM orders GROUP BY o_custkey"
     sql["scan_limit"] = "SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100"

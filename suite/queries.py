@@ -250,6 +250,15 @@ def _product_ids(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
 
 
+def made_customers(spark, sf):
+    """Customers before any defect."""
+    return generate.customers(_customer_ids(spark, sf), AS_OF)
+
+
+def made_products(spark, sf):
+    return generate.products(_product_ids(spark, sf), AS_OF)
+
+
 def gen_customers(spark, sf):
     return generate.dirty_customers(_customer_ids(spark, sf), AS_OF)
 
