@@ -56,7 +56,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z]
 STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NOT_SHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(\w+)", re.I)
 
 
 class Element:
@@ -77,15 +78,43 @@ class Element:
         m = re.match(r"\s*([+-]?\d{1,9})", self.get(name) or "")
         return int(m[1]) if m else default
 
-    def shown(self) -> bool:
+    def displayed(self) -> bool:
+        """Whether the element and what it holds has a place on the page."""
         if self.tag in HIDDEN:
             return False
+        if self.tag == "dialog" and self.get("open") is None:
+            return False
         if not self.attrs:
             return True
         if self.get("hidden") is not None or NOT_SHOWN.search(self.get("style") or ""):
             return False
         return not (self.tag == "input" and (self.get("type") or "").lower() == "hidden")
 
+    def visible(self, inherited: bool) -> bool:
+        """Whether its own text is seen: as its style says, else as its parent's."""
+        found = VISIBILITY.findall(self.get("style") or "") if self.attrs else []
+        return {"visible": True, "hidden": False, "collapse": False}.get(found[-1].lower(), inherited) if found else inherited
+
+
+def seen(children: list, visible: bool = True) -> list:
+    """``children`` without what is not displayed and without invisible text; what is visible inside
+    invisible elements stays. Of closed details only the first summary is left."""
+    out = []
+    for child in children:
+        if isinstance(child, str):
+            if visible:
+                out.append(child)
+        elif child.displayed():
+            own = child.visible(visible)
+            if child.tag == "br" and not own:
+                continue
+            held = child.children
+            if child.tag == "details" and child.get("open") is None:
+                held = [c for c in held if isinstance(c, Element) and c.tag == "summary"][:1]
+            child.children = seen(held, own)
+            out.append(child)
+    return out
+
 
 def tag_end(html: str, at: int, bound: int, open_: set[int]) -> int:
     """Where the ``>`` of a tag is whose attributes go on at ``at``: the first outside of quotes, or the first
@@ -236,8 +265,6 @@ def inline(children: list, out: Lines, pre: bool, depth: int) -> None:
     for child in children:
         if isinstance(child, str):
             out.verbatim(child) if pre else out.word(child)
-        elif not child.shown():
-            continue
         elif child.tag == "br":
             out.line(True)
         elif child.tag == "table":
@@ -267,8 +294,6 @@ def listed(element: Element, depth: int) -> list[str]:
         if isinstance(child, Element) and child.tag == "li":
             out.block(lay_out(rest, False, depth + 1), 0)
             rest = []
-            if not child.shown():
-                continue
             number = child.number("value", number) if element.tag == "ol" else number
             marker = f"{number}. " if element.tag == "ol" else "- "
             number += 1
@@ -291,10 +316,8 @@ def table(element: Element, depth: int) -> list[str]:
             if isinstance(child, str):
                 if child.strip():
                     out.word(child)
-            elif not child.shown():
-                continue
             elif child.tag == "tr":
-                rows.append([c for c in child.children if isinstance(c, Element) and c.tag in ("td", "th") and c.shown()])
+                rows.append([c for c in child.children if isinstance(c, Element) and c.tag in ("td", "th")])
                 stray = [c for c in child.children if not (isinstance(c, Element) and c.tag in ("td", "th"))]
                 inline(stray, out, False, depth)
             elif child.tag in ("td", "th"):
@@ -356,7 +379,7 @@ def render(html: str | None) -> str:
     limit = sys.getrecursionlimit()
     if limit < 20 * DEEPEST:
         sys.setrecursionlimit(20 * DEEPEST)
-    return "\n".join(x.rstrip() for x in lay_out(parse(html).children))
+    return "\n".join(x.rstrip() for x in lay_out(seen(parse(html).children)))
 
 
 def rendered(pages: DataFrame, html_col: str = "html", text: str = "text") -> DataFrame:
