@@ -7,8 +7,8 @@ sign pattern are cut into blocks of bounded size, and each block gives its nodes
 their best neighbours. Then NN-descent: each round joins every node with its
 neighbours and the nodes that have it as theirs, compares the neighbours of a node
 with each other, and keeps the best found. Searches start at a node's own neighbours
-(or, for a vector outside the graph, at its projection block) and repeatedly expand the best
-candidates that are not expanded yet, for all queries in one set of joins per round.
+and repeatedly expand the best candidates that are not expanded yet, for all queries in one
+set of joins per round, with beams that grow until measured recall is enough.
 
 Candidates meet vectors in blocks of bounded size; no task sees all vectors and
 nothing is broadcast but the projections, whose size is a parameter.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from rowsight.llm.shared import settled
+from rowsight.llm.shared import forget, settled
 
 SEED = 5
 
@@ -198,13 +198,14 @@ def descent(nodes: DataFrame, start: DataFrame, k: int, sample: int, rounds: int
         aged = edges.join(used, ["a", "b"], "left").select("a", "b", "sim", (F.col("fresh") & F.col("was_used").isNull()).alias("fresh"))
         changes = Observation()
         merged = _top(aged.union(found.select("a", "b", "sim", "fresh")), k)
-        edges = settled(merged.observe(changes, F.count_if("fresh").alias("fresh"), F.count("*").alias("n")))
+        before, edges = edges, settled(merged.observe(changes, F.count_if("fresh").alias("fresh"), F.count("*").alias("n")))
+        forget(before), forget(picked)
         if changes.get["fresh"] < 0.01 * changes.get["n"]:
             break
     return edges.select("a", "b", "sim")
 
 
-def graph(nodes: DataFrame, k: int = 20, trees: int = 6, bits: int = 6, block: int = 1024, sample: int = 10, rounds: int = 4, backward: int = 20) -> DataFrame:
+def graph(nodes: DataFrame, k: int = 20, trees: int = 6, bits: int = 6, block: int = 1024, sample: int = 10, rounds: int = 12, backward: int = 20) -> DataFrame:
     """(node, near): each node's ``k`` neighbours and up to ``backward`` nodes that have it as theirs."""
     edges = settled(descent(nodes, projected(nodes, k, trees, bits, block), k, sample, rounds))
     back = edges.selectExpr("b AS a", "a AS b", "row_number() OVER (PARTITION BY b ORDER BY sim DESC, a) AS r").where(f"r <= {backward}").select("a", "b")
@@ -212,9 +213,10 @@ def graph(nodes: DataFrame, k: int = 20, trees: int = 6, bits: int = 6, block: i
 
 
 def search(nodes: DataFrame, near: DataFrame, queries: DataFrame, beam: int = 64, expand: int = 32, block: int = 4096, rounds: int = 40) -> DataFrame:
-    """(query, found): the ``beam`` best nodes that greedy search reaches, as (sim, node) best first.
+    """(query, unit, found): the ``beam`` best nodes that greedy search reaches, as (sim, node) best first.
 
-    ``queries``: (query, node, unit), node the place in the graph where the search starts. Each round
+    ``queries``: (query, unit, starts), starts the places in the graph where the search starts, as (sim, node); a sim
+    below -2.5 is not measured yet. Each round
     expands the best ``expand`` nodes of each query's beam that are not expanded yet;
     it ends when no beam has any, or after ``rounds``.
     """
@@ -223,7 +225,7 @@ def search(nodes: DataFrame, near: DataFrame, queries: DataFrame, beam: int = 64
     n_blocks = max(1, -(-parts.get["n"] // block))
     place = F.pmod(F.xxhash64("node"), F.lit(n_blocks))
     vectors = placed.select(place.alias("block"), "node", "unit")
-    state = queries.select("query", "unit", F.array(F.struct(F.lit(-3.0).alias("sim"), F.col("node").alias("node"), F.lit(False).alias("done"))).alias("beam"))
+    state = queries.select("query", "unit", F.transform("starts", lambda x: F.struct(x["sim"].alias("sim"), x["node"].alias("node"), F.lit(False).alias("done"))).alias("beam"))
     state = settled(state)
 
     def measure(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -255,18 +257,55 @@ def search(nodes: DataFrame, near: DataFrame, queries: DataFrame, beam: int = 64
         new = F.transform(F.coalesce("pairs", F.array()), lambda p: F.struct(p["sims"].alias("sim"), p["nodes"].alias("node"), F.lit(False).alias("done")))
         grown = state.join(got, "query", "left").select("query", "unit", F.concat(marked, new).alias("all")).select("query", "unit", best.alias("beam"))
         left = Observation()
-        state = settled(grown.observe(left, F.count_if(F.exists("beam", lambda b: ~b["done"])).alias("open")))
+        before, state = state, settled(grown.observe(left, F.count_if(F.exists("beam", lambda b: ~b["done"])).alias("open")))
+        forget(before)
         if not left.get["open"]:
             break
-    return state.select("query", F.filter("beam", lambda b: b["sim"] > -2.5).alias("found"))
+    return state.select("query", "unit", F.transform(F.filter("beam", lambda b: b["sim"] > -2.5), lambda b: F.struct(b["sim"].alias("sim"), b["node"].alias("node"))).alias("found"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", exact: int = 16, **options) -> DataFrame:
+def true_nearest(nodes: DataFrame, queries: DataFrame, k: int, most: int = 128) -> dict[int, set[int]]:
+    """The ``k`` nearest other nodes of up to ``most`` queries (query, node, unit), drawn by a hash: by comparing each with all nodes.
+
+    Each task reads its nodes once and keeps the best ``k`` of each query, so that ``most`` times ``k``
+    rows come back from it.
+    """
+    drawn = queries.orderBy(F.xxhash64("query"), "query").limit(most).collect()  # ``most`` rows
+    asked = {r["query"]: (r["node"], np.frombuffer(r["unit"], np.float64)) for r in drawn}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, int]]] = {q: [] for q in asked}
+        for batch in batches:
+            ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            sizes = np.array([len(r) for r in raw])
+            for size in np.unique(sizes):
+                mine = np.flatnonzero(sizes == size)
+                x = np.frombuffer(b"".join(raw[i] for i in mine), np.float64).reshape(len(mine), -1)
+                for q, (own, unit) in asked.items():
+                    if unit.nbytes == size:
+                        s = x @ unit
+                        few = np.argpartition(-s, min(k, len(s) - 1))[: k + 1]
+                        found = best[q] + [(float(s[i]), int(ids[mine[i]])) for i in few if ids[mine[i]] != own]
+                        best[q] = sorted(found, key=lambda f: (-f[0], f[1]))[:k]
+        rows = [(q, n, s) for q, found in best.items() for s, n in found]
+        columns = list(zip(*rows)) if rows else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query", "node", "sim"])
+
+    rows = nodes.select("node", "unit").mapInArrow(task, "query bigint, node bigint, sim double")
+    top = rows.selectExpr("*", "row_number() OVER (PARTITION BY query ORDER BY sim DESC, node) AS r").where(f"r <= {k}")
+    out: dict[int, set[int]] = {q: set() for q in asked}
+    for r in top.select("query", "node").collect():  # ``most`` times ``k`` rows
+        out[r["query"]].add(r["node"])
+    return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", exact: int = 16, recall: float = 0.95, **options) -> DataFrame:
     """The ``k`` nearest vectors by cosine of each row of ``queries`` other than itself: query_id, rank, vec_id, score.
 
     ``queries`` are rows of ``vectors``. Scores are cosines of the original vectors in
     double precision, ties go to the smaller id. The best ``exact`` nodes of each
-    search are scored again, with all ids their classes can contribute. Vectors that
+    search are scored again, with all ids their classes can contribute. Up to 128 queries are also
+    compared with all vectors; beams are made four times as wide until ``recall`` of their true neighbours is found. Vectors that
     are null, empty, zero or hold null or non-finite components take no part; all
     others must have one length. Rows that repeat an id and vector count once. An
     empty table gives an empty result.
@@ -276,8 +315,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     place = unit_vectors(queries, id_col, vector_col).select(F.col("vec").alias("query"), "unit").distinct()
     asked = settled(place.join(table.select("unit", "node"), "unit").select("query", "node", "unit"))
     build = {x: options[x] for x in ("trees", "bits", "block", "sample", "rounds", "backward") if x in options}
-    hunt = {x: options[x] for x in ("beam", "expand") if x in options}
-    found = search(table, graph(table, **build), asked, **hunt)
+    near_ = graph(table, **build)
+    truth = true_nearest(table, asked, k)
+    beam = options.get("beam", 128)
+    starts = asked.select("query", "unit", F.array(F.struct(F.lit(-3.0).alias("sim"), "node")).alias("starts"))
+    while True:
+        found = settled(search(table, near_, starts, beam, max(32, beam // 2)))
+        hits = found.where(F.col("query").isin(list(truth))).select("query", F.transform(F.slice("found", 1, exact), lambda f: f["node"]).alias("nodes")).collect()
+        total = sum(map(len, truth.values()))
+        caught = sum(len(truth[r["query"]] & set(r["nodes"])) for r in hits)
+        if caught >= recall * total or beam >= 1 << 14:
+            break
+        # wider, from what was found: all of it is expanded once more
+        beam *= 4
+        starts = found.select("query", "unit", F.col("found").alias("starts"))
     # the query's own class holds its exact copies
     near = found.select("query", F.explode(F.slice(F.transform("found", lambda f: f["node"]), 1, exact)).alias("node")).union(asked.select("query", "node")).distinct()
     ids = near.join(table.select("node", "members"), "node").select("query", F.explode("members").alias("vec")).where("query <> vec").distinct()
