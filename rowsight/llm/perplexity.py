@@ -1,22 +1,29 @@
 """Quality rules with n-gram perplexity bands.
 
-The language model is an interpolated modified Kneser-Ney model over the bytes of
-words: order 5, contexts start anew at each word. Spark counts the n-grams of all
-documents (each task folds the words it has seen before it emits anything) and
-derives continuation counts, discounts, probabilities and back-off weights by
-grouping and joining. The finished model is folded into two sorted arrays of
-hashes, one for n-grams and one for contexts, and these alone are broadcast: each
-holds at most 2 ** SLOT_BITS entries of 8 bytes, 64 MB together, however large the
-corpus is. Entries whose hashes meet share the larger value.
-
-Bytes inside words, and not words, because the table of distinct word n-grams grows
-with the corpus without bound: it could neither be broadcast nor be looked up
-without a shuffle of every word of every document.
+The language model is an interpolated modified Kneser-Ney model over pairs of words,
+one for each language. Texts are read once: each task turns its documents into chunks
+of one language, in which a word is a number, and these are written to the shared
+folder. Everything that follows works on the chunks:
+
+1. A chunk's distinct pairs go to the hash partitions of their 64-bit keys, as sorted
+   arrays. A partition adds up what its chunks send (a pair comes once from each
+   chunk, however often it occurs), answers each chunk with the counts of its pairs,
+   and passes on what its pairs say about their words.
+2. The words' own hash partitions add that up (continuations, followers by count) and
+   answer the chunks' words likewise.
+3. A chunk with all its answers gives the probabilities of its pairs, and these the
+   perplexities of its documents.
+
+Nothing is folded, broadcast or collected: the arrays grow with the corpus and so does
+the number of partitions, which follows from the number of words. A pair or word gives
+an entry of its own only if it stands in two different texts and after two different
+words, so that neither a document nor its copies vouch for what only they say; all
+else backs off.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,167 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from rowsight.llm.shared import bounded_batches, settled
-from rowsight.llm.words import STEP, WordHashes, mixed, slices, windows
+from rowsight.llm.words import STEP, mixed, slices, windows
 
-ORDER = 5
-SLOT_BITS = 22
-#: word types that a task holds before it turns them into n-gram counts
-TYPES_PER_FLUSH = 200_000
+#: words of a chunk, and entries of a hash partition (all that chunks send), about
+WORDS_PER_CHUNK = 1 << 21
+ENTRIES_PER_PART = 1 << 21
+#: the word before a text's first
+START = np.uint64(1)
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 REPEAT_WIDTH = 8
 #: log-perplexities are binned to thousandths for medians
 BIN = 1000
-
-
-def _language(name: str | None) -> int:
-    """23-bit key of a language name, above the 40 bits of an n-gram."""
-    return (xxhash.xxh3_64_intdigest((name or "").encode()) & 0x7FFFFF) << 40
-
-
-def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 5-grams that end at each byte of each word and at the space after it, and
-    how many each word has."""
-    buffer = np.frombuffer(b"    " + b"    ".join(words) + b" ", np.uint8)
-    wide = buffer.astype(np.int64)
-    grams = (wide[:-4] << 32) | (wide[1:-3] << 24) | (wide[2:-2] << 16) | (wide[3:-1] << 8) | wide[4:]
-    ends = (buffer[4:] != 32) | (buffer[3:-1] != 32)
-    return grams[ends], np.fromiter(map(len, words), np.int64, len(words)) + 1
-
-
-def gram_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """(gram, n, shared): how often each 5-gram of each language occurs in all
-    documents, and whether texts that differ have it."""
-
-    def flush(types: dict) -> Iterator[pa.RecordBatch]:
-        for name, known in types.items():
-            if not known:
-                continue
-            grams, sizes = _grams(list(known))
-            found, at = np.unique(grams, return_inverse=True)
-            n, low, high = (np.repeat(c, sizes) for c in np.array(list(known.values()), np.int64).T)
-            lows, highs = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
-            np.minimum.at(lows, at, low)
-            np.maximum.at(highs, at, high)
-            counts = np.bincount(at, n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found | _language(name), counts, lows, highs)], names=["gram", "n", "low", "high"])
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types: dict = defaultdict(dict)  # language -> word -> occurrences, least and greatest hash of a text that has it
-        for batch in slices(batches, 1):
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not body:
-                    continue
-                known, own = types[name], xxhash.xxh3_64_intdigest(body) >> 1
-                for word, n in Counter(body.split()).items():
-                    entry = known.get(word)
-                    if entry is None:
-                        known[word] = [n, own, own]
-                    else:
-                        entry[0] += n
-                        if own < entry[1]:
-                            entry[1] = own
-                        elif own > entry[2]:
-                            entry[2] = own
-            if sum(map(len, types.values())) > TYPES_PER_FLUSH:
-                yield from flush(types)
-                types.clear()
-        yield from flush(types)
-
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
-    parts = rows.mapInArrow(task, "gram bigint, n bigint, low bigint, high bigint")
-    return parts.groupBy("gram").agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("shared"))
-
-
-def model_table(counts: DataFrame) -> DataFrame:
-    """(kind, slot, value): log-probabilities of n-grams (kind 0) and log back-off
-    weights of contexts (kind 1) of all orders, folded into slots.
-
-    ``counts`` holds (gram, n, shared) of order 5. 5-grams of a single text give no
-    entry of their own: their only witness is the document that is to be judged. Discounts are
-    those of Chen and Goodman, from the counts of counts of all languages together;
-    where these are too few, 0.5, 1 and 1.5.
-    """
-    tables = {ORDER: settled(counts)}
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct bytes to the left
-        keep = ((1 << (8 * k)) - 1) | (0x7FFFFF << 40)
-        tables[k] = settled(tables[k + 1].groupBy(F.col("gram").bitwiseAND(keep).alias("gram")).agg(F.count("*").alias("n")))
-    lower, entries = None, None
-    for k in range(1, ORDER + 1):
-        few = tables[k].groupBy().agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]).first()
-        if min(few) > 0:
-            y = few[0] / (few[0] + 2 * few[1])
-            d = [max(0.05, min(i * 0.95, i - (i + 1) * y * few[i] / few[i - 1])) for i in (1, 2, 3)]
-        else:
-            d = [0.5, 1.0, 1.5]
-        ngram = (1 << (8 * k)) - 1
-        # a context is the language and all bytes but the last; it has 256 continuations at most
-        context = F.shiftright(F.col("gram").bitwiseAND(ngram), 8).bitwiseOR(F.col("gram").bitwiseAND(0x7FFFFF << 40))
-        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = tables[k].withColumn("context", context).withColumn("cut", discount)
-        shared = "shared" if k == ORDER else "true AS shared"
-        rows = rows.selectExpr("gram", "context", "n", "cut", shared, "sum(n) OVER (PARTITION BY context) AS total", "sum(cut) OVER (PARTITION BY context) AS freed")
-        rows = rows.withColumn("gamma", F.col("freed") / F.col("total")).withColumn("own", (F.col("n") - F.col("cut")) / F.col("total"))
-        if lower is None:
-            rows = rows.withColumn("p", F.col("own") + F.col("gamma") / 256)
-        else:
-            suffix = F.col("gram").bitwiseAND(((1 << (8 * (k - 1))) - 1) | (0x7FFFFF << 40))
-            rows = rows.withColumn("suffix", suffix).join(lower, "suffix").withColumn("p", F.col("own") + F.col("gamma") * F.col("lower_p"))
-        rows = settled(rows.select("gram", "context", "shared", "gamma", "p"))
-        lower = rows.select(F.col("gram").alias("suffix"), F.col("p").alias("lower_p"))
-        part = rows.where("shared").select(F.lit(0).alias("kind"), F.lit(k).alias("k"), F.col("gram").alias("key"), F.log("p").alias("value"))
-        part = part.union(rows.groupBy("context").agg(F.log(F.max("gamma")).alias("g")).select(F.lit(1), F.lit(k), "context", "g"))
-        entries = part if entries is None else entries.union(part)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = _slots(batch.column(2).to_numpy().astype(np.int64), batch.column(1).to_numpy().astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots.astype(np.int64)), batch.column(3)], names=["kind", "slot", "value"])
-
-    return entries.mapInArrow(fold, "kind int, slot bigint, value double").groupBy("kind", "slot").agg(F.max("value").cast("float").alias("value"))
-
-
-def _slots(keys: np.ndarray, order: np.ndarray | np.uint64) -> np.ndarray:
-    return (mixed(keys.view(np.uint64) + np.atleast_1d(order) * STEP) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
-
-
-def hash_arrays(model: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-    """Sorted slots and their values, for n-grams and for contexts: at most 2 ** SLOT_BITS rows each."""
-    table = model.toArrow()
-    kind, slot, value = (table.column(i).to_numpy() for i in range(3))
-    out = []
-    for k in (0, 1):
-        mine = kind == k
-        order = np.argsort(slot[mine])
-        out.append((slot[mine][order].astype(np.uint32), value[mine][order].astype(np.float32)))
-    return tuple(out)
-
-
-def log_probabilities(grams: np.ndarray, model: tuple) -> np.ndarray:
-    """Natural log-probability of each 5-gram's last byte, backing off where the model has no entry."""
-
-    def look(table, keys, order):
-        slots, values = table
-        if not len(slots):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        at = np.minimum(np.searchsorted(slots, wanted := _slots(keys, np.uint64(order))), len(slots) - 1)
-        return slots[at] == wanted, values[at]
-
-    found, values = model
-    out = np.zeros(len(grams))
-    open_ = np.arange(len(grams))
-    language = grams & np.int64(0x7FFFFF << 40)
-    for k in range(ORDER, 0, -1):
-        part = grams[open_] & np.int64((1 << (8 * k)) - 1)
-        hit, logp = look(found, part | language[open_], k)
-        out[open_[hit]] += logp[hit]
-        open_, part = open_[~hit], part[~hit]
-        if not len(open_):
-            return out
-        hit, gamma = look(values, (part >> 8) | language[open_], k)
-        out[open_[hit]] += gamma[hit]
-    out[open_] -= np.log(256)
-    return out
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def repeated_words(hashes: np.ndarray) -> int:
@@ -208,73 +67,300 @@ def repeated_lines(body: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-class Scores(dict):
-    """word -> its number among the words of one language met so far, with their log-probabilities."""
+class Chunk(dict):
+    """Documents of one language: word -> number, the documents' numbers in order, and their features."""
 
-    def __init__(self, language: str | None):
+    def __init__(self):
         super().__init__()
-        self.language, self.fresh = language, []
-        self.sums, self.sizes = np.empty(0), np.empty(0, np.int64)
+        self.rows, self.seqs, self.size = [], [], 0
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
-        self.fresh.append(word)
         return n
 
-    def settle(self, model: tuple) -> None:
-        if self.fresh:
-            grams, sizes = _grams(self.fresh)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            sums = np.add.reduceat(log_probabilities(grams | _language(self.language), model), starts)
-            self.sums, self.sizes = np.concatenate([self.sums, sums]), np.concatenate([self.sizes, sizes])
-            self.fresh = []
+    def add(self, doc: pa.Scalar, text: str | None) -> None:
+        body = (text or "").encode()
+        words = body.split()
+        seq = np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
+        if text:
+            counts = (len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), repeated_lines(body), repeated_words(mixed(seq.astype(np.uint64) + START)))
+        else:
+            counts = (0, 0, 0, 0)
+        self.rows.append((doc, len(words), *counts, xxhash.xxh3_64_intdigest(body) >> 32))
+        self.seqs.append(seq)
+        self.size += len(words)
 
+    def batch(self, tongue: int, lang: str | None, kind: pa.DataType) -> pa.RecordBatch:
+        doc, *counts, own = zip(*self.rows)
+        features = pa.RecordBatch.from_arrays([pa.array(doc, kind), *[pa.array(c, pa.int64()) for c in counts]], names=["doc", *FEATURES])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, features.schema) as out:
+            out.write_batch(features)
+        words = np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
+        blobs = sink.getvalue().to_pybytes(), words.tobytes(), np.concatenate(self.seqs).tobytes(), np.array(counts[0], np.int64).tobytes(), np.array(own, np.uint32).tobytes()
+        # a chunk's number is drawn once and stays, since chunks are written before they are used
+        number = int.from_bytes(os.urandom(8), "little", signed=True)
+        arrays = [pa.array([tongue], pa.int64()), pa.array([lang], pa.string()), pa.array([number], pa.int64()), pa.array([self.size], pa.int64())]
+        return pa.RecordBatch.from_arrays([*arrays, *[pa.array([b], pa.binary()) for b in blobs]], names=CHUNK)
 
-def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, model) -> DataFrame:
-    """(id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity).
 
-    ``model`` is the broadcast result of ``hash_arrays``. log_perplexity is the mean
-    over bytes (spaces after words included) of -ln p; null without words.
-    """
+CHUNK = ["tongue", "lang", "chunk", "size", "features", "words", "seq", "sizes", "own"]
+CHUNK_SCHEMA = "tongue bigint, lang string, chunk bigint, size bigint, features binary, words binary, seq binary, sizes binary, own binary"
+
+
+def chunks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """One row for each chunk: its language, its distinct words' hashes and its documents as numbers of words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, hashes = model.value, WordHashes()
-        known: dict = {}
-        for batch in slices(batches, 2):
-            if sum(map(len, known.values())) > TYPES_PER_FLUSH:
-                known = {}  # words can be scored again
-            ids, langs = batch.column(0), batch.column(1).to_pylist()
-            counts = np.zeros((5, batch.num_rows), np.int64)
-            at = []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                if not text:
-                    at.append(None)
-                    continue
-                body = text.encode()
-                words = body.split()
-                counts[:, i] = (
-                    len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), repeated_lines(body), repeated_words(hashes.of(words)),
+        held: dict = {}
+        for batch in slices(batches, 3):
+            kind = batch.schema.field(0).type
+            for doc, tongue, lang, text in zip(*[c.to_pylist() for c in batch.columns]):
+                chunk = held.setdefault(tongue, (Chunk(), lang))[0]
+                chunk.add(doc, text)
+                if chunk.size > WORDS_PER_CHUNK or len(chunk.rows) >= 100_000:
+                    del held[tongue]
+                    yield chunk.batch(tongue, lang, kind)
+            if sum(c.size for c, _ in held.values()) > 2 * WORDS_PER_CHUNK:
+                for tongue, (chunk, lang) in held.items():
+                    yield chunk.batch(tongue, lang, kind)
+                held = {}
+        for tongue, (chunk, lang) in held.items():
+            yield chunk.batch(tongue, lang, kind)
+
+    lang = F.col(lang_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(lang).alias("tongue"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(task, CHUNK_SCHEMA)
+
+
+def _array(value: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(value, kind)
+
+
+def _pairs(words: np.ndarray, seq: np.ndarray, sizes: np.ndarray, own: np.ndarray):
+    """Distinct pairs of a chunk: numbers of left and right word (the start has the number after
+    the last), occurrences, least and greatest hash of a text that has it and of the word before
+    it, and the pair of each occurrence."""
+    start = np.uint64(len(words))
+    left = np.empty(len(seq), np.uint64)
+    left[1:] = seq[:-1]
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    left[first] = start
+    texts = np.repeat(own, sizes)
+    before = np.empty(len(seq), np.uint32)
+    before[1:] = (np.append(words, START) >> np.uint64(32)).astype(np.uint32)[left[:-1]]
+    before[first] = texts[first]  # before a text's start stands the text itself
+    code = left * (start + START) + seq
+    order = np.argsort(code, kind="stable")
+    ranked = code[order]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    starts = np.flatnonzero(fresh)
+    at = np.empty(len(seq), np.int64)
+    at[order] = np.cumsum(fresh) - 1
+    codes = ranked[starts]
+    ends = [f.reduceat(x[order], starts) for x in (texts, before) for f in (np.minimum, np.maximum)]
+    return codes // (start + START), codes % (start + START), np.diff(np.append(starts, len(seq))).astype(np.uint32), ends, at
+
+
+def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mixed(mixed(left + STEP) * STEP + right)
+
+
+def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places of its keys in the given order) for each hash partition that gets any."""
+    part = (keys >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for places in np.split(order, cuts):
+        if len(places):
+            yield int(part[places[0]]), places
+
+
+def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            for name, kind in (("words", np.uint64), ("seq", np.uint32), ("sizes", np.int64), ("own", np.uint32)):
+                row[name] = _array(row[name], kind)
+            yield row
+
+
+def _merged(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the keys, where each distinct one starts in it, and the number of each key among the distinct."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(fresh) - 1
+    return order, np.flatnonzero(fresh), at
+
+
+def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *[_array(x.as_py(), kind) for x in table.column(name) if x.is_valid]])
+
+
+#: what partitions of pairs give: answers to chunks, sums for words, counts of counts
+PAIR_ROWS = pa.schema([("tongue", pa.int64()), ("chunk", pa.int64()), ("part", pa.int64()), ("values", pa.binary()), ("words", pa.binary()), ("sums", pa.binary()), ("counts", pa.list_(pa.int64()))])
+ANSWER_SQL = "tongue bigint, chunk bigint, part bigint, values binary, words binary, sums binary, counts array<bigint>"
+#: a pair's words, occurrences, and hashes of texts and of words before it
+PAIRS = ["left", "right", "n", "low", "high", "least", "most"]
+SUMS = 7  # followers in all, with one, two and more occurrences; continuations; least and greatest text hash
+
+
+def count_pairs(parted: DataFrame, parts: int) -> DataFrame:
+    """Pairs of all chunks counted: answers (chunk, part, values), sums for words (part, words, sums), counts of counts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _of_chunks(batches):
+            if not len(row["seq"]):
+                continue
+            hashes = np.append(row["words"], START)
+            left, right, n, (low, high, least, most), _ = _pairs(row["words"], row["seq"], row["sizes"], row["own"])
+            left, right = hashes[left], hashes[right]
+            for part, p in _dealt(_pair_keys(left, right), parts):
+                # greatest hashes as differences from the least, which are mostly 0, so that they compress
+                columns = [left[p], right[p], n[p], low[p], (high - low)[p], least[p], (most - least)[p]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], pa.int64()) for v in (row["tongue"], part, row["chunk"])] + [pa.array([c.tobytes()], pa.binary()) for c in columns],
+                    names=["tongue", "part", "chunk", *PAIRS],
                 )
-                if langs[i] not in known:
-                    known[langs[i]] = Scores(langs[i])
-                at.append(np.fromiter(map(known[langs[i]].__getitem__, words), np.int64, len(words)))
-            for scores in known.values():
-                scores.settle(tables)
-            perplexity = [None if a is None or not len(a) else float(-known[lang].sums[a].sum() / known[lang].sizes[a].sum()) for a, lang in zip(at, langs)]
-            yield pa.RecordBatch.from_arrays(
-                [ids, batch.column(1), *[pa.array(c) for c in counts], pa.array(perplexity, pa.float64())],
-                names=["doc", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"],
-            )
-
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_perplexity double"
-    return rows.mapInArrow(task, schema)
-
-
-def bands(scored: DataFrame, width: float, floor: float) -> DataFrame:
-    """(lang, lower, upper): the median log-perplexity of a language's documents that
-    pass the base rules, -/+ ``width`` times their median absolute deviation (``floor`` at least).
+
+    def merge(table: pa.Table) -> pa.Table:
+        tongue = table.column("tongue")[0].as_py()
+        left, right = _joined(table, "left", np.uint64), _joined(table, "right", np.uint64)
+        low, high, least, most = (_joined(table, x, np.uint32) for x in ("low", "high", "least", "most"))
+        order, starts, at = _merged(_pair_keys(left, right))
+        n = np.add.reduceat(_joined(table, "n", np.uint32)[order].astype(np.int64), starts)
+        low, high = np.minimum.reduceat(low[order], starts), np.maximum.reduceat((low + high)[order], starts)
+        least, most = np.minimum.reduceat(least[order], starts), np.maximum.reduceat((least + most)[order], starts)
+        rows = []
+        values = np.where((low < high) & (least < most), n, 0)[at]
+        ends = np.cumsum([len(x.as_py()) // 8 for x in table.column("left")])
+        for chunk, part, mine in zip(table.column("chunk").to_pylist(), table.column("part").to_pylist(), np.split(values, ends[:-1])):
+            rows.append({"tongue": tongue, "chunk": chunk, "part": part, "values": mine.tobytes()})
+        rows.append({"tongue": tongue, "counts": [int((n == i).sum()) for i in range(1, 5)]})
+        # what the distinct pairs say about their words: followers of the left one, continuations of the right one
+        left, right = left[order][starts], right[order][starts]
+        zero, one = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
+        sums = np.array([np.append(a, b) for a, b in ((n, zero), (n == 1, zero), (n == 2, zero), (n > 2, zero), (zero, one), (zero + 0xFFFFFFFF, low), (zero, high))], np.int64)
+        words, sums = _fold_words(np.append(left, right), sums)
+        for part, p in _dealt(words, parts):
+            rows.append({"tongue": tongue, "part": part, "words": words[p].tobytes(), "sums": sums[:, p].tobytes()})
+        return pa.Table.from_batches([_rows(rows, PAIR_ROWS)])
+
+    sent = parted.mapInArrow(send, "tongue bigint, part bigint, chunk bigint, " + ", ".join(f"{c} binary" for c in PAIRS))
+    return sent.groupBy("tongue", "part").applyInArrow(merge, ANSWER_SQL)
+
+
+def _fold_words(words: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order, starts, _ = _merged(words)
+    sums = sums[:, order]
+    folded = np.add.reduceat(sums, starts, axis=1)
+    folded[5], folded[6] = np.minimum.reduceat(sums[5], starts), np.maximum.reduceat(sums[6], starts)
+    return words[order][starts], folded
+
+
+def count_words(parted: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
+    """Sums of all words, as answers to chunks, and per language: counts of continuation counts, continuations, words."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _of_chunks(batches):
+            words = np.append(row["words"], START)
+            for part, p in _dealt(words, parts):
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int64()) for v in (row["tongue"], part, row["chunk"])], pa.array([words[p].tobytes()], pa.binary())], names=["tongue", "part", "chunk", "words"])
+
+    def answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
+        rows = []
+        if sums.num_rows:
+            tongue = sums.column("tongue")[0].as_py()
+            words = _joined(sums, "words", np.uint64)
+            words, found = _fold_words(words, np.concatenate([_array(x.as_py(), np.int64).reshape(SUMS, -1) for x in sums.column("sums")], axis=1))
+            n = found[4]
+            rows.append({"tongue": tongue, "counts": [*[int((n == i).sum()) for i in range(1, 5)], int((n > 2).sum()), int(n.sum()), int((n > 0).sum())]})
+            found = np.concatenate([found[:5], [(found[5] < found[6]) & (n > 1)]])
+            for chunk, part, wanted in zip(*[asked.column(c).to_pylist() for c in ("chunk", "part", "words")]):
+                # all are there but the start of a chunk without words
+                wanted = _array(wanted, np.uint64)
+                at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
+                rows.append({"tongue": tongue, "chunk": chunk, "part": -1 - part, "values": np.where(words[at] == wanted, found[:, at], 0).tobytes()})
+        return pa.Table.from_batches([_rows(rows, PAIR_ROWS)])
+
+    asked = parted.where("size > 0").mapInArrow(ask, "tongue bigint, part bigint, chunk bigint, words binary")
+    sums = counted.where("words IS NOT NULL").select("tongue", "part", "words", "sums")
+    return asked.groupBy("tongue", "part").cogroup(sums.groupBy("tongue", "part")).applyInArrow(answer, ANSWER_SQL)
+
+
+def discounts(counts: list[int]) -> list[float]:
+    """Those of Chen and Goodman from the numbers of entries met one to four times; 0.5, 1 and 1.5 where one is 0."""
+    if min(counts[:4]) == 0:
+        return [0.5, 1.0, 1.5]
+    y = counts[0] / (counts[0] + 2 * counts[1])
+    return [max(0.05, min(i * 0.95, i - (i + 1) * y * counts[i] / counts[i - 1])) for i in (1, 2, 3)]
+
+
+def log_probabilities(n: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: list[int], words: list[int]) -> np.ndarray:
+    """ln p of pairs seen ``n`` times (0: no entry of its own), from the sums of their words and their language's counts."""
+    d = np.array([0.0, *discounts(words)])
+    total, types = words[5], words[6]
+    freed = d[1] * words[0] + d[2] * words[1] + d[3] * words[4]
+    held = np.where(right[5] > 0, right[4] - d[np.minimum(right[4], 3)], 0)
+    lower = (held + freed / types) / total
+    d = np.array([0.0, *discounts(pairs)])
+    return np.log((n - d[np.minimum(n, 3)] + (d[1] * left[1] + d[2] * left[2] + d[3] * left[3]) * lower) / left[0])
+
+
+def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(doc, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity).
+
+    log_perplexity is the mean over words of -ln p; null without words.
+    """
+    kind = docs.select(F.col(id_col).alias("doc")).schema["doc"].dataType.simpleString()
+    parted = settled(chunks(docs, id_col, text_col, lang_col))
+    parts = max(1, -(-(parted.agg(F.sum("size")).first()[0] or 0) // ENTRIES_PER_PART))
+    counted = settled(count_pairs(parted, parts))
+    worded = settled(count_words(parted, counted, parts))
+
+    def constants(rows: DataFrame, width: int, name: str) -> DataFrame:
+        return rows.where("counts IS NOT NULL").groupBy("tongue").agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(width)]).alias(name))
+
+    # a chunk without words finds neither; one row for each language
+    known = parted.join(constants(counted, 4, "pairs"), "tongue", "left").join(constants(worded, 7, "terms"), "tongue", "left")
+    answers = counted.union(worded).where("chunk IS NOT NULL").select("chunk", "part", "values")
+
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = next(_of_chunks(chunk.combine_chunks().to_batches()))
+        out = pa.ipc.open_stream(row["features"]).read_all()
+        sizes = row["sizes"]
+        logs = np.zeros(len(row["seq"]) + 1)
+        if row["size"]:
+            values = dict(zip(answers.column("part").to_pylist(), answers.column("values").to_pylist()))
+            hashes = np.append(row["words"], START)
+            sums = np.empty((6, len(hashes)), np.int64)
+            for part, p in _dealt(hashes, parts):
+                sums[:, p] = _array(values[-1 - part], np.int64).reshape(6, -1)
+            left, right, _, _, at = _pairs(row["words"], row["seq"], sizes, row["own"])
+            n = np.empty(len(left), np.int64)
+            for part, p in _dealt(_pair_keys(hashes[left], hashes[right]), parts):
+                n[p] = _array(values[part], np.int64)
+            logs[1:] = np.cumsum(log_probabilities(n, sums[:, left], sums[:, right], row["pairs"], row["terms"])[at])
+        ends = np.cumsum(sizes)
+        with np.errstate(invalid="ignore"):
+            means = (logs[ends - sizes] - logs[ends]) / sizes
+        lang = pa.array([row["lang"]] * len(sizes), pa.string())
+        scored = pa.array(means, pa.float64(), mask=sizes == 0)
+        return pa.table([out.column(0), lang, *out.columns[1:], scored], names=["doc", "lang", *FEATURES, "log_perplexity"])
+
+    schema = f"doc {kind}, lang string, {', '.join(f + ' bigint' for f in FEATURES)}, log_perplexity double"
+    return known.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
+
+
+def bands(scored: DataFrame, below: float, above: float, floor: float) -> DataFrame:
+    """(lang, lower, upper): the median log-perplexity of a language's documents that pass the
+    base rules, less ``below`` and plus ``above`` times their median absolute deviation (``floor`` at least).
 
     Medians come from counts per thousandth, so they are exact on that grid, fold
     before the shuffle, and don't depend on how rows are dealt.
@@ -293,26 +379,25 @@ def bands(scored: DataFrame, width: float, floor: float) -> DataFrame:
     spread = median(away.groupBy("lang", "off").agg(F.sum("n").alias("n")), "off", "spread")
     return middle.alias("m").join(spread.alias("s"), F.col("m.lang").eqNullSafe(F.col("s.lang"))).selectExpr(
         "m.lang",
-        f"(middle - {width}D * greatest(spread, {floor * BIN}D)) / {BIN}D AS lower",
-        f"(middle + {width}D * greatest(spread, {floor * BIN}D)) / {BIN}D AS upper",
+        f"(middle - {below}D * greatest(spread, {floor * BIN}D)) / {BIN}D AS lower",
+        f"(middle + {above}D * greatest(spread, {floor * BIN}D)) / {BIN}D AS upper",
     )
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 10.0, floor: float = 0.035) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 20.0, above: float = 10.0, floor: float = 0.1) -> DataFrame:
     """Counts, perplexity and verdict for each row of ``docs``.
 
     Words are runs without ASCII white space, of whole texts. base_failed: fewer than
     20 words, or over 30 % of the words inside repeated windows of 8. kept: not
-    base_failed and inside the language's band. Null texts have no words and fail. A
+    base_failed and inside the language's band, which is wider below than above: copies
+    that were edited read more smoothly than other clean texts. Null texts have no words and fail. A
     null language is a language of its own. Rows that repeat an id are judged each.
     An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    model = hash_arrays(model_table(gram_counts(docs, lang_col, text_col)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = settled(features(docs, id_col, text_col, lang_col, shared).withColumn("base_failed", failed))
-    limits = bands(scored, width, floor)
+    scored = settled(features(docs, id_col, text_col, lang_col).withColumn("base_failed", failed))
+    limits = bands(scored, below, above, floor)
     # one row for each language: adaptive execution broadcasts it, and splits a hot language if not
     out = scored.alias("d").join(limits.alias("l"), F.col("d.lang").eqNullSafe(F.col("l.lang")), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))

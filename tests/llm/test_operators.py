@@ -100,57 +100,92 @@ def test_base_counts(spark, corpus, odd):
             assert r.base_failed == failed and (not failed or not r.kept)
 
 
-def test_model_against_plain_kneser_ney(spark):
-    docs = spark.createDataFrame([("en", "abc abd abc acd bcd"), ("en", "abc bcd dab"), ("de", "abc"), (None, None)], "lang string, text string")
-    counts = perplexity.gram_counts(docs, "lang", "text")
-    assert counts.agg({"n": "sum"}).first()[0] == sum(len(w) + 1 for r in docs.collect() for w in words(r.text))
-    model = perplexity.hash_arrays(perplexity.model_table(counts))
-    # plain: the same interpolation with dictionaries, discounts 0.5, 1, 1.5 where counts of counts are few
-    top, texts = collections.Counter(), collections.defaultdict(set)
-    for r in docs.collect():
-        for w in words(r.text):
-            padded = b"    " + w + b" "
-            for i in range(len(w) + 1):
-                top[r.lang, padded[i : i + 5]] += 1
-                texts[r.lang, padded[i : i + 5]].add(r.text)
-    tables = {5: top}
-    for k in (4, 3, 2, 1):
-        tables[k] = collections.Counter((lang, g[1:]) for lang, g in tables[k + 1])
-    discounts = {}
-    for k, t in tables.items():
-        n = [sum(v == i for v in t.values()) for i in (1, 2, 3, 4)]
-        if min(n) > 0:
-            y = n[0] / (n[0] + 2 * n[1])
-            discounts[k] = [max(0.05, min(i * 0.95, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
-        else:
-            discounts[k] = [0.5, 1.0, 1.5]
-
-    def p(lang, gram):
-        k = len(gram)
-        below = p(lang, gram[1:]) if k > 1 else 1 / 256
-        same = {g: v for (name, g), v in tables[k].items() if name == lang and g[:-1] == gram[:-1]}
-        if not same:
-            return below
-        cut = lambda v: discounts[k][min(v, 3) - 1]
-        gamma = sum(map(cut, same.values())) / sum(same.values())
-        own = same.get(gram, 0)
-        if k == 5 and len(texts[lang, gram]) < 2:
-            own = 0  # of a single text: no entry of its own
-        return (max(own - cut(own), 0) / sum(same.values()) if own else 0) + gamma * below
-
-    for word in (b"abc", b"bcd", b"zzz", b"ab"):
-        grams, _ = perplexity._grams([word])
-        got = perplexity.log_probabilities(grams | perplexity._language("en"), model)
-        padded = b"    " + word + b" "
-        want = [np.log(p("en", padded[i : i + 5])) for i in range(len(word) + 1)]
-        assert np.allclose(got, want, rtol=1e-4)
+def plain_pair_model(rows):
+    """(lang, text) -> mean of -ln p over words, with dictionaries; None without words."""
+    pairs, texts, before = collections.Counter(), collections.defaultdict(set), collections.defaultdict(set)
+    for lang, text in rows:
+        said = [b"", *words(text)]
+        for i in range(1, len(said)):
+            key = lang, said[i - 1], said[i]
+            pairs[key] += 1
+            texts[key].add(text)
+            texts[lang, said[i]].add(text)
+            before[key].add(("text", text) if i == 1 else ("word", said[i - 2]))
+    followed = collections.Counter((lang, r) for lang, _, r in pairs)
+
+    def discounts(table, lang):
+        n = [sum(v == i for k, v in table.items() if k[0] == lang) for i in (1, 2, 3, 4)]
+        if min(n) == 0:
+            return [0, 0.5, 1.0, 1.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0] + [max(0.05, min(i * 0.95, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
+
+    out = {}
+    for lang in {lang for lang, _ in rows}:
+        d2, d1 = discounts(pairs, lang), discounts(followed, lang)
+        after = collections.defaultdict(list)
+        for (name, left, _), n in pairs.items():
+            if name == lang:
+                after[left].append(n)
+        totals = {left: (sum(ns), sum(d2[min(n, 3)] for n in ns)) for left, ns in after.items()}
+        terms = {w: n for (name, w), n in followed.items() if name == lang}
+        total, freed = sum(terms.values()), sum(d1[min(n, 3)] for n in terms.values())
+
+        def p(left, right):
+            n1 = terms[right]
+            lower = ((n1 - d1[min(n1, 3)] if n1 > 1 and len(texts[lang, right]) > 1 else 0) + freed / len(terms)) / total
+            key = lang, left, right
+            n = pairs[key] if len(texts[key]) > 1 and len(before[key]) > 1 else 0
+            return (n - d2[min(n, 3)] + totals[left][1] * lower) / totals[left][0]
+
+        for name, text in rows:
+            if name == lang:
+                said = [b"", *words(text)]
+                out[lang, text] = -np.mean([np.log(p(said[i - 1], said[i])) for i in range(1, len(said))]) if len(said) > 1 else None
+    return out
+
+
+@pytest.mark.parametrize("chunk,part", [(1 << 21, 1 << 21), (40, 100)])
+def test_model_against_plain_kneser_ney(spark, corpus, monkeypatch, chunk, part):
+    rng = np.random.default_rng(4)
+    rows = [("en", " ".join(rng.choice(list("abcdefghij"), int(k)))) for k in rng.integers(1, 40, 60)]
+    rows += [("de", "a b c"), ("de", "a b c"), ("de", ""), (None, "a b a b"), (None, None), ("xx", "é  日本\n語 é")]
+    monkeypatch.setattr(perplexity, "WORDS_PER_CHUNK", chunk)
+    monkeypatch.setattr(perplexity, "ENTRIES_PER_PART", part)
+    want = plain_pair_model(rows)
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, lang string, text string")
+    got = perplexity.features(docs, "doc_id", "text", "lang").collect()
+    assert sorted(r.doc for r in got) == list(range(len(rows)))
+    for r in got:
+        expected = want[rows[r.doc]]
+        assert r.lang == rows[r.doc][0] and (r.log_perplexity is None) == (expected is None)
+        assert expected is None or abs(r.log_perplexity - expected) < 1e-9
 
 
 def test_bands_reject_strangers(spark, corpus):
-    # a document that repeats its own nonsense doesn't vouch for it
-    strange = spark.createDataFrame([(-1, " ".join(f"q{i}zx9vk" for i in range(60)), "en", "s", 1)], SCHEMA)
+    # a document that repeats its own nonsense doesn't vouch for it, nor do its copies
+    nonsense = " ".join(f"q{i}zx9vk" for i in range(60))
+    strange = spark.createDataFrame([(-1 - k, nonsense + " the" * k, "en", "s", 1) for k in range(4)], SCHEMA)
     kept = {r.doc_id: r.kept for r in perplexity.judge(corpus.union(strange)).collect()}
-    assert not kept[-1] and sum(kept.values()) > 0.8 * len(kept)
+    assert not any(kept[-1 - k] for k in range(4)) and sum(kept.values()) > 0.8 * len(kept)
+
+
+def test_order_of_words_counts(spark):
+    # each word has four that may follow: texts in order are kept, their words in random order are not
+    rng = np.random.default_rng(5)
+    follows = rng.integers(0, 500, (500, 4))
+
+    def text():
+        at = [int(rng.integers(500))]
+        while len(at) < 150:
+            at.append(int(follows[at[-1], rng.integers(4)]))
+        return [f"w{i}" for i in at]
+
+    clean = [text() for _ in range(400)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(clean)] + [(-1 - i, " ".join(rng.permutation(t))) for i, t in enumerate(clean[:20])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    for r in perplexity.judge(docs).collect():
+        assert r.kept == (r.doc_id >= 0)
 
 
 # --- op3
