@@ -25,10 +25,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from rowsight.llm.shared import bounded_batches, settled
@@ -37,6 +39,9 @@ from rowsight.llm.words import STEP, mixed, slices, windows
 #: words of a chunk, and entries of a hash partition (all that chunks send), about
 WORDS_PER_CHUNK = 1 << 21
 ENTRIES_PER_PART = 1 << 21
+#: pairs are counted in so many rounds, each with its share of the partitions, so that no
+#: more than that share of them lies in shuffle files at a time
+ROUNDS = 4
 #: the word before a text's first
 START = np.uint64(1)
 SYMBOLS = "#*$%&|<>"
@@ -67,6 +72,15 @@ def repeated_lines(body: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def _blob(values: np.ndarray | bytes) -> bytes:
+    """Arrays travel and lie on disk compressed: all but hashes shrink a lot."""
+    return zstandard.compress(values if isinstance(values, bytes) else values.tobytes(), 1)
+
+
+def _array(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), kind)
+
+
 class Chunk(dict):
     """Documents of one language: word -> number, the documents' numbers in order, and their features."""
 
@@ -86,7 +100,7 @@ class Chunk(dict):
             counts = (len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), repeated_lines(body), repeated_words(mixed(seq.astype(np.uint64) + START)))
         else:
             counts = (0, 0, 0, 0)
-        self.rows.append((doc, len(words), *counts, xxhash.xxh3_64_intdigest(body) >> 32))
+        self.rows.append((doc, len(words), *counts, xxhash.xxh3_64_intdigest(body) >> 48))
         self.seqs.append(seq)
         self.size += len(words)
 
@@ -97,7 +111,7 @@ class Chunk(dict):
         with pa.ipc.new_stream(sink, features.schema) as out:
             out.write_batch(features)
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
-        blobs = sink.getvalue().to_pybytes(), words.tobytes(), np.concatenate(self.seqs).tobytes(), np.array(counts[0], np.int64).tobytes(), np.array(own, np.uint32).tobytes()
+        blobs = [_blob(x) for x in (sink.getvalue().to_pybytes(), words, np.concatenate(self.seqs), np.array(counts[0], np.int64), np.array(own, np.uint16))]
         # a chunk's number is drawn once and stays, since chunks are written before they are used
         number = int.from_bytes(os.urandom(8), "little", signed=True)
         arrays = [pa.array([tongue], pa.int64()), pa.array([lang], pa.string()), pa.array([number], pa.int64()), pa.array([self.size], pa.int64())]
@@ -133,22 +147,18 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     return rows.mapInArrow(task, CHUNK_SCHEMA)
 
 
-def _array(value: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(value, kind)
-
-
 def _pairs(words: np.ndarray, seq: np.ndarray, sizes: np.ndarray, own: np.ndarray):
     """Distinct pairs of a chunk: numbers of left and right word (the start has the number after
     the last), occurrences, least and greatest hash of a text that has it and of the word before
-    it, and the pair of each occurrence."""
+    it (of 16 bits: two that differ pass for one in 1 of 65,536 cases), and the pair of each occurrence."""
     start = np.uint64(len(words))
     left = np.empty(len(seq), np.uint64)
     left[1:] = seq[:-1]
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
     left[first] = start
     texts = np.repeat(own, sizes)
-    before = np.empty(len(seq), np.uint32)
-    before[1:] = (np.append(words, START) >> np.uint64(32)).astype(np.uint32)[left[:-1]]
+    before = np.empty(len(seq), np.uint16)
+    before[1:] = (np.append(words, START) >> np.uint64(48)).astype(np.uint16)[left[:-1]]
     before[first] = texts[first]  # before a text's start stands the text itself
     code = left * (start + START) + seq
     order = np.argsort(code, kind="stable")
@@ -184,7 +194,7 @@ def _of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-            for name, kind in (("words", np.uint64), ("seq", np.uint32), ("sizes", np.int64), ("own", np.uint32)):
+            for name, kind in (("words", np.uint64), ("seq", np.uint32), ("sizes", np.int64), ("own", np.uint16)):
                 row[name] = _array(row[name], kind)
             yield row
 
@@ -211,8 +221,8 @@ PAIRS = ["left", "right", "n", "low", "high", "least", "most"]
 SUMS = 7  # followers in all, with one, two and more occurrences; continuations; least and greatest text hash
 
 
-def count_pairs(parted: DataFrame, parts: int) -> DataFrame:
-    """Pairs of all chunks counted: answers (chunk, part, values), sums for words (part, words, sums), counts of counts."""
+def count_pairs(parted: DataFrame, parts: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """Pairs of all chunks counted (those of the partitions whose turn it is): answers (chunk, part, values), sums for words (part, words, sums), counts of counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _of_chunks(batches):
@@ -222,34 +232,37 @@ def count_pairs(parted: DataFrame, parts: int) -> DataFrame:
             left, right, n, (low, high, least, most), _ = _pairs(row["words"], row["seq"], row["sizes"], row["own"])
             left, right = hashes[left], hashes[right]
             for part, p in _dealt(_pair_keys(left, right), parts):
+                if part % rounds != turn:
+                    continue
                 # greatest hashes as differences from the least, which are mostly 0, so that they compress
                 columns = [left[p], right[p], n[p], low[p], (high - low)[p], least[p], (most - least)[p]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], pa.int64()) for v in (row["tongue"], part, row["chunk"])] + [pa.array([c.tobytes()], pa.binary()) for c in columns],
+                    [pa.array([v], pa.int64()) for v in (row["tongue"], part, row["chunk"])] + [pa.array([_blob(c)], pa.binary()) for c in columns],
                     names=["tongue", "part", "chunk", *PAIRS],
                 )
 
     def merge(table: pa.Table) -> pa.Table:
         tongue = table.column("tongue")[0].as_py()
-        left, right = _joined(table, "left", np.uint64), _joined(table, "right", np.uint64)
-        low, high, least, most = (_joined(table, x, np.uint32) for x in ("low", "high", "least", "most"))
+        lefts = [_array(x.as_py(), np.uint64) for x in table.column("left")]
+        left, right = np.concatenate(lefts), _joined(table, "right", np.uint64)
+        low, high, least, most = (_joined(table, x, np.uint16) for x in ("low", "high", "least", "most"))
         order, starts, at = _merged(_pair_keys(left, right))
         n = np.add.reduceat(_joined(table, "n", np.uint32)[order].astype(np.int64), starts)
         low, high = np.minimum.reduceat(low[order], starts), np.maximum.reduceat((low + high)[order], starts)
         least, most = np.minimum.reduceat(least[order], starts), np.maximum.reduceat((least + most)[order], starts)
         rows = []
         values = np.where((low < high) & (least < most), n, 0)[at]
-        ends = np.cumsum([len(x.as_py()) // 8 for x in table.column("left")])
+        ends = np.cumsum([len(x) for x in lefts])
         for chunk, part, mine in zip(table.column("chunk").to_pylist(), table.column("part").to_pylist(), np.split(values, ends[:-1])):
-            rows.append({"tongue": tongue, "chunk": chunk, "part": part, "values": mine.tobytes()})
+            rows.append({"tongue": tongue, "chunk": chunk, "part": part, "values": _blob(mine)})
         rows.append({"tongue": tongue, "counts": [int((n == i).sum()) for i in range(1, 5)]})
         # what the distinct pairs say about their words: followers of the left one, continuations of the right one
         left, right = left[order][starts], right[order][starts]
         zero, one = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
-        sums = np.array([np.append(a, b) for a, b in ((n, zero), (n == 1, zero), (n == 2, zero), (n > 2, zero), (zero, one), (zero + 0xFFFFFFFF, low), (zero, high))], np.int64)
+        sums = np.array([np.append(a, b) for a, b in ((n, zero), (n == 1, zero), (n == 2, zero), (n > 2, zero), (zero, one), (zero + 0xFFFF, low), (zero, high))], np.int64)
         words, sums = _fold_words(np.append(left, right), sums)
         for part, p in _dealt(words, parts):
-            rows.append({"tongue": tongue, "part": part, "words": words[p].tobytes(), "sums": sums[:, p].tobytes()})
+            rows.append({"tongue": tongue, "part": part, "words": _blob(words[p]), "sums": _blob(sums[:, p])})
         return pa.Table.from_batches([_rows(rows, PAIR_ROWS)])
 
     sent = parted.mapInArrow(send, "tongue bigint, part bigint, chunk bigint, " + ", ".join(f"{c} binary" for c in PAIRS))
@@ -271,7 +284,7 @@ def count_words(parted: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
         for row in _of_chunks(batches):
             words = np.append(row["words"], START)
             for part, p in _dealt(words, parts):
-                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int64()) for v in (row["tongue"], part, row["chunk"])], pa.array([words[p].tobytes()], pa.binary())], names=["tongue", "part", "chunk", "words"])
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int64()) for v in (row["tongue"], part, row["chunk"])], pa.array([_blob(words[p])], pa.binary())], names=["tongue", "part", "chunk", "words"])
 
     def answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
         rows = []
@@ -286,7 +299,7 @@ def count_words(parted: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
                 # all are there but the start of a chunk without words
                 wanted = _array(wanted, np.uint64)
                 at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
-                rows.append({"tongue": tongue, "chunk": chunk, "part": -1 - part, "values": np.where(words[at] == wanted, found[:, at], 0).tobytes()})
+                rows.append({"tongue": tongue, "chunk": chunk, "part": -1 - part, "values": _blob(np.where(words[at] == wanted, found[:, at], 0))})
         return pa.Table.from_batches([_rows(rows, PAIR_ROWS)])
 
     asked = parted.where("size > 0").mapInArrow(ask, "tongue bigint, part bigint, chunk bigint, words binary")
@@ -321,7 +334,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     kind = docs.select(F.col(id_col).alias("doc")).schema["doc"].dataType.simpleString()
     parted = settled(chunks(docs, id_col, text_col, lang_col))
     parts = max(1, -(-(parted.agg(F.sum("size")).first()[0] or 0) // ENTRIES_PER_PART))
-    counted = settled(count_pairs(parted, parts))
+    counted = reduce(DataFrame.union, [settled(count_pairs(parted, parts, turn, ROUNDS)) for turn in range(min(ROUNDS, parts))])
     worded = settled(count_words(parted, counted, parts))
 
     def constants(rows: DataFrame, width: int, name: str) -> DataFrame:
@@ -333,7 +346,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = next(_of_chunks(chunk.combine_chunks().to_batches()))
-        out = pa.ipc.open_stream(row["features"]).read_all()
+        out = pa.ipc.open_stream(zstandard.decompress(row["features"])).read_all()
         sizes = row["sizes"]
         logs = np.zeros(len(row["seq"]) + 1)
         if row["size"]:

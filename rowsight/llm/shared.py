@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _folders: dict[str, tuple[SparkSession, str]] = {}
 
 
@@ -64,10 +65,16 @@ def settled(df: DataFrame) -> DataFrame:
 
     A table rather than a checkpoint, because a checkpoint keeps the size estimate of
     its plan: over rounds of joins these products of products grow to numbers of
-    many thousand digits. A table has the size of its files.
+    many thousand digits. A table has the size of its files. Shuffle files go once the
+    table is written: nothing reads them again.
     """
     path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = df.sparkSession.conf.get(CLEANUP)
+    df.sparkSession.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
