@@ -143,7 +143,9 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
             yield chunk.batch(tongue, lang, kind)
 
     lang = F.col(lang_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(lang).alias("tongue"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # an id that is a struct loses its fields' not-null marks, which the result's schema can't state
+    doc = F.col(id_col).cast(docs.select(id_col).schema[0].dataType.simpleString()).alias("doc")
+    rows = docs.select(doc, F.xxhash64(lang).alias("tongue"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(task, CHUNK_SCHEMA)
 
 
