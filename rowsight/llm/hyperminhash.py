@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from rowsight.functions.scalars import col, has_type
 from rowsight.llm.components import components
@@ -37,6 +37,8 @@ COLLISION = 0.169919487159739
 DEVIATIONS = 5.0
 #: documents of a side of a cell or block in which leftover candidates meet
 CELL = 1024
+#: shingles of a document beyond which blocks hold fewer documents
+LONG = 4096
 
 _ORDER = np.stack([np.random.default_rng(1000 + i).permutation(REGISTERS) for i in range(REGISTERS)])
 
@@ -204,29 +206,40 @@ def open_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def confirmed_lists(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): enough of the links among the pairs of ``lists`` to connect all that they connect.
 
-    Sets meet in blocks of documents; a block keeps a link only if the links it has
-    seen don't connect the two already.
+    Documents are dealt to blocks by a hash of their id; the blocks hold about CELL
+    documents and CELL * LONG shingles on average. A pair is looked at in the cell of its
+    two blocks, which gets the sets of the documents its pairs name and no others. A cell
+    keeps a link only if the links it has seen don't connect the two already.
     """
     size = Observation()
-    sets = settled(sets.observe(size, F.count("*").alias("n")))
-    n = max(1, size.get["n"] // CELL)
-    asked = settled(lists).join(sets.select(F.col("doc").alias("x"), F.col("shingles").alias("sx")), "x")
+    sets = settled(sets.observe(size, F.count("*").alias("n"), F.coalesce(F.sum(F.size("shingles").cast("bigint")), F.lit(0)).alias("shingles")))
+    n = max(1, size.get["n"] // CELL, size.get["shingles"] // (CELL * LONG))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def home(doc: Column) -> Column:
+        return F.pmod(F.xxhash64(doc), F.lit(n))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block, row, ys = [], [], []
-            for r, wanted in enumerate(batch.column(1).to_pylist()):
-                wanted = np.array(wanted)
-                home = wanted % n
-                for b in np.unique(home).tolist():
-                    block.append(b), row.append(r), ys.append(wanted[home == b])
+            for r, (wanted, homes) in enumerate(zip(batch.column(2), batch.column(3))):
+                wanted, homes = wanted.values.to_numpy(), homes.values.to_numpy()
+                for b in np.unique(homes).tolist():
+                    block.append(b), row.append(r), ys.append(wanted[homes == b])
             row = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), batch.column(0).take(row), batch.column(2).take(row), pa.array(ys, pa.list_(pa.int64()))], names=["block", "x", "sx", "ys"])
+            columns = [batch.column(0).take(row), pa.array(block, pa.int64()), batch.column(1).take(row), pa.array(ys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "x", "ys"])
+
+    asked = lists.select(home(F.col("x")).alias("i"), "x", "ys", F.transform("ys", home).alias("homes"))
+    cells = settled(asked.mapInArrow(deal, "i bigint, j bigint, x bigint, ys array<bigint>"))
+    named = cells.groupBy("i", "j").agg(F.array_union(F.collect_set("x"), F.array_distinct(F.flatten(F.collect_list("ys")))).alias("docs"))
+    needed = named.select("i", "j", F.explode("docs").alias("doc")).join(sets, "doc").select(F.col("i").alias("k"), F.col("j").alias("l"), "doc", "shingles")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        home = dict(zip(left.column("doc").to_pylist(), range(left.num_rows)))
         held = left.column("shingles").combine_chunks()
-        sets_ = {}
+        homes: dict = {}  # rows that repeat an id may have several sets
+        for row, doc in enumerate(left.column("doc").to_pylist()):
+            homes.setdefault(doc, []).append(row)
+        sets_: dict = {}
         root: dict = {}
 
         def top(v):
@@ -234,29 +247,29 @@ def confirmed_lists(lists: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 root[v] = v = root.get(root[v], root[v])
             return v
 
+        def of(doc):
+            if doc not in sets_:
+                sets_[doc] = [np.sort(held[row].values.to_numpy()) for row in homes[doc]]
+            return sets_[doc]
+
+        def near(small, large):
+            if len(small) > len(large):
+                small, large = large, small
+            if 100 * len(small) < percent * len(large):
+                return False
+            at = np.searchsorted(large, small)
+            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+            return 100 * both >= percent * (len(small) + len(large) - both)
+
         a, b = [], []
-        for chunk in right.to_batches():
-            for r, (x, ys) in enumerate(zip(chunk.column("x").to_pylist(), chunk.column("ys").to_pylist())):
-                sx = np.sort(chunk.column("sx")[r].values.to_numpy())
-                for y in ys:
-                    if top(x) == top(y):
-                        continue
-                    if y not in sets_:
-                        sets_[y] = np.sort(held[home[y]].values.to_numpy())
-                    sy = sets_[y]
-                    small, large = (sx, sy) if len(sx) < len(sy) else (sy, sx)
-                    if 100 * len(small) < percent * len(large):
-                        continue
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                    if 100 * both >= percent * (len(sx) + len(sy) - both):
-                        root[top(x)] = top(y)
-                        a.append(x), b.append(y)
+        for x, ys in zip(right.column("x").to_pylist(), right.column("ys").to_pylist()):
+            for y in ys:
+                if top(x) != top(y) and any(near(sx, sy) for sx in of(x) for sy in of(y)):
+                    root[top(x)] = top(y)
+                    a.append(x), b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    messages = asked.select("x", "ys", "sx").mapInArrow(send, "block bigint, x bigint, sx array<bigint>, ys array<bigint>")
-    homes = sets.select(F.pmod("doc", F.lit(n)).alias("block"), "doc", "shingles").dropDuplicates(["doc"])
-    return homes.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(check, "a bigint, b bigint")
+    return needed.groupBy("k", "l").cogroup(cells.groupBy("i", "j")).applyInArrow(check, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -417,6 +417,24 @@ def test_many_half_near_copies(spark):
     assert got == plain_classes(rows, 4, 80)
 
 
+@pytest.mark.parametrize("cell, long, step", [(8, 4096, 8), (8, 4096, 1024), (1024, 1, 1)])
+def test_near_copies_in_many_blocks(spark, monkeypatch, cell, long, step):
+    """Ids that are multiples of the block number, or long sets, are dealt to all blocks, and no link is lost between these."""
+    monkeypatch.setattr(hyperminhash, "CELL", cell)
+    monkeypatch.setattr(hyperminhash, "LONG", long)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for j in rng.choice(60, 2 + i % 3, replace=False):
+            w[j] = f"n{rng.integers(6)}"
+        rows.append((i * step, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in hyperminhash.near_duplicates(docs, width=4).collect()}
+    assert got == plain_classes(rows, 4, 80)
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = collections.defaultdict(set)
     for r in hyperminhash.near_duplicates(odd).collect():
