@@ -37,7 +37,7 @@ from rowsight.llm.shared import bounded_batches, settled
 from rowsight.llm.words import STEP, mixed, slices, windows
 
 #: words of a chunk, and entries of a hash partition (all that chunks send), about
-WORDS_PER_CHUNK = 1 << 21
+WORDS_PER_CHUNK = 1 << 20
 ENTRIES_PER_PART = 1 << 21
 #: pairs are counted in so many rounds, each with its share of the partitions, so that no
 #: more than that share of them lies in shuffle files at a time
@@ -167,9 +167,10 @@ def _pairs(words: np.ndarray, seq: np.ndarray, sizes: np.ndarray, own: np.ndarra
     ranked = code[order]
     fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     starts = np.flatnonzero(fresh)
-    at = np.empty(len(seq), np.int64)
-    at[order] = np.cumsum(fresh) - 1
+    at = np.empty(len(seq), np.uint32)
+    at[order] = np.cumsum(fresh, dtype=np.uint32) - np.uint32(1)
     codes = ranked[starts]
+    del code, ranked, fresh, left
     ends = [f.reduceat(x[order], starts) for x in (texts, before) for f in (np.minimum, np.maximum)]
     return codes // (start + START), codes % (start + START), np.diff(np.append(starts, len(seq))).astype(np.uint32), ends, at
 
