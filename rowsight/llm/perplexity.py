@@ -24,7 +24,7 @@ else backs off.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,7 +38,7 @@ from rowsight.llm.words import STEP, mixed, slices, windows
 
 #: words of a chunk, and entries of a hash partition (all that chunks send), about
 WORDS_PER_CHUNK = 1 << 20
-ENTRIES_PER_PART = 1 << 21
+ENTRIES_PER_PART = 1 << 20
 #: pairs are counted in so many rounds, each with its share of the partitions, so that no
 #: more than that share of them lies in shuffle files at a time
 ROUNDS = 4
@@ -262,8 +262,8 @@ def count_pairs(parted: DataFrame, parts: int, turn: int = 0, rounds: int = 1) -
         # what the distinct pairs say about their words: followers of the left one, continuations of the right one
         left, right = left[order][starts], right[order][starts]
         zero, one = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
-        sums = np.array([np.append(a, b) for a, b in ((n, zero), (n == 1, zero), (n == 2, zero), (n > 2, zero), (zero, one), (zero + 0xFFFF, low), (zero, high))], np.int64)
-        words, sums = _fold_words(np.append(left, right), sums)
+        both = ((n, zero), (n == 1, zero), (n == 2, zero), (n > 2, zero), (zero, one), (zero + 0xFFFF, low), (zero, high))
+        words, sums = _fold_words(np.append(left, right), (np.append(a, b).astype(np.int64) for a, b in both))
         for part, p in _dealt(words, parts):
             rows.append({"tongue": tongue, "part": part, "words": _blob(words[p]), "sums": _blob(sums[:, p])})
         return pa.Table.from_batches([_rows(rows, PAIR_ROWS)])
@@ -272,12 +272,14 @@ def count_pairs(parted: DataFrame, parts: int, turn: int = 0, rounds: int = 1) -
     return sent.groupBy("tongue", "part").applyInArrow(merge, ANSWER_SQL)
 
 
-def _fold_words(words: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: how each of the sums is folded
+FOLDS = [np.add] * 5 + [np.minimum, np.maximum]
+
+
+def _fold_words(words: np.ndarray, sums: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and their folded sums; ``sums`` are taken one after another, since all together are far larger than the words."""
     order, starts, _ = _merged(words)
-    sums = sums[:, order]
-    folded = np.add.reduceat(sums, starts, axis=1)
-    folded[5], folded[6] = np.minimum.reduceat(sums[5], starts), np.maximum.reduceat(sums[6], starts)
-    return words[order][starts], folded
+    return words[order][starts], np.array([fold.reduceat(x[order], starts) for fold, x in zip(FOLDS, sums)])
 
 
 def count_words(parted: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
