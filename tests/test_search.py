@@ -1,5 +1,8 @@
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rowsight.operators import nearest, search
 
@@ -55,6 +58,37 @@ def test_cells_are_skipped_and_nothing_is_lost(spark, metric, tmp_path):
     assert len(got[99]) == 3
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e20])
+def test_kernel_in_single_precision_finds_what_doubles_do(scale):
+    """Near ties within the rounding of floats, more equal vectors than asked for, a bound, vectors of any size."""
+    rng = np.random.default_rng(3)
+    b = rng.normal(size=(9000, 16))
+    b[4000:6000] = b[100] + rng.normal(size=(2000, 16)) * 1e-9
+    a = np.concatenate([b[100:101], rng.normal(size=(700, 16))])
+    a, b = a * scale, b * scale
+    r, i, d = nearest.best(a, b, np.arange(len(b))[::-1].copy(), 6, "sqeuclidean")
+    for q in (0, 1, 350, 700):
+        exact = ((b - a[q]) ** 2).sum(1)
+        want = np.lexsort((-np.arange(len(b)), exact))[:6]
+        assert i[r == q].tolist() == want.tolist() and d[r == q].tolist() == exact[want].tolist()
+    bound = np.full(len(a), np.median(d))
+    r2, i2, d2 = nearest.best(a, b, np.arange(len(b))[::-1].copy(), 6, "sqeuclidean", bound)
+    inside = d <= np.median(d)
+    assert np.array_equal(r2, r[inside]) and np.array_equal(i2, i[inside]) and np.array_equal(d2, d[inside])
+
+
+def test_a_search_of_one_block_is_dealt_to_many_groups(spark):
+    """Requests are dealt too: a small index is no single task for all requests, not even if they are all the same."""
+    vector = F.array(*[((F.col("id") * k) % 97).cast("double") for k in (1, 3, 7)])
+    items = spark.range(300).select(F.col("id").alias("item_id"), vector.alias("embedding"))
+    for wanted in (vector, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))):
+        requests = spark.range(9000).select(F.col("id").alias("request_id"), wanted.alias("embedding"))
+        found = nearest.nearest(requests, items, 4)
+        dealt = re.findall(r"RepartitionByExpression \[__block#\d+L?, __slice#\d+L?\], (\d+)", found._jdf.queryExecution().toString())
+        assert dealt and all(int(x) > 4 for x in dealt)
+        assert found.count() == 36000
+
+
 def test_cosine(spark):
     requests = spark.createDataFrame([(1, [2.0, 0.0])], "request_id bigint, embedding array<double>")
     items = spark.createDataFrame([(1, [0.0, 3.0]), (2, [5.0, 0.0])], "item_id bigint, embedding array<double>")
