@@ -342,7 +342,9 @@ def table_storage(spark, sf):
 
 
 def list_columns(spark, sf):
-    return catalog.describe_columns(_frames(spark, sf), "PROD_SALES", "sales")
+    """Columns with their tables' schemas and numbers of rows."""
+    columns = catalog.describe_columns(_frames(spark, sf), "PROD_SALES", "sales").drop("schema_name")
+    return columns.join(_tables(spark, sf).select("table_name", "schema_name", "row_count"), "table_name")
 
 
 def table_documents(spark, sf):

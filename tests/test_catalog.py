@@ -96,3 +96,13 @@ def test_snapshots(spark, tmp_path):
     diff = catalog.schema_diff(indexing.as_of(kept, "2025-01-01"), indexing.as_of(kept, "2025-01-05"))
     assert sorted((f"{r.schema_name}.{r.table_name}", r.change) for r in diff.collect()) == [("a.y", "removed"), ("b.x", "added")]
     assert indexing.schema_history(kept.where(F.lit(False))).count() == 0
+
+
+def test_columns_come_with_their_tables_rows(spark, tmp_path):
+    from rowsight.fixtures import TABLES
+    from suite import queries
+
+    for n, name in enumerate(TABLES):
+        spark.range(n).selectExpr("id AS a", "CAST(id AS STRING) AS b").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.schema_name, r.table_name, r.ordinal, r.column_name, r.row_count) for r in queries.list_columns(spark, str(tmp_path)).collect()}
+    assert got == {(queries.SCHEMA_OF.get(t, "sales"), t, i, c, n) for n, t in enumerate(TABLES) for i, c in ((1, "a"), (2, "b"))}
