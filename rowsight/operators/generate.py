@@ -253,6 +253,8 @@ def invoices(
         ids.select("id", customer_pick, product_pick)
         .join(customers_no, "customer_id_no")
         .join(products_no, "product_id_no")
+        # rows are few bytes here and much work after: dealt to a number of tasks that doesn't follow from their size
+        .repartition(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     )
     rows = (
         drawn.withColumn("invoice_date", r.day("invoice", today, 2 * 365))

@@ -102,18 +102,24 @@ def inject_outliers(
     return df.select([changed.get(c, col(c)).alias(c) for c in df.columns])
 
 
-def with_dense_index(df: DataFrame, key: list[str], salt: str, name: str = "row_index") -> DataFrame:
+def with_dense_index(df: DataFrame, key: list[str], salt: str, name: str = "row_index", last: Column | None = None) -> DataFrame:
     """Number rows 1..n in digest order: counts per digest prefix give each
-    prefix its offset, and rows are ranked within their prefix only."""
-    marked = df.withColumn("__mark", digest([col(k) for k in key], salt)).withColumn("__head", F.substring("__mark", 1, 4))
+    prefix its offset, and rows are ranked within their prefix only. ``last``: only
+    rows up to this number, others are left out by their key before anything is made of them."""
+    mark = digest([col(k) for k in key], salt)
+    head = F.substring(mark, 1, 4)
     upto = F.sum("count").over(Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1))
     # 16^4 prefixes at most
-    offsets = marked.groupBy("__head").count().select("__head", F.coalesce(upto, F.lit(0)).alias("__offset"))
+    offsets = df.groupBy(head.alias("__head")).count().select("__head", F.coalesce(upto, F.lit(0)).alias("__offset"))
+    if last is not None:
+        df = df.where(head <= offsets.where(F.col("__offset") < last).agg(F.max("__head")).scalar())
+    marked = df.withColumn("__mark", mark).withColumn("__head", F.substring("__mark", 1, 4))
     place = F.row_number().over(Window.partitionBy("__head").orderBy("__mark"))
     return (
         marked.join(F.broadcast(offsets), "__head")
         .withColumn(name, (place + F.col("__offset")).cast("bigint"))
         .drop("__head", "__mark", "__offset")
+        .where(F.lit(True) if last is None else F.col(name) <= last)
     )
 
 
@@ -145,9 +151,9 @@ def near_duplicates(
 ) -> DataFrame:
     """Append floor(rows * rate) distinct rows under new ids that follow the
     largest one; a share of them gets its date moved by 1..max_shift days."""
-    numbered = with_dense_index(df, [id_column], f"near:{seed}")
     totals = df.agg(F.count(F.lit(1)).alias("n"), F.max(col(id_column)).alias("top"))
     wanted, top = share_of(totals.select("n").scalar(), rate, of_result), totals.select("top").scalar()
+    picked = with_dense_index(df, [id_column], f"near:{seed}", last=wanted)
     part = digest_number(digest([col(id_column)], f"shift:{seed}")) / F.lit(float(1 << 52))
     days = (F.floor(digest_number(digest([col(id_column)], f"days:{seed}")) % max_shift) + 1).cast("int")
     made = {id_column: (top + F.col("row_index")).cast(df.schema[id_column].dataType)}
@@ -156,7 +162,7 @@ def near_duplicates(
         if isinstance(df.schema[date_column].dataType, T.DateType):
             moved = F.date_add(col(date_column), days)
         made[date_column] = F.when(part < shift_share, moved).otherwise(col(date_column)).cast(df.schema[date_column].dataType)
-    extra = numbered.where(F.col("row_index") <= wanted).select([made.get(c, col(c)).alias(c) for c in df.columns])
+    extra = picked.select([made.get(c, col(c)).alias(c) for c in df.columns])
     return df.unionByName(extra)
 
 

@@ -150,3 +150,15 @@ def test_choices():
     assert catalog.select_schemas(["a"], auto=True) is None
     assert catalog.select_schemas(["a"], config={"auto_discover_schemas": True}) is None
     assert catalog.select_schemas(None, False, {"schema": "s"}) == ["s"] and catalog.select_schemas() == [None]
+
+
+def test_rows_not_picked_are_not_made(spark):
+    """Numbering up to a row leaves out the others by their key, before their columns are computed."""
+    ids = spark.range(1, 401)
+    number = {r.id: r.row_index for r in inject.with_dense_index(ids, ["id"], "s").collect()}
+    assert sorted(number.values()) == list(range(1, 401))
+    late = [i for i, n in number.items() if n > 100]
+    made = ids.withColumn("x", F.when(F.col("id").isin(late), F.raise_error(F.lit("made in vain")).cast("bigint")).otherwise(F.col("id")))
+    for last in (0, 1, 60):
+        got = {r.id: r.row_index for r in inject.with_dense_index(made, ["id"], "s", last=F.lit(last)).collect()}
+        assert got == {i: n for i, n in number.items() if n <= last}
