@@ -150,11 +150,13 @@ def candidates(requests: DataFrame, index: DataFrame, keywords: DataFrame, n: in
     near = nearest(
         requests.select("request_id", "embedding"), index.select("full_name", "embedding"), n, item="full_name", metric=metric
     )
-    # a request's words are made once and not for each of its tables
-    facts = index.drop("embedding").withColumn("__name", F.lower("table_name"))
-    words = F.filter(F.split(F.trim(F.lower("text")), r"\s+"), lambda w: F.length(w) >= MIN_WORD)
-    asked = requests.select("request_id", words.alias("words")).join(preferred_connector(requests, keywords), "request_id")
-    hits = F.filter("words", lambda w: F.contains("__name", w))
+    facts = index.drop("embedding")
+    asked = requests.select("request_id", F.lower("text").alias("low")).join(
+        preferred_connector(requests, keywords), "request_id"
+    )
+    hits = F.filter(
+        F.split(F.trim("low"), r"\s+"), lambda w: (F.length(w) >= MIN_WORD) & F.contains(F.lower("table_name"), w)
+    )
     base = 1 - F.col("distance")
     boosted = F.coalesce(F.col("connector") == F.col("preferred"), F.lit(False))
     table_boost = F.size(hits) * F.lit(NAME_BOOST)
