@@ -6,11 +6,11 @@ of one language, in which a word is a number, and these are written to the share
 folder. Everything that follows works on the chunks:
 
 1. A chunk's distinct pairs go to the hash partitions of their 64-bit keys, as sorted
-   arrays. A partition adds up what its chunks send (a pair comes once from each
-   chunk, however often it occurs), answers each chunk with the counts of its pairs,
-   and passes on what its pairs say about their words.
-2. The words' own hash partitions add that up (continuations, followers by count) and
-   answer the chunks' words likewise.
+   arrays of keys alone. A partition adds up what its chunks send (a pair comes once
+   from each chunk, however often it occurs) and answers each chunk with the counts of
+   its pairs; one of the chunks that have a pair is told to speak for it.
+2. A chunk says about its words what the pairs tell that it speaks for. The words' own
+   hash partitions add that up (continuations, followers by count) and answer likewise.
 3. A chunk with all its answers gives the probabilities of its pairs, and these the
    perplexities of its documents.
 
@@ -24,7 +24,7 @@ else backs off.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,15 +33,17 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rowsight.llm.shared import bounded_batches, settled
+from rowsight.llm.shared import bounded_batches, forget, settled
 from rowsight.llm.words import STEP, mixed, slices, windows
 
 #: words of a chunk, and entries of a hash partition (all that chunks send), about
 WORDS_PER_CHUNK = 1 << 21
 ENTRIES_PER_PART = 1 << 21
-#: pairs are counted in so many rounds, each with its share of the partitions, so that no
-#: more than that share of them lies in shuffle files at a time
+#: pairs are counted in so many rounds, each with the pairs of its share of the left words, so
+#: that no more than that share of them lies in shuffle files or in a task's memory at a time
 ROUNDS = 4
+#: chunks meet their answers, and words their sums, in so many turns, for the same reason
+TURNS = 4
 #: the word before a text's first
 START = np.uint64(1)
 SYMBOLS = "#*$%&|<>"
@@ -73,12 +75,24 @@ def repeated_lines(body: bytes) -> int:
 
 
 def _blob(values: np.ndarray | bytes) -> bytes:
-    """Arrays travel and lie on disk compressed: all but hashes shrink a lot."""
-    return zstandard.compress(values if isinstance(values, bytes) else values.tobytes(), 1)
+    """Arrays travel and lie on disk compressed, bytes of equal weight side by side: the upper ones shrink to nothing."""
+    if isinstance(values, np.ndarray):
+        values = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return zstandard.compress(values, 1)
 
 
 def _array(blob: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), kind)
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Keys as differences, which are small where keys are sorted."""
+    return _blob(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_array(blob, np.uint64), dtype=np.uint64)
 
 
 class Chunk(dict):
@@ -111,7 +125,12 @@ class Chunk(dict):
         with pa.ipc.new_stream(sink, features.schema) as out:
             out.write_batch(features)
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
-        blobs = [_blob(x) for x in (sink.getvalue().to_pybytes(), words, np.concatenate(self.seqs), np.array(counts[0], np.int64), np.array(own, np.uint16))]
+        seq = np.concatenate(self.seqs)
+        # frequent words get small numbers, equally frequent ones go by hash: both shrink
+        order = np.lexsort((words, -np.bincount(seq, minlength=len(words))))
+        number = np.empty(len(words), np.uint32)
+        number[order] = np.arange(len(words), dtype=np.uint32)
+        blobs = [_blob(sink.getvalue().to_pybytes()), _steps(words[order]), _blob(number[seq]), _blob(np.array(counts[0], np.int64)), _blob(np.array(own, np.uint16))]
         # a chunk's number is drawn once and stays, since chunks are written before they are used
         number = int.from_bytes(os.urandom(8), "little", signed=True)
         arrays = [pa.array([tongue], pa.int64()), pa.array([lang], pa.string()), pa.array([number], pa.int64()), pa.array([self.size], pa.int64())]
@@ -149,30 +168,36 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     return rows.mapInArrow(task, CHUNK_SCHEMA)
 
 
-def _pairs(words: np.ndarray, seq: np.ndarray, sizes: np.ndarray, own: np.ndarray):
-    """Distinct pairs of a chunk: numbers of left and right word (the start has the number after
-    the last), occurrences, least and greatest hash of a text that has it and of the word before
-    it (of 16 bits: two that differ pass for one in 1 of 65,536 cases), and the pair of each occurrence."""
-    start = np.uint64(len(words))
-    left = np.empty(len(seq), np.uint64)
+def _pairs(row: dict, turn: int, rounds: int):
+    """Distinct pairs of a chunk whose left words have this turn: numbers of left and right word (the
+    start has the number after the last), occurrences, least and greatest hash of a text that has it
+    and of the word before it (of 16 bits: two that differ pass for one in 1 of 65,536 cases), the
+    places of their occurrences, and the pair of each. None if there are none."""
+    seq, sizes = row["seq"], row["sizes"]
+    hashes = np.append(row["words"], START)
+    start = len(hashes) - 1
+    left = np.empty(len(seq), np.uint32)
     left[1:] = seq[:-1]
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
     left[first] = start
-    texts = np.repeat(own, sizes)
+    mine = np.flatnonzero((hashes % np.uint64(rounds) == turn)[left])
+    if not len(mine):
+        return None
+    texts = np.repeat(row["own"], sizes)
     before = np.empty(len(seq), np.uint16)
-    before[1:] = (np.append(words, START) >> np.uint64(48)).astype(np.uint16)[left[:-1]]
+    before[1:] = (hashes >> np.uint64(48)).astype(np.uint16)[left[:-1]]
     before[first] = texts[first]  # before a text's start stands the text itself
-    code = left * (start + START) + seq
-    order = np.argsort(code, kind="stable")
-    ranked = code[order]
-    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    code = left[mine] * np.uint64(len(hashes)) + seq[mine]
+    order = np.argsort(code)
+    code = code[order]
+    fresh = np.concatenate([[True], code[1:] != code[:-1]])
     starts = np.flatnonzero(fresh)
-    at = np.empty(len(seq), np.uint32)
+    at = np.empty(len(mine), np.uint32)
     at[order] = np.cumsum(fresh, dtype=np.uint32) - np.uint32(1)
-    codes = ranked[starts]
-    del code, ranked, fresh, left
-    ends = [f.reduceat(x[order], starts) for x in (texts, before) for f in (np.minimum, np.maximum)]
-    return codes // (start + START), codes % (start + START), np.diff(np.append(starts, len(seq))).astype(np.uint32), ends, at
+    codes, places = code[starts], mine[order]
+    ends = [f.reduceat(x[places], starts) for x in (texts, before) for f in (np.minimum, np.maximum)]
+    left, right = np.divmod(codes, np.uint64(len(hashes)))
+    return left.astype(np.int64), right.astype(np.int64), np.diff(np.append(starts, len(mine))).astype(np.uint32), ends, mine, at
 
 
 def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -180,13 +205,12 @@ def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places of its keys in the given order) for each hash partition that gets any."""
-    part = (keys >> np.uint64(32)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    for places in np.split(order, cuts):
-        if len(places):
-            yield int(part[places[0]]), places
+    """(part, places of its keys, smallest first) for each of ``parts`` ranges of keys that gets any."""
+    order = np.argsort(keys)
+    part = ((keys[order] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+    for first, places in zip(part[np.append(0, cuts)], np.split(order, cuts)):
+        yield int(first), places
 
 
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -197,7 +221,8 @@ def _of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-            for name, kind in (("words", np.uint64), ("seq", np.uint32), ("sizes", np.int64), ("own", np.uint16)):
+            row["words"] = _keys(row["words"])
+            for name, kind in (("seq", np.uint32), ("sizes", np.int64), ("own", np.uint16)):
                 row[name] = _array(row[name], kind)
             yield row
 
@@ -216,100 +241,132 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate([np.empty(0, kind), *[_array(x.as_py(), kind) for x in table.column(name) if x.is_valid]])
 
 
-#: what partitions of pairs give: answers to chunks, sums for words, counts of counts
-PAIR_ROWS = pa.schema([("tongue", pa.int64()), ("chunk", pa.int64()), ("part", pa.int64()), ("values", pa.binary()), ("words", pa.binary()), ("sums", pa.binary()), ("counts", pa.list_(pa.int64()))])
-ANSWER_SQL = "tongue bigint, chunk bigint, part bigint, values binary, words binary, sums binary, counts array<bigint>"
-#: a pair's words, occurrences, and hashes of texts and of words before it
-PAIRS = ["left", "right", "n", "low", "high", "least", "most"]
-SUMS = 7  # followers in all, with one, two and more occurrences; continuations; least and greatest text hash
-
-
-def count_pairs(parted: DataFrame, parts: int, turn: int = 0, rounds: int = 1) -> DataFrame:
-    """Pairs of all chunks counted (those of the partitions whose turn it is): answers (chunk, part, values), sums for words (part, words, sums), counts of counts."""
+#: what partitions give: answers to chunks, counts of counts
+ANSWERS = pa.schema([("tongue", pa.int64()), ("chunk", pa.int64()), ("part", pa.int64()), ("values", pa.binary()), ("counts", pa.list_(pa.int64()))])
+ANSWER_SQL = "tongue bigint, chunk bigint, part bigint, values binary, counts array<bigint>"
+#: a pair's key, occurrences, and hashes of texts and of words before it
+PAIRS = ["keys", "n", "low", "high", "least", "most"]
+#: what a chunk says about its words: followers in all, with one, two and more occurrences; continuations; least and greatest text hash
+SAID = pa.schema([("tongue", pa.int64()), ("part", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("sums", pa.binary())])
+#: how each of these is folded
+FOLDS = [np.add] * 5 + [np.minimum, np.maximum]
+SUMS = len(FOLDS)
+
+
+def sent_pairs(row: dict, turn: int, rounds: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """What a chunk sends to the ``parts`` partitions of one round."""
+    found = _pairs(row, turn, rounds)
+    if found is None:
+        return
+    hashes = np.append(row["words"], START)
+    left, right, n, (low, high, least, most), _, _ = found
+    keys = _pair_keys(hashes[left], hashes[right])
+    for part, p in _dealt(keys, parts):
+        # greatest hashes as differences from the least, which are mostly 0, so that they compress
+        columns = [_steps(keys[p]), *[_blob(c) for c in (n[p], low[p], (high - low)[p], least[p], (most - least)[p])]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v], pa.int64()) for v in (row["tongue"], turn * parts + part, row["chunk"])] + [pa.array([c], pa.binary()) for c in columns],
+            names=["tongue", "part", "chunk", *PAIRS],
+        )
+
+
+def count_pairs(parted: DataFrame, turn: int, rounds: int, parts: int) -> DataFrame:
+    """Pairs of one round counted: answers (chunk, part, values) and counts of counts.
+
+    A value holds 4 times a pair's occurrences in the language, 2 if it gives an entry, and 1 for
+    the one chunk that speaks for it; to the others a pair without an entry is 0.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _of_chunks(batches):
-            if not len(row["seq"]):
-                continue
-            hashes = np.append(row["words"], START)
-            left, right, n, (low, high, least, most), _ = _pairs(row["words"], row["seq"], row["sizes"], row["own"])
-            left, right = hashes[left], hashes[right]
-            for part, p in _dealt(_pair_keys(left, right), parts):
-                if part % rounds != turn:
-                    continue
-                # greatest hashes as differences from the least, which are mostly 0, so that they compress
-                columns = [left[p], right[p], n[p], low[p], (high - low)[p], least[p], (most - least)[p]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], pa.int64()) for v in (row["tongue"], part, row["chunk"])] + [pa.array([_blob(c)], pa.binary()) for c in columns],
-                    names=["tongue", "part", "chunk", *PAIRS],
-                )
+            yield from sent_pairs(row, turn, rounds, parts)
 
     def merge(table: pa.Table) -> pa.Table:
         tongue = table.column("tongue")[0].as_py()
-        lefts = [_array(x.as_py(), np.uint64) for x in table.column("left")]
-        left, right = np.concatenate(lefts), _joined(table, "right", np.uint64)
-        low, high, least, most = (_joined(table, x, np.uint16) for x in ("low", "high", "least", "most"))
-        order, starts, at = _merged(_pair_keys(left, right))
+        keys = [_keys(x.as_py()) for x in table.column("keys")]
+        ends = np.cumsum([len(x) for x in keys])
+        order, starts, at = _merged(np.concatenate(keys))
+        del keys
         n = np.add.reduceat(_joined(table, "n", np.uint32)[order].astype(np.int64), starts)
-        low, high = np.minimum.reduceat(low[order], starts), np.maximum.reduceat((low + high)[order], starts)
-        least, most = np.minimum.reduceat(least[order], starts), np.maximum.reduceat((least + most)[order], starts)
-        rows = []
-        values = np.where((low < high) & (least < most), n, 0)[at]
-        ends = np.cumsum([len(x) for x in lefts])
+        low, least = (_joined(table, x, np.uint16) for x in ("low", "least"))
+        high, most = low + _joined(table, "high", np.uint16), least + _joined(table, "most", np.uint16)
+        entry = np.ones(len(n), bool)
+        for a, b in ((low, high), (least, most)):
+            entry &= np.minimum.reduceat(a[order], starts) < np.maximum.reduceat(b[order], starts)
+        values = np.where(entry, 4 * n + 2, 0)[at]
+        values[order[starts]] = 4 * n + 2 * entry + 1
+        rows = [{"tongue": tongue, "counts": [int((n == i).sum()) for i in range(1, 5)]}]
         for chunk, part, mine in zip(table.column("chunk").to_pylist(), table.column("part").to_pylist(), np.split(values, ends[:-1])):
             rows.append({"tongue": tongue, "chunk": chunk, "part": part, "values": _blob(mine)})
-        rows.append({"tongue": tongue, "counts": [int((n == i).sum()) for i in range(1, 5)]})
-        # what the distinct pairs say about their words: followers of the left one, continuations of the right one
-        left, right = left[order][starts], right[order][starts]
-        zero, one = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
-        both = ((n, zero), (n == 1, zero), (n == 2, zero), (n > 2, zero), (zero, one), (zero + 0xFFFF, low), (zero, high))
-        words, sums = _fold_words(np.append(left, right), (np.append(a, b).astype(np.int64) for a, b in both))
-        for part, p in _dealt(words, parts):
-            rows.append({"tongue": tongue, "part": part, "words": _blob(words[p]), "sums": _blob(sums[:, p])})
-        return pa.Table.from_batches([_rows(rows, PAIR_ROWS)])
+        return pa.Table.from_batches([_rows(rows, ANSWERS)])
 
     sent = parted.mapInArrow(send, "tongue bigint, part bigint, chunk bigint, " + ", ".join(f"{c} binary" for c in PAIRS))
     return sent.groupBy("tongue", "part").applyInArrow(merge, ANSWER_SQL)
 
 
-#: how each of the sums is folded
-FOLDS = [np.add] * 5 + [np.minimum, np.maximum]
-
+def _answered(row: dict, values: dict[int, bytes], rounds: int, parts: int):
+    """Left and right words, values, places of occurrences and pair of each, for the pairs of each round in turn."""
+    hashes = np.append(row["words"], START)
+    for turn in range(rounds):
+        found = _pairs(row, turn, rounds)
+        if found is not None:
+            left, right, _, _, mine, at = found
+            out = np.empty(len(left), np.int64)
+            for part, p in _dealt(_pair_keys(hashes[left], hashes[right]), parts):
+                out[p] = _array(values[turn * parts + part], np.int64)
+            yield left, right, out, mine, at
 
-def _fold_words(words: np.ndarray, sums: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words and their folded sums; ``sums`` are taken one after another, since all together are far larger than the words."""
-    order, starts, _ = _merged(words)
-    return words[order][starts], np.array([fold.reduceat(x[order], starts) for fold, x in zip(FOLDS, sums)])
 
+def say_words(chunks: DataFrame, counted: DataFrame, rounds: int, parts: int) -> DataFrame:
+    """(tongue, part, chunk, words, sums): what the pairs that a chunk speaks for, and its texts, say about its words."""
 
-def count_words(parted: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
+    def say(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = next(_of_chunks(chunk.combine_chunks().to_batches()))
+        hashes = np.append(row["words"], START)
+        size = len(hashes)
+        sums = np.zeros((SUMS, size), np.int64)
+        for left, right, values, _, _ in _answered(row, dict(zip(answers.column("part").to_pylist(), answers.column("values").to_pylist())), rounds, parts):
+            mine = values & 1 == 1
+            n, left = values[mine] >> 2, left[mine]
+            sums[0] += np.bincount(left, n, size).astype(np.int64)
+            for i, some in enumerate((n == 1, n == 2, n > 2), 1):
+                sums[i] += np.bincount(left[some], minlength=size)
+            sums[4] += np.bincount(right[mine], minlength=size)
+        texts = np.repeat(row["own"], row["sizes"])
+        low, high = np.full(size, 0xFFFF, np.uint16), np.zeros(size, np.uint16)
+        np.minimum.at(low, row["seq"], texts), np.maximum.at(high, row["seq"], texts)
+        # two texts are enough: which ones they are need not travel
+        sums[5], sums[6] = np.where(low < high, 0, low), np.where(low < high, 1, high)
+        # nearly all differences are 0, so that they compress
+        sums[0] -= sums[1]
+        sums[6] -= sums[5]
+        rows = [{"tongue": row["tongue"], "part": part, "chunk": row["chunk"], "words": _steps(hashes[p]), "sums": _blob(sums[:, p])} for part, p in _dealt(hashes, rounds * parts)]
+        return pa.Table.from_batches([_rows(rows, SAID)])
+
+    answers = counted.where("chunk IS NOT NULL").select("chunk", "part", "values")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(say, "tongue bigint, part bigint, chunk bigint, words binary, sums binary")
+
+
+def count_words(said: DataFrame) -> DataFrame:
     """Sums of all words, as answers to chunks, and per language: counts of continuation counts, continuations, words."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _of_chunks(batches):
-            words = np.append(row["words"], START)
-            for part, p in _dealt(words, parts):
-                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int64()) for v in (row["tongue"], part, row["chunk"])], pa.array([_blob(words[p])], pa.binary())], names=["tongue", "part", "chunk", "words"])
-
-    def answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
-        rows = []
-        if sums.num_rows:
-            tongue = sums.column("tongue")[0].as_py()
-            words = _joined(sums, "words", np.uint64)
-            words, found = _fold_words(words, np.concatenate([_array(x.as_py(), np.int64).reshape(SUMS, -1) for x in sums.column("sums")], axis=1))
-            n = found[4]
-            rows.append({"tongue": tongue, "counts": [*[int((n == i).sum()) for i in range(1, 5)], int((n > 2).sum()), int(n.sum()), int((n > 0).sum())]})
-            found = np.concatenate([found[:5], [(found[5] < found[6]) & (n > 1)]])
-            for chunk, part, wanted in zip(*[asked.column(c).to_pylist() for c in ("chunk", "part", "words")]):
-                # all are there but the start of a chunk without words
-                wanted = _array(wanted, np.uint64)
-                at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
-                rows.append({"tongue": tongue, "chunk": chunk, "part": -1 - part, "values": _blob(np.where(words[at] == wanted, found[:, at], 0))})
-        return pa.Table.from_batches([_rows(rows, PAIR_ROWS)])
-
-    asked = parted.where("size > 0").mapInArrow(ask, "tongue bigint, part bigint, chunk bigint, words binary")
-    sums = counted.where("words IS NOT NULL").select("tongue", "part", "words", "sums")
-    return asked.groupBy("tongue", "part").cogroup(sums.groupBy("tongue", "part")).applyInArrow(answer, ANSWER_SQL)
+    def answer(table: pa.Table) -> pa.Table:
+        tongue = table.column("tongue")[0].as_py()
+        words = [_keys(x.as_py()) for x in table.column("words")]
+        ends = np.cumsum([len(x) for x in words])
+        order, starts, at = _merged(np.concatenate(words))
+        sums = np.concatenate([_array(x.as_py(), np.int64).reshape(SUMS, -1) for x in table.column("sums")], axis=1)
+        sums[0] += sums[1]
+        sums[6] += sums[5]
+        found = np.array([fold.reduceat(x[order], starts) for fold, x in zip(FOLDS, sums)])
+        n = found[4]
+        rows = [{"tongue": tongue, "counts": [*[int((n == i).sum()) for i in range(1, 5)], int((n > 2).sum()), int(n.sum()), int((n > 0).sum())]}]
+        found = np.concatenate([found[:5], [(found[5] < found[6]) & (n > 1)]])
+        for chunk, part, mine in zip(table.column("chunk").to_pylist(), table.column("part").to_pylist(), np.split(at, ends[:-1])):
+            rows.append({"tongue": tongue, "chunk": chunk, "part": -1 - part, "values": _blob(found[:, mine])})
+        return pa.Table.from_batches([_rows(rows, ANSWERS)])
+
+    return said.groupBy("tongue", "part").applyInArrow(answer, ANSWER_SQL)
 
 
 def discounts(counts: list[int]) -> list[float]:
@@ -339,8 +396,16 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     kind = docs.select(F.col(id_col).alias("doc")).schema["doc"].dataType.simpleString()
     parted = settled(chunks(docs, id_col, text_col, lang_col))
     parts = max(1, -(-(parted.agg(F.sum("size")).first()[0] or 0) // ENTRIES_PER_PART))
-    counted = reduce(DataFrame.union, [settled(count_pairs(parted, parts, turn, ROUNDS)) for turn in range(min(ROUNDS, parts))])
-    worded = settled(count_words(parted, counted, parts))
+    rounds = min(ROUNDS, parts)
+    parts = -(-parts // rounds)
+    counts = [settled(count_pairs(parted, turn, rounds, parts)) for turn in range(rounds)]
+    counted = reduce(DataFrame.union, counts)
+    in_turn = lambda rows, turn: rows.where(F.pmod("chunk", F.lit(TURNS)) == turn)
+    said = [settled(say_words(in_turn(parted, turn).where("size > 0"), in_turn(counted, turn), rounds, parts)) for turn in range(TURNS)]
+    words = [settled(count_words(reduce(DataFrame.union, said).where(F.col("part") % TURNS == turn))) for turn in range(TURNS)]
+    worded = reduce(DataFrame.union, words)
+    for table in said:
+        forget(table)
 
     def constants(rows: DataFrame, width: int, name: str) -> DataFrame:
         return rows.where("counts IS NOT NULL").groupBy("tongue").agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(width)]).alias(name))
@@ -358,13 +423,12 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
             values = dict(zip(answers.column("part").to_pylist(), answers.column("values").to_pylist()))
             hashes = np.append(row["words"], START)
             sums = np.empty((6, len(hashes)), np.int64)
-            for part, p in _dealt(hashes, parts):
+            for part, p in _dealt(hashes, rounds * parts):
                 sums[:, p] = _array(values[-1 - part], np.int64).reshape(6, -1)
-            left, right, _, _, at = _pairs(row["words"], row["seq"], sizes, row["own"])
-            n = np.empty(len(left), np.int64)
-            for part, p in _dealt(_pair_keys(hashes[left], hashes[right]), parts):
-                n[p] = _array(values[part], np.int64)
-            logs[1:] = np.cumsum(log_probabilities(n, sums[:, left], sums[:, right], row["pairs"], row["terms"])[at])
+            for left, right, found, mine, at in _answered(row, values, rounds, parts):
+                n = np.where(found & 2, found >> 2, 0)
+                logs[1 + mine] = log_probabilities(n, sums[:, left], sums[:, right], row["pairs"], row["terms"])[at]
+            np.cumsum(logs, out=logs)
         ends = np.cumsum(sizes)
         with np.errstate(invalid="ignore"):
             means = (logs[ends - sizes] - logs[ends]) / sizes
@@ -373,7 +437,10 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         return pa.table([out.column(0), lang, *out.columns[1:], scored], names=["doc", "lang", *FEATURES, "log_perplexity"])
 
     schema = f"doc {kind}, lang string, {', '.join(f + ' bigint' for f in FEATURES)}, log_perplexity double"
-    return known.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
+    scored = [settled(in_turn(known, turn).groupBy("chunk").cogroup(in_turn(answers, turn).groupBy("chunk")).applyInArrow(score, schema)) for turn in range(TURNS)]
+    for table in (parted, *counts, *words):
+        forget(table)
+    return reduce(DataFrame.union, scored)
 
 
 def bands(scored: DataFrame, below: float, above: float, floor: float) -> DataFrame:
@@ -414,7 +481,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     bounded_batches(docs.sparkSession)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = settled(features(docs, id_col, text_col, lang_col).withColumn("base_failed", failed))
+    scored = features(docs, id_col, text_col, lang_col).withColumn("base_failed", failed)
     limits = bands(scored, below, above, floor)
     # one row for each language: adaptive execution broadcasts it, and splits a hot language if not
     out = scored.alias("d").join(limits.alias("l"), F.col("d.lang").eqNullSafe(F.col("l.lang")), "left")

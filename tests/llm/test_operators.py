@@ -170,6 +170,24 @@ def test_bands_reject_strangers(spark, corpus):
     assert not any(kept[-1 - k] for k in range(4)) and sum(kept.values()) > 0.8 * len(kept)
 
 
+def test_pairs_travel_as_keys_alone():
+    # the words' hashes of a pair would be 16 bytes that do not compress; its key, sorted, is about 6
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    chunk = perplexity.Chunk()
+    for i in range(300):
+        chunk.add(pa.scalar(i, pa.int64()), " ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 30_000))
+    row = next(perplexity._of_chunks(iter([chunk.batch(1, "en", pa.int64())])))
+    pairs, size = 0, 0
+    for turn in range(4):
+        for sent in perplexity.sent_pairs(row, turn, 4, 2):
+            pairs += len(perplexity._keys(sent.column("keys")[0].as_py()))
+            size += sum(len(sent.column(c)[0].as_py()) for c in perplexity.PAIRS)
+    said = [[-1, *seq.tolist()] for seq in np.split(row["seq"], np.cumsum(row["sizes"])[:-1])]
+    assert pairs == len({p for words_ in said for p in zip(words_, words_[1:])}) and size < 13 * pairs
+
+
 def test_order_of_words_counts(spark):
     # each word has four that may follow: texts in order are kept, their words in random order are not
     rng = np.random.default_rng(5)
