@@ -174,7 +174,7 @@ def drop_recurring(
     text = col(text_col).cast("string")
     lines = F.split(text, "\n")
     joined = docs.withColumn(body, F.xxhash64(text)).join(per_doc.select(F.col("doc").alias("__doc__"), F.col("body").alias("__body__"), gone), (col(id_col) == F.col("__doc__")) & (F.col(body) == F.col("__body__")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    rebuilt = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    # the lines stand outside the function of a line, or the text would be split again for each of them
+    rebuilt = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n"))
     columns = [rebuilt.alias(c) if c == text_col else col(c) for c in docs.columns]
     return joined.select(*columns, *[F.when(x.isNotNull(), F.size(x)).otherwise(0).cast("bigint").alias(name) for x, name in ((lines, n_lines), (F.col(gone), n_dropped))])

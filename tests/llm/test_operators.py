@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import struct
 import zlib
 
@@ -303,6 +304,16 @@ def test_line_templates(spark, odd, none):
     assert templates.drop_recurring(odd).count() == len(ODD)
 
 
+def test_a_text_is_not_split_for_each_of_its_lines(spark):
+    recurring = "this very line of nine words stands in everything"
+    own = [[f"line {j} that only document {'abcd'[i]} has in this place {'xyz'[j % 3] * (j + 5)}" for j in range(30)] for i in range(4)]
+    docs = spark.createDataFrame([(i, "\n".join([*lines[:9], recurring, *lines[9:], recurring]), "en", "s", 0) for i, lines in enumerate(own)], SCHEMA)
+    found = templates.drop_recurring(docs, min_docs=3, similarity=1.0)
+    assert re.search(r"split\([^()]*\)\[lambda", found._jdf.queryExecution().optimizedPlan().toString()) is None
+    got = {r.doc_id: (r.text, r.n_dropped) for r in found.collect()}
+    assert got == {r.doc_id: (r.text, 0) if r.doc_id == 0 else ("\n".join(own[r.doc_id]), 2) for r in docs.collect()}
+
+
 def test_line_templates_against_plain(spark, corpus):
     import re
 
