@@ -77,6 +77,25 @@ def test_nearest_odd_rows(spark):
     assert neighbours.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_search_measures_once(spark, monkeypatch):
+    """Nodes that left the beam are reached again by every other node: they are not measured again, nor when the beam is made wider."""
+    monkeypatch.setattr(neighbours, "POOL", 8)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 8))
+    units = [(i, bytearray((v / np.sqrt(v @ v)).tobytes())) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(units, "node bigint, unit binary")
+    near = spark.createDataFrame([(i, [j for j in range(40) if j != i and (i + j) % 3 > 0]) for i in range(40)], "node bigint, near array<bigint>")
+    state = neighbours.begun(spark.createDataFrame([(i, i, units[i][1]) for i in (0, 7)], "query bigint, node bigint, unit binary"))
+    for beam in (4, 8):
+        state = neighbours.search(nodes, near, state, beam, 2)
+        for r in state.collect():
+            measured = [p.node for p in r.pool] + r.dropped
+            assert sorted(measured) == list(range(40))
+            sims = x @ x[r.query] / np.sqrt((x * x).sum(axis=1) * (x[r.query] @ x[r.query]))
+            assert [p.node for p in r.pool] == [i for i in np.argsort(-sims).tolist() if i != r.query][:8]
+            assert all(p.done for p in r.pool[:beam])
+
+
 # --- op2
 
 
