@@ -317,7 +317,8 @@ def search(requests: DataFrame, index: Cells, n: int, request: str = "request_id
 
     def meet(bounded: bool):
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = [pd.DataFrame({request: [], item: [], "distance": []})]
+            # objects become any type; an empty column of floats does not become one array of texts
+            out = [pd.DataFrame({request: [], item: [], "distance": []}, dtype=object)]
             if len(a) and len(b):
                 keys, cell = b[item].to_numpy(), b["__cell"].to_numpy()
                 place = np.empty(len(b), np.int64)

@@ -32,6 +32,20 @@ def test_nearest(spark, block_bytes):
     assert got == brute(a, b, 7)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,0)"])
+def test_a_block_that_no_request_visits(spark, kind):
+    """Keys of any type; a slice of requests and a block of items far from it make a group without rows."""
+    key = {"string": lambda c: F.concat(F.lit("t"), c.cast("string")), "date": lambda c: F.date_add(F.lit("2020-01-01"), c.cast("int"))}.get(kind, lambda c: c.cast(kind))
+    place = F.array((F.col("id") % 4 * 1000 + F.col("id") / 1000).cast("double"), F.lit(1.0))
+    items = spark.range(400).select(key(F.col("id")).alias("item_id"), place.alias("embedding"))
+    requests = spark.range(3).select(key(F.col("id") * 4).alias("request_id"), place.alias("embedding")).where("embedding[0] < 1")
+    index = nearest.cell_index(items, block_bytes=2000)
+    assert (index.first + index.parts).max() > 1
+    got = nearest.search(requests, index, 5)
+    assert dict(got.dtypes)["item_id"] == kind and got.groupBy("request_id").count().where("count = 5").count() == requests.count() > 0
+    assert got.where("distance >= 1").count() == 0
+
+
 @pytest.mark.parametrize("metric", ["sqeuclidean", "cosine"])
 def test_cells_are_skipped_and_nothing_is_lost(spark, metric, tmp_path):
     """Clustered items, equal distances, a cell above the size of a block, lengths without a centre, an index read back."""
