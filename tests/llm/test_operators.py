@@ -96,6 +96,27 @@ def test_search_measures_once(spark, monkeypatch):
             assert all(p.done for p in r.pool[:beam])
 
 
+def test_search_sends_lists(spark, monkeypatch):
+    """The nodes that a query asks for are a list for each block, not a row each; ids of any size and sign; against plain greedy search."""
+    plans, settled = [], neighbours.settled
+    monkeypatch.setattr(neighbours, "settled", lambda df: plans.append(df._jdf.queryExecution().toString()) or settled(df))
+    monkeypatch.setattr(neighbours, "ROWS", 2, raising=False)
+    rng = np.random.default_rng(6)
+    ids = [int(i) for i in rng.permutation([*range(-100, 100), *range(2**62, 2**62 + 100)])]
+    unit = {i: v / np.linalg.norm(v) for i, v in zip(ids, rng.normal(size=(300, 8)))}
+    near = {i: [int(j) for j in rng.choice(ids, 12, replace=False)] for i in ids}
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in unit.items()], "node bigint, unit binary")
+    asked = spark.createDataFrame([(i, i, bytearray(unit[i].tobytes())) for i in ids[:5]], "query bigint, node bigint, unit binary")
+    state = neighbours.search(nodes, spark.createDataFrame([*near.items()], "node bigint, near array<bigint>"), neighbours.begun(asked), 16, 4, block=50)
+    for r in state.collect():
+        pool, done = {r.query: -3.0}, set()
+        while todo := [i for i in sorted(pool, key=pool.get, reverse=True)[:16] if i not in done][:4]:
+            done |= {*todo}
+            pool |= {j: float(unit[r.query] @ unit[j]) for i in todo for j in near[i] if j not in pool}
+        assert [(p.node, p.done) for p in r.pool] == [(i, i in done) for i in sorted(pool, key=pool.get, reverse=True)] and r.dropped == []
+    assert state.count() == 5 and not any("explode(array_except" in p for p in plans)
+
+
 # --- op2
 
 
